@@ -290,7 +290,7 @@ QUERIES = {
         lambda s, d: profiling.column_bytes(table(s, d, "documents")),
         per_column("documents", ("doc_id", "n_chars"), "8 * count({c}) AS bytes")
         + " UNION ALL "
-        + per_column("documents", ("text", "lang", "source"), "CAST(sum(octet_length(CAST({c} AS BLOB))) AS BIGINT) AS bytes"),
+        + per_column("documents", ("text", "lang", "source"), "CAST(sum(strlen({c})) AS BIGINT) AS bytes"),
     ),
     "chart_nulls": (
         lambda s, d: profiling.chart_nulls(_reported(s, d)[2], table(s, d, "orders")),
