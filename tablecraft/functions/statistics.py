@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -28,32 +29,35 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def unpivoted(df: DataFrame, cols: Sequence[str], value: Callable[[DataFrame, str], Column]) -> DataFrame:
+    """(position, x): one row per cell of the chosen columns; only those columns are read."""
+    names = [f"x{i}" for i in range(len(cols))]
+    picked = df.select(*[value(df, c).alias(n) for c, n in zip(cols, names)])
+    return picked.select(F.stack(F.lit(len(cols)), *[e for i, n in enumerate(names) for e in (F.lit(i), F.col(n))]).alias("position", "x"))
+
+
 def column_stats(
     df: DataFrame,
     cols: Sequence[str],
     metrics: dict[str, Metric],
     value: Callable[[DataFrame, str], Column] = number,
 ) -> DataFrame:
-    """One row per column with the given aggregates.
+    """One row per column with the given aggregates, in one pass.
 
-    Every chunk of columns is a single aggregate over a scan that reads only those columns, so wide
-    tables are read once in total and generated code stays small.
+    Cells are grouped by column rather than aggregated side by side: the generated code stays small
+    enough to be compiled well for tables of any width, and each task sends on one row per column.
+    Values of different types are kept apart by type.
     """
+    kinds: dict[str, list[str]] = {}
+    for c, f in zip(cols, df.select(*[value(df, c).alias(f"x{i}") for i, c in enumerate(cols)]).schema):
+        kinds.setdefault(f.dataType.simpleString(), []).append(c)
     parts = []
-    for base, chunk in zip(range(0, len(cols), SETTINGS.columns_per_job), chunks(cols, SETTINGS.columns_per_job)):
-        inputs = df.select(*[value(df, c).alias(f"x{i}") for i, c in enumerate(chunk)])
-        row = inputs.agg(
-            *[fn(F.col(f"x{i}")).alias(f"{m}_{i}") for i in range(len(chunk)) for m, fn in metrics.items()]
-        )
-        structs = [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(base + i).alias("position"),
-                *[F.col(f"{m}_{i}").alias(m) for m in metrics],
-            )
-            for i, c in enumerate(chunk)
-        ]
-        parts.append(row.select(F.inline(F.array(*structs))))
+    for same in kinds.values():
+        rows = unpivoted(df, same, value).groupBy("position").agg(*[fn(F.col("x")).alias(m) for m, fn in metrics.items()])
+        names = F.array(*[F.lit(c) for c in same])
+        places = F.array(*[F.lit(list(cols).index(c)) for c in same])
+        found = rows.select(F.get(names, F.col("position")).alias("column"), F.get(places, F.col("position")).alias("position"), *metrics)
+        parts.append(found)
     return union_all(parts)
 
 
@@ -87,115 +91,120 @@ def quantiles(
     probs: Sequence[float],
     value: Callable[[DataFrame, str], Column] = number,
     exact_rows: int | None = None,
-    exact_distinct: int | None = None,
 ) -> dict[str, list[float] | None]:
     """Exact linearly interpolated quantiles per column (None for a column without values).
 
-    Columns with few rows or few distinct values use the built-in exact percentile, whose
-    value-to-count map is then small. All others are narrowed pass by pass: an approximate percentile brackets
-    each wanted rank, exact counts confirm the bracket, and only what is left inside it is ranked
-    exactly. No pass holds more than the two bounds in one task, whatever the table size.
+    Columns with few values use the built-in exact percentile. For all others a histogram between
+    minimum and maximum finds the bin of each wanted rank by exact counts, that bin becomes the next
+    interval, and the few values left in the last interval are sorted. No task ever holds more than
+    the bins or `exact_rows` values, whatever the table size.
     """
     exact_rows = SETTINGS.exact_rows if exact_rows is None else exact_rows
-    exact_distinct = SETTINGS.exact_distinct if exact_distinct is None else exact_distinct
     probs = [float(p) for p in probs]
-    sizes = scalars(df, cols, {"n": F.count, "d": lambda x: F.approx_count_distinct(x, 0.02)}, value)
-    out: dict[str, list[float] | None] = {c: None for c in cols if sizes[c]["n"] == 0}
-    filled = [c for c in cols if sizes[c]["n"] > 0]
-    small = [c for c in filled if sizes[c]["n"] <= exact_rows or sizes[c]["d"] <= exact_distinct * 0.9]
-    for chunk in chunks(small, SETTINGS.columns_per_job):
-        row = df.agg(*[F.percentile(value(df, c), F.lit(probs)).alias(f"q{i}") for i, c in enumerate(chunk)]).first()
-        out.update({c: list(row[f"q{i}"]) for i, c in enumerate(chunk)})
+    extent = scalars(df, cols, {"n": F.count, "lo": F.min, "hi": F.max}, value)
+    out: dict[str, list[float] | None] = {c: None for c in cols if extent[c]["n"] == 0}
+    filled = [c for c in cols if extent[c]["n"] > 0]
+    small = [c for c in filled if extent[c]["n"] <= exact_rows]
+    if small:
+        rows = column_stats(df, small, {"q": lambda x: F.percentile(x, F.lit(probs))}, value).collect()
+        out |= {r["column"]: list(r["q"]) for r in rows}
     large = [c for c in filled if c not in small]
     if large:
-        wanted = {}
+        spots = {c: [p * (extent[c]["n"] - 1) for p in probs] for c in large}
+        brackets = [
+            Bracket(c, extent[c]["lo"], extent[c]["hi"], 0, extent[c]["n"], {k for s in spots[c] for k in (math.floor(s), math.ceil(s))})
+            for c in large
+        ]
+        found = order_statistics(df, brackets, value, exact_rows)
         for c in large:
-            spots = [p * (sizes[c]["n"] - 1) for p in probs]
-            wanted[c] = (spots, sorted({k for s in spots for k in (math.floor(s), math.ceil(s))}))
-        found = _order_statistics(
-            df,
-            {c: ranks for c, (_, ranks) in wanted.items()},
-            {c: sizes[c]["n"] for c in large},
-            value,
-            exact_rows,
-            exact_distinct,
-        )
-        for c, (spots, _) in wanted.items():
-            ends = [(found[c, math.floor(s)], found[c, math.ceil(s)], s - math.floor(s)) for s in spots]
-            out[c] = [a if w == 0 else (1 - w) * a + w * b for a, b, w in ends]
-    return out
+            ends = [(found[c, math.floor(s)], found[c, math.ceil(s)], s - math.floor(s)) for s in spots[c]]
+            out[c] = [a if w == 0 or a == b else (1 - w) * a + w * b for a, b, w in ends]
+    return {c: out[c] for c in cols}
 
 
-def _order_statistics(df, ranks, sizes, value, exact_rows, exact_distinct) -> dict[tuple[str, int], float]:
-    """The values at 0-based ranks of the sorted columns."""
-    accuracy, margin = 10_000, 2e-4
-    open_: dict[tuple[str, int], dict] = {
-        (c, r): {"lo": -math.inf, "hi": math.inf, "below": 0, "within": sizes[c], "distinct": math.inf}
-        for c, rs in ranks.items()
-        for r in rs
-    }
-    done: dict[tuple[str, int], float] = {}
+@dataclass
+class Bracket:
+    """Values of a column between lo and hi: how many lie below, how many within, and the ranks sought there."""
+
+    column: str
+    lo: float
+    hi: float
+    below: int
+    within: int
+    ranks: set[int]
+    stuck: bool = False
+
 
-    def inside(c, b):
-        x = value(df, c)
-        return F.when((x >= F.lit(b["lo"])) & (x <= F.lit(b["hi"])), x)
-
-    def ready(b):
-        return b["within"] <= exact_rows or b["distinct"] <= exact_distinct * 0.9
-
-    while open_:
-        todo = list(open_.items())
-        last = [(k, b) for k, b in todo if ready(b)]
-        for chunk in chunks(last, SETTINGS.columns_per_job):
-            masked = df.select(*[inside(k[0], b).alias(f"x{i}") for i, (k, b) in enumerate(chunk)])
-            exprs = []
-            for i, ((_, r), b) in enumerate(chunk):
-                p = (r - b["below"] + 0.5) / b["within"]
-                exprs.append(F.expr(f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY x{i})").alias(f"v{i}"))
-            row = masked.agg(*exprs).first()
-            for i, (k, _) in enumerate(chunk):
-                done[k] = row[f"v{i}"]
-                del open_[k]
-        todo = list(open_.items())
-        for chunk in chunks(todo, SETTINGS.columns_per_job):
-            aims = []
-            for (c, r), b in chunk:
-                t = (r - b["below"]) / b["within"]
-                aims.append([max(t - margin, 0.0), min(t + margin, 1.0)])
-            guess = df.agg(
-                *[
-                    F.percentile_approx(inside(k[0], b), F.array(*[F.lit(a) for a in aim]), accuracy).alias(f"g{i}")
-                    for i, ((k, b), aim) in enumerate(zip(chunk, aims))
-                ]
-            ).first()
-            exprs = []
-            for i, ((c, _), b) in enumerate(chunk):
-                x, (lo, hi) = value(df, c), guess[f"g{i}"]
-                held = F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x)
-                exprs += [
-                    F.count_if(x < F.lit(lo)).alias(f"b{i}"),
-                    F.count(held).alias(f"w{i}"),
-                    F.approx_count_distinct(held, 0.02).alias(f"d{i}"),
-                ]
-            seen = df.agg(*exprs).first()
-            for i, ((c, r), b) in enumerate(chunk):
-                lo, hi = guess[f"g{i}"]
-                below, within = seen[f"b{i}"], seen[f"w{i}"]
-                if r < below:  # the guess lies too high: keep what is under it
-                    b.update(hi=math.nextafter(lo, -math.inf), within=below - b["below"], distinct=math.inf)
-                elif r >= below + within:  # too low: keep what is above it
-                    cut = below + within
-                    b.update(
-                        lo=math.nextafter(hi, math.inf), within=b["below"] + b["within"] - cut, below=cut, distinct=math.inf
-                    )
-                elif lo == hi:
-                    done[c, r] = lo
-                    del open_[c, r]
-                else:
-                    b.update(lo=lo, hi=hi, below=below, within=within, distinct=seen[f"d{i}"])
+def order_statistics(df: DataFrame, brackets: list[Bracket], value, exact_rows: int) -> dict[tuple[str, int], float]:
+    """The values at the given 0-based ranks of the sorted columns."""
+    done: dict[tuple[str, int], float] = {}
+    ready: list[Bracket] = []
+    while brackets:
+        done |= {(b.column, r): b.lo for b in brackets if b.lo == b.hi for r in b.ranks}
+        ready += [b for b in brackets if b.lo != b.hi and b.within <= exact_rows]
+        brackets = [b for b in brackets if b.lo != b.hi and b.within > exact_rows]
+        brackets = [n for group in chunks(brackets, 4 * SETTINGS.columns_per_job) for n in _narrowed(df, group, value)]
+    for group in chunks(ready, SETTINGS.columns_per_job):
+        rows = _binned(df, group, value, 1).groupBy("slot").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        places = [(i, r, r - b.below + 1) for i, b in enumerate(group) for r in b.ranks]
+        sought = df.sparkSession.createDataFrame(places, "slot bigint, rank bigint, place int")
+        for r in rows.join(F.broadcast(sought), "slot").select("slot", "rank", F.element_at("xs", F.col("place")).alias("v")).collect():
+            done[group[r["slot"]].column, r["rank"]] = r["v"]
     return done
 
 
+def _binned(df: DataFrame, brackets: Sequence[Bracket], value, bins: int, edges: dict[int, tuple[float, float]] | None = None) -> DataFrame:
+    """(slot, x) of all values inside a bracket; slot = bracket number * bins + bin."""
+    columns = list(dict.fromkeys(b.column for b in brackets))
+    parts = {c: F.lit(None).cast("bigint") for c in columns}
+    names = {c: f"x{i}" for i, c in enumerate(columns)}
+    for i, b in enumerate(brackets):
+        x = F.col(names[b.column])
+        if bins == 1:
+            at = F.lit(0).cast("bigint")
+        elif edges and i in edges:  # three zones: under, between and over two guessed values
+            at = F.when(x < F.lit(edges[i][0]), 0).when(x <= F.lit(edges[i][1]), 1).otherwise(2).cast("bigint")
+        else:
+            at = F.least(F.floor((x - F.lit(b.lo)) / F.lit(b.hi - b.lo) * F.lit(float(bins))), F.lit(bins - 1)).cast("bigint")
+        inside = (x >= F.lit(b.lo)) & (x <= F.lit(b.hi))
+        parts[b.column] = F.when(inside, F.lit(i * bins) + at).otherwise(parts[b.column])
+    picked = df.select(*[value(df, c).alias(n) for c, n in names.items()])
+    cells = [e for c in columns for e in (parts[c], F.col(names[c]))]
+    return picked.select(F.stack(F.lit(len(columns)), *cells).alias("slot", "x")).where("slot IS NOT NULL")
+
+
+def _narrowed(df: DataFrame, brackets: Sequence[Bracket], value, max_bins: int = 4096) -> list[Bracket]:
+    """Each bracket replaced by the occupied bins that hold its ranks."""
+    bins = max(64, min(max_bins, 200_000 // len(brackets)))
+    edges = {}
+    stuck = [i for i, b in enumerate(brackets) if b.stuck]
+    if stuck:  # values crowd in one bin: guess an interval around the ranks from approximate percentiles
+        guesses = []
+        for i in stuck:
+            b, x = brackets[i], value(df, brackets[i].column)
+            held = F.when((x >= F.lit(b.lo)) & (x <= F.lit(b.hi)), x)
+            aims = [max((min(b.ranks) - b.below) / b.within - 2e-4, 0.0), min((max(b.ranks) - b.below) / b.within + 2e-4, 1.0)]
+            guesses.append(F.percentile_approx(held, F.array(*[F.lit(a) for a in aims]), 10_000).alias(f"g{i}"))
+        row = df.agg(*guesses).first()
+        edges = {i: tuple(row[f"g{i}"]) for i in stuck}
+    counts = _binned(df, brackets, value, bins, edges).groupBy("slot").agg(
+        F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
+    )
+    held: dict[int, list] = {}
+    for r in counts.collect():  # at most 200,000 rows
+        held.setdefault(r["slot"] // bins, []).append(r)
+    out = []
+    for i, b in enumerate(brackets):
+        below, ranks = b.below, sorted(b.ranks)
+        for r in sorted(held[i], key=lambda r: r["slot"]):
+            here = {k for k in ranks if below <= k < below + r["n"]}
+            if here:
+                crowded = r["n"] * 16 > b.within and not b.stuck
+                out.append(Bracket(b.column, r["lo"], r["hi"], below, r["n"], here, crowded))
+            below += r["n"]
+    return out
+
+
 # --- counts of values --------------------------------------------------------------------------
 
 
@@ -252,30 +261,32 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], value=number) -> DataFrame:
-    """(c1, c2, r): Pearson over rows where both values are present; NULL if either is constant.
+    """(position, c1, c2, r): Pearson over rows where both values are present; NULL if either is constant.
 
-    Every chunk of pairs is one aggregate. For columns without missing values the two standard deviations are the
-    plain column ones, which Catalyst computes once however many pairs use them.
+    One pass gathers means and deviations. A second sums the products of the centred values for many pairs at once; pairs
+    with missing values use covariance and deviations over their common rows instead.
     """
     names = list(dict.fromkeys(c for p in pairs for c in p))
-    gaps = scalars(df, names, {"gaps": lambda x: F.count_if(x.isNull())}, value)
+    seen = scalars(
+        df, names, {"n": F.count, "gaps": lambda x: F.count_if(x.isNull()), "m": F.avg, "sd": F.stddev_samp}, value
+    )
     parts = []
     for base, chunk in zip(range(0, len(pairs), SETTINGS.pairs_per_job), chunks(pairs, SETTINGS.pairs_per_job)):
         used = list(dict.fromkeys(c for p in chunk for c in p))
         at = {c: f"x{i}" for i, c in enumerate(used)}
         inputs = df.select(*[value(df, c).alias(at[c]) for c in used])
 
-        def where(c, other):
-            return F.when(F.col(at[other]).isNotNull(), F.col(at[c])) if gaps[other]["gaps"] else F.col(at[c])
-
-        row = inputs.agg(
-            *[
-                F.try_divide(
-                    F.covar_samp(at[a], at[b]), F.stddev_samp(where(a, b)) * F.stddev_samp(where(b, a))
-                ).alias(f"r{i}")
-                for i, (a, b) in enumerate(chunk)
-            ]
-        )
+        def r_of(a, b):
+            x, y, sa, sb = F.col(at[a]), F.col(at[b]), seen[a], seen[b]
+            if sa["gaps"] or sb["gaps"]:
+                both = x.isNotNull() & y.isNotNull()
+                return F.try_divide(F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y)))
+            scale = (sa["n"] - 1) * (sa["sd"] or 0.0) * (sb["sd"] or 0.0)
+            if not scale:
+                return F.any_value(F.lit(None).cast("double"))
+            return F.sum((x - F.lit(sa["m"])) * (y - F.lit(sb["m"]))) / F.lit(scale)
+
+        row = inputs.agg(*[r_of(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
         structs = [
             F.struct(
                 F.lit(base + i).alias("position"), F.lit(a).alias("c1"), F.lit(b).alias("c2"), F.col(f"r{i}").alias("r")

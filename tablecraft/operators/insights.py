@@ -138,10 +138,15 @@ def correlated_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     )
 
 
-def skewed_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def shape_stats(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, position, n, variance, skew, kurtosis): what the shape detectors share."""
+    return column_stats(df, cols, {"n": F.count, "variance": F.var_samp, "skew": skewness_g1, "kurtosis": kurtosis_g2})
+
+
+def skewed_columns(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     cols = numeric_cols(df) if cols is None else cols
     return (
-        column_stats(df, cols, {"skew": skewness_g1})
+        (column_stats(df, cols, {"skew": skewness_g1}) if stats is None else stats)
         .where(F.abs("skew") > SETTINGS.skew_threshold)
         .select(
             "column",
@@ -152,11 +157,11 @@ def skewed_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     )
 
 
-def imbalanced_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def imbalanced_columns(df: DataFrame, cols: list[str] | None = None, summary: DataFrame | None = None) -> DataFrame:
     """Text columns in which one value makes up more than the allowed share of the present values."""
     cols = string_cols(df) if cols is None else cols
     return (
-        value_summary(value_counts(df, cols))
+        (value_summary(value_counts(df, cols)) if summary is None else summary)
         .where(F.col("mode_n") / F.col("total") > SETTINGS.imbalance_ratio)
         .select(
             "column",
@@ -169,24 +174,25 @@ def imbalanced_columns(df: DataFrame, cols: list[str] | None = None) -> DataFram
     )
 
 
-def high_cardinality(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def high_cardinality(df: DataFrame, cols: list[str] | None = None, summary: DataFrame | None = None) -> DataFrame:
     cols = string_cols(df) if cols is None else cols
-    return distinct_counts(df, cols).where(F.col("n_unique") > SETTINGS.high_cardinality)
+    seen = distinct_counts(df, cols) if summary is None else summary.select("column", "n_unique")
+    return seen.where(F.col("n_unique") > SETTINGS.high_cardinality)
 
 
-def low_variance(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def low_variance(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     cols = numeric_cols(df) if cols is None else cols
     return (
-        column_stats(df, cols, {"variance": F.var_samp})
+        (column_stats(df, cols, {"variance": F.var_samp}) if stats is None else stats)
         .where(F.col("variance") < SETTINGS.low_variance)
         .select("column", "position", F.round("variance", 6).alias("variance"))
     )
 
 
-def distribution_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def distribution_types(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """The shape of each numeric column: first matching rule wins."""
     cols = numeric_cols(df) if cols is None else cols
-    stats = column_stats(df, cols, {"n": F.count, "skew": skewness_g1, "kurtosis": kurtosis_g2})
+    stats = shape_stats(df, cols) if stats is None else stats
     skew, kurt, d = F.col("skew"), F.col("kurtosis"), F.col("n_unique")
     shape = (
         F.when(d <= 2, "Binary")
@@ -241,6 +247,11 @@ def _rollup(found: DataFrame, kind: str, seq: int, severity, order, line, metric
     )
 
 
+def held(small: DataFrame) -> DataFrame:
+    """The rows of a per-column (or per-pair) result, computed now."""
+    return small.sparkSession.createDataFrame(small.toArrow())
+
+
 def _graded(grade_value, critical=None, warning=None):
     out = F.lit("info")
     if warning is not None:
@@ -254,6 +265,9 @@ def report(df: DataFrame) -> DataFrame:
     """All insights, critical ones first, then warnings, then information."""
     numbers, text = numeric_cols(df), string_cols(df)
     parts = [_summary_row(df)]
+    # One row per column, computed once for all detectors that use them.
+    stats = held(shape_stats(df, numbers)) if numbers else None
+    summary = held(value_summary(value_counts(df, text)).drop("value_bytes")) if text else None
     if numbers:
         parts.append(
             _rollup(
@@ -263,7 +277,7 @@ def report(df: DataFrame) -> DataFrame:
             )
         )
     if len(numbers) > 1:
-        pairs = correlated_pairs(df, numbers).withColumn("column", F.concat_ws(" ~ ", "c1", "c2"))
+        pairs = held(correlated_pairs(df, numbers)).withColumn("column", F.concat_ws(" ~ ", "c1", "c2"))
         line = _text("%s (r=%.3f)", "column", "r")
         for seq, name, level in ((2, "strong", "warning"), (3, "moderate", "info")):
             found = _rollup(
@@ -279,7 +293,7 @@ def report(df: DataFrame) -> DataFrame:
     if numbers:
         parts.append(
             _rollup(
-                skewed_columns(df, numbers), "skewness", 4, _graded(F.max(F.abs("skew")), None, 2), -F.abs("skew"),
+                skewed_columns(df, numbers, stats), "skewness", 4, _graded(F.max(F.abs("skew")), None, 2), -F.abs("skew"),
                 _text("%s leans %s at %.3f", "column", "direction", "skew"), F.col("skew"), ADVICE["skewness"],
                 TITLES["skewness"], "{n} column(s) with |skew| above 1: ", 5,
             )
@@ -287,14 +301,14 @@ def report(df: DataFrame) -> DataFrame:
     if text:
         parts.append(
             _rollup(
-                imbalanced_columns(df, text), "imbalance", 5, F.when(F.max("dominant_pct") > 90, "critical").otherwise("warning"),
+                imbalanced_columns(df, text, summary), "imbalance", 5, F.when(F.max("dominant_pct") > 90, "critical").otherwise("warning"),
                 F.lit(0.0), _text("%s: '%s' holds %.2f%%, '%s' %.2f%%", "column", "dominant_class", "dominant_pct", "minority_class", "minority_pct"),
                 F.col("dominant_pct"), ADVICE["imbalance"], TITLES["imbalance"], "{n} column(s) dominated by one value: ",
             )
         )
         parts.append(
             _rollup(
-                high_cardinality(df, text), "high_cardinality", 6, F.lit("warning"), F.lit(0.0),
+                high_cardinality(df, text, summary), "high_cardinality", 6, F.lit("warning"), F.lit(0.0),
                 _text("%s (%d distinct)", "column", "n_unique"), F.col("n_unique").cast("double"),
                 ADVICE["high_cardinality"], TITLES["high_cardinality"], "{n} column(s) with very many values: ",
             )
@@ -302,14 +316,14 @@ def report(df: DataFrame) -> DataFrame:
     if numbers:
         parts.append(
             _rollup(
-                low_variance(df, numbers), "low_variance", 7, F.lit("warning"), F.col("position").cast("double"),
+                low_variance(df, numbers, stats), "low_variance", 7, F.lit("warning"), F.col("position").cast("double"),
                 _text("%s (%.6f)", "column", "variance"), F.col("variance"), ADVICE["low_variance"],
                 TITLES["low_variance"], "{n} column(s) hardly vary: ",
             )
         )
         parts.append(
             _rollup(
-                distribution_types(df, numbers), "distribution", 8, F.lit("info"), F.col("position").cast("double"),
+                distribution_types(df, numbers, stats), "distribution", 8, F.lit("info"), F.col("position").cast("double"),
                 _text("%s is %s", "column", "distribution"), F.col("skew"), "", TITLES["distribution"],
                 "Shapes of {n} column(s): ",
             ).withColumn("affected_columns", F.array().cast("array<string>"))

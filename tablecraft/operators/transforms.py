@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import add_columns, filled_number, number
-from tablecraft.functions.statistics import chunks, quantiles, scalars
+from tablecraft.functions.statistics import quantiles, scalars, unpivoted
 from tablecraft.operators.fitted import Fitted, known
 from tablecraft.settings import SETTINGS
 
@@ -54,30 +54,30 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def log_likelihood(x: Column, lam: float) -> Column:
-    """Profile log-likelihood of lambda, as an aggregate."""
-    var = F.var_pop(yeo_johnson(x, lam))
-    slope = F.sum(F.signum(x) * F.log1p(F.abs(x)))
-    return F.when(var > 0, -F.count(x) / 2.0 * F.log(var) + F.lit(lam - 1.0) * slope)
-
-
 def likelihood_grid(df: DataFrame, columns: list[str], grids: dict[str, list[float]]) -> dict[str, list[float | None]]:
-    """Log-likelihoods of every column on its own grid; few columns per job keep generated code small."""
-    out: dict[str, list[float | None]] = {}
-    for chunk in chunks(columns, 3):
-        x = df.select(*[filled_number(df, c).alias(f"x{i}") for i, c in enumerate(chunk)])
-        row = x.agg(
-            *[
-                log_likelihood(F.col(f"x{i}"), lam).alias(f"l{i}_{j}")
-                for i, c in enumerate(chunk)
-                for j, lam in enumerate(grids[c])
-            ]
-        ).first()
-        out |= {c: [row[f"l{i}_{j}"] for j in range(len(grids[c]))] for i, c in enumerate(chunk)}
+    """Profile log-likelihoods of every column on its own grid of lambdas, all in one pass.
+
+    Each value meets the grid inside its task; what is shuffled is one partial sum per column, lambda and task.
+    """
+    cells = unpivoted(df, columns, filled_number)
+    ladder = F.array(*[F.array(*[F.lit(lam) for lam in grids[c]]) for c in columns])
+    # (1 + |x|)^k = exp(k * log1p(|x|)): one logarithm per value serves all lambdas.
+    base = cells.select("position", (F.col("x") >= 0).alias("up"), F.log1p(F.abs("x")).alias("log"))
+    tried = base.select("position", "up", "log", F.posexplode(F.get(ladder, F.col("position"))).alias("step", "lam"))
+    sign = F.when(F.col("up"), 1.0).otherwise(-1.0)
+    k = F.when(F.col("up"), F.col("lam")).otherwise(F.lit(2.0) - F.col("lam"))
+    psi = sign * F.coalesce(F.try_divide(F.expm1(k * F.col("log")), k), F.col("log"))
+    sums = tried.groupBy("position", "step", "lam").agg(
+        F.count("log").alias("n"), F.var_pop(psi).alias("var"), F.sum(sign * F.col("log")).alias("slope")
+    )
+    loglik = F.when(F.col("var") > 0, -F.col("n") / 2.0 * F.log("var") + (F.col("lam") - 1.0) * F.col("slope"))
+    out: dict[str, list[float | None]] = {c: [None] * len(grids[c]) for c in columns}
+    for r in sums.select("position", "step", loglik.alias("l")).collect():
+        out[columns[r["position"]]][r["step"]] = r["l"]
     return out
 
 
-def fit_lambdas(df: DataFrame, columns: list[str], points: int = 17, rounds: int = 6) -> dict[str, float]:
+def fit_lambdas(df: DataFrame, columns: list[str], points: int = 13, rounds: int = 6) -> dict[str, float]:
     """Maximum-likelihood lambda per column: all columns share every pass, each pass narrows the interval.
 
     The interval grows while the best point lies on its edge. Columns without spread are left out.

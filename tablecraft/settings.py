@@ -33,15 +33,14 @@ class Settings:
     float32_tolerance: float = 5e-4
 
     # Bounds on what may be held by one task, broadcast or sent to the driver.
-    exact_rows: int = 1_000_000
-    exact_distinct: int = 100_000
+    exact_rows: int = 200_000
     broadcast_rows: int = 100_000
     broadcast_bytes: int = 32 * 1024 * 1024
     hot_keys: int = 1_000
     spread: int = 4_096
     max_classes: int = 10_000
     columns_per_job: int = 40
-    pairs_per_job: int = 120
+    pairs_per_job: int = 60
 
 
 SETTINGS = Settings()
