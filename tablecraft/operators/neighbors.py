@@ -145,27 +145,29 @@ def knn_join(
             picked += [ids[row] for row in floor <= limit]
         return pd.Series(picked)
 
-    visiting = queries.select("id", "vector", F.explode(visits("vector")).alias("cell"))
+    visiting = queries.select(F.col("id").alias("q_id"), F.col("vector").alias("q_vector")).select(
+        "q_id", "q_vector", F.explode(visits("q_vector")).alias("cell")
+    )
     demand = {r["cell"]: r["n"] for r in visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = queries.sparkSession
     grid = spark.createDataFrame(
         [(c, math.ceil(spread[c]["n"] / block), max(1, math.ceil(demand.get(c, 0) / chunk))) for c in cells],
         "cell int, blocks int, chunks int",
     )
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     left = visiting.join(F.broadcast(grid), "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part("chunks").alias("chunk"), "id", "vector"
+        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part("q_id", "chunks").alias("chunk"), "q_id", "q_vector"
     )
     right = placed.join(F.broadcast(grid), "cell").select(
-        "cell", part("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "vector"
+        "cell", part("id", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "vector"
     )
 
     def nearest_of(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(q) and len(p):
             p = p.sort_values("id")
-            x, y = matrix(q["vector"]), matrix(p["vector"])
-            qid, pid = q["id"].to_numpy(), p["id"].to_numpy()
+            x, y = matrix(q["q_vector"]), matrix(p["vector"])
+            qid, pid = q["q_id"].to_numpy(), p["id"].to_numpy()
             for start in range(0, len(x), 512):
                 rows = x[start : start + 512]
                 best = _k_smallest(np.round(squared_distances(rows, y), 10), min(k, len(p)))

@@ -147,9 +147,11 @@ def column_bytes(df: DataFrame) -> DataFrame:
 
 
 def dtype_counts(df: DataFrame) -> DataFrame:
-    return local_rows(df, [(f.dataType.simpleString(),) for f in df.schema], "dtype string").groupBy("dtype").agg(
-        F.count(F.lit(1)).alias("n_columns")
-    )
+    """(dtype, n_columns, n_values): columns and present values per type."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    held = column_stats(df, df.columns, {"n": F.count_if}, lambda d, c: present(d, c).isNotNull())
+    meta = local_rows(df, list(kinds.items()), "column string, dtype string")
+    return held.join(F.broadcast(meta), "column").groupBy("dtype").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n").alias("n_values"))
 
 
 def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:

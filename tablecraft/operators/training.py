@@ -119,10 +119,18 @@ def train(
         classes = int((fit_rows.agg(F.max("label").alias("m")).first()["m"] or 0) + 1)
         if fit_rows.select("label").distinct().limit(2).count() < 2:
             raise ValueError("the training rows hold a single class")
-    start = time.perf_counter()
-    model = _estimator(spec, len(features), classes, epochs, overrides).fit(fit_rows.drop("split"))
-    seconds = time.perf_counter() - start
-    rows = _history(model, fit_rows, parts.where("split = 'val'"), task) if history else []
+    own = not parts.is_cached
+    if own:  # several passes follow
+        parts = parts.persist()
+        fit_rows = parts.where("split = 'train'")
+    try:
+        start = time.perf_counter()
+        model = _estimator(spec, len(features), classes, epochs, overrides).fit(fit_rows.drop("split"))
+        seconds = time.perf_counter() - start
+        rows = _history(model, fit_rows, parts.where("split = 'val'"), task) if history else []
+    finally:
+        if own:
+            parts.unpersist()
     return Trained(class_name, task, features, model, seconds, model.transform(parts.where("split = 'test'")), rows)
 
 

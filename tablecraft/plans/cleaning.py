@@ -299,7 +299,7 @@ QUERIES = {
     "chart_dtypes": (
         lambda s, d: profiling.dtype_counts(table(s, d, "lineitem")),
         """SELECT CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
-        ELSE 'timestamp_ntz' END AS dtype, count(*) AS n_columns FROM (DESCRIBE lineitem) GROUP BY 1""",
+        ELSE 'timestamp_ntz' END AS dtype, count(*) AS n_columns, count(*) * (SELECT count(*) FROM lineitem) AS n_values FROM (DESCRIBE lineitem) GROUP BY 1""",
     ),
     "chart_histogram": (
         lambda s, d: profiling.histogram(table(s, d, "lineitem")),
