@@ -18,7 +18,10 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 # Accepted date spellings: year first, or month/day/year, each with an optional time part.
 YEAR_FIRST = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})([ T][0-9].*)?$"
 MONTH_FIRST = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})([ T][0-9].*)?$"
-NAMED_MONTH_FORMATS = ("MMM d, yyyy", "d MMM yyyy")
+NAMED_MONTHS = (
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"),
+    ("d MMM yyyy", r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$"),
+)
 
 
 def quote(name: str) -> str:
@@ -85,13 +88,8 @@ def parse_moment(c: Column) -> Column:
     iso = F.when(text.rlike(YEAR_FIRST), F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3$4")).when(
         text.rlike(MONTH_FIRST), F.regexp_replace(text, MONTH_FIRST, "$3-$1-$2$4")
     )
-    named = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in NAMED_MONTH_FORMATS]
-    short = F.char_length(text) <= 12  # longest spelling is "Sep 30, 2024"
-    return F.coalesce(iso.try_cast("timestamp_ntz"), *[F.when(short, n) for n in named])
-
-
-def literal_array(values, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+    named = [F.when(text.rlike(p), F.try_to_timestamp(text, F.lit(f))).cast("timestamp_ntz") for f, p in NAMED_MONTHS]
+    return F.coalesce(iso.try_cast("timestamp_ntz"), *named)
 
 
 def add_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:

@@ -33,6 +33,8 @@ def unpivoted(df: DataFrame, cols: Sequence[str], value: Callable[[DataFrame, st
     """(position, x): one row per cell of the chosen columns; only those columns are read."""
     names = [f"x{i}" for i in range(len(cols))]
     picked = df.select(*[value(df, c).alias(n) for c, n in zip(cols, names)])
+    if isinstance(picked.schema[0].dataType, T.StructType):  # stacked structs must agree on what may be missing
+        picked = picked.select(*[F.col(n).cast(picked.schema[n].dataType.simpleString()).alias(n) for n in names])
     return picked.select(F.stack(F.lit(len(cols)), *[e for i, n in enumerate(names) for e in (F.lit(i), F.col(n))]).alias("position", "x"))
 
 

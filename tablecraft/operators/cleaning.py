@@ -36,8 +36,8 @@ def null_census(df: DataFrame) -> DataFrame:
     return column_stats(
         df,
         df.columns,
-        {"n_rows": lambda x: F.count(F.lit(1)), "nulls": lambda x: F.count_if(x.isNull())},
-        present,
+        {"n_rows": lambda x: F.count(F.lit(1)), "nulls": F.count_if},
+        lambda d, c: present(d, c).isNull(),
     )
 
 
@@ -105,7 +105,7 @@ def drop_high_null(df: DataFrame, threshold: float = SETTINGS.null_drop_threshol
 
 
 def _with_gaps(df: DataFrame, columns: list[str]) -> list[str]:
-    gaps = scalars(df, columns, {"gaps": lambda x: F.count_if(x.isNull())}, present)
+    gaps = scalars(df, columns, {"gaps": F.count_if}, lambda d, c: present(d, c).isNull())
     return [c for c in columns if gaps[c]["gaps"]]
 
 

@@ -300,7 +300,9 @@ def stratified_split(
     needed = max(2, math.ceil(1 / test))
     if not 1 < len(sizes) <= SETTINGS.max_classes or min(sizes) < needed:
         return hash_split(df, keys, test, val)
+    # One row per class (their number was checked), computed once rather than with every use of the split.
     cuts = class_cuts(hashed, {"test_cut": test, "val_cut": test + val}).withColumnRenamed("label", "__class")
+    cuts = df.sparkSession.createDataFrame(cuts.toArrow())
     spot = row_hash(keys)
     out = df.withColumn("__hash", spot).join(F.broadcast(cuts), col(label).cast("string") == F.col("__class"), "left")
     name = F.when(F.col("__hash") <= F.col("test_cut"), "test").when(F.col("__hash") <= F.col("val_cut"), "val")
