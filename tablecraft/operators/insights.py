@@ -11,9 +11,8 @@ from tablecraft.functions.statistics import (
     column_stats,
     correlations,
     distinct_counts,
-    kurtosis_g2,
+    moments,
     quantiles,
-    skewness_g1,
     union_all,
     value_counts,
     value_summary,
@@ -140,13 +139,15 @@ def correlated_pairs(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def shape_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, position, n, variance, skew, kurtosis): what the shape detectors share."""
-    return column_stats(df, cols, {"n": F.count, "variance": F.var_samp, "skew": skewness_g1, "kurtosis": kurtosis_g2})
+    seen = moments(df, cols)
+    rows = [(c, i, seen[c]["n"], seen[c]["variance"], seen[c]["skew"], seen[c]["kurtosis"]) for i, c in enumerate(cols)]
+    return local_rows(df, rows, "column string, position int, n bigint, variance double, skew double, kurtosis double")
 
 
 def skewed_columns(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     cols = numeric_cols(df) if cols is None else cols
     return (
-        (column_stats(df, cols, {"skew": skewness_g1}) if stats is None else stats)
+        (shape_stats(df, cols) if stats is None else stats)
         .where(F.abs("skew") > SETTINGS.skew_threshold)
         .select(
             "column",
@@ -266,7 +267,7 @@ def report(df: DataFrame) -> DataFrame:
     numbers, text = numeric_cols(df), string_cols(df)
     parts = [_summary_row(df)]
     # One row per column, computed once for all detectors that use them.
-    stats = held(shape_stats(df, numbers)) if numbers else None
+    stats = shape_stats(df, numbers) if numbers else None
     summary = held(value_summary(value_counts(df, text)).drop("value_bytes")) if text else None
     if numbers:
         parts.append(

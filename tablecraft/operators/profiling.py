@@ -9,20 +9,16 @@ from pyspark.sql import types as T
 from tablecraft.functions.columns import col, number, numeric_cols, present, string_cols
 from tablecraft.functions.statistics import (
     all_pairs,
-    chunks,
     column_stats,
     correlations,
     distinct_counts,
-    kurtosis_g2,
+    moments,
     quantiles,
     scalars,
-    skewness_g1,
-    union_all,
     value_counts,
     value_summary,
 )
 from tablecraft.operators.cleaning import CleanReport
-from tablecraft.settings import SETTINGS
 
 # How much the chart data shows.
 HISTOGRAM_COLUMNS, HISTOGRAM_BINS = 9, 20
@@ -96,21 +92,15 @@ def column_info(df: DataFrame, nulls_before: dict[str, int] | None = None) -> Da
 def numeric_stats(df: DataFrame, cols: list[str] | None = None, digits: int = 3) -> DataFrame:
     """count, mean, std, min, quartiles, max, skew and kurtosis per numeric column."""
     cols = numeric_cols(df) if cols is None else cols
-    schema = "column string, q25 double, q50 double, q75 double"
-    quarts = quantiles(df, cols, [0.25, 0.5, 0.75])
-    moments = column_stats(
-        df,
-        cols,
-        {
-            "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-            "skew": skewness_g1, "kurtosis": kurtosis_g2,
-        },
-    )
-    table = local_rows(df, [(c, *(quarts[c] or [None] * 3)) for c in cols], schema)
+    seen = moments(df, cols)
+    quarts = quantiles(df, cols, [0.25, 0.5, 0.75], extent=seen)
+    rows = [
+        (c, m["n"], m["mean"], None if m["variance"] is None else m["variance"] ** 0.5, m["lo"], *(quarts[c] or [None] * 3), m["hi"], m["skew"], m["kurtosis"])
+        for c, m in seen.items()
+    ]
     names = ["mean", "std", "min", "q25", "q50", "q75", "max", "skew", "kurtosis"]
-    return moments.join(F.broadcast(table), "column").select(
-        "column", "count", *[F.round(n, digits).alias(n) for n in names]
-    )
+    table = local_rows(df, rows, "column string, count bigint, " + ", ".join(f"{n} double" for n in names))
+    return table.select("column", "count", *[F.round(n, digits).alias(n) for n in names])
 
 
 def categorical_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tablecraft.functions.columns import col
 from tablecraft.operators import cleaning, profiling
 from tablecraft.plans.tables import rounded, scratch, sql_view, table, view

@@ -85,6 +85,16 @@ def test_moments_match_pandas(spark):
     assert row["kurtosis"] == pytest.approx(pd.Series(values).kurt(), abs=1e-8)
 
 
+def test_moments_of_extreme_and_short_columns(spark):
+    df = spark.createDataFrame([(1e-200, 1e200, None), (3e-200, -2e200, 1.0), (4e-200, 5e200, None), (9e-200, 1e10, 2.0)], "a double, b double, c double")
+    seen = statistics.moments(df, ["a", "b", "c"])
+    # Squares that underflow count as no spread, as in pandas; squares that overflow have no kurtosis.
+    assert seen["a"]["kurtosis"] == pd.Series([1e-200, 3e-200, 4e-200, 9e-200]).kurt() == 0
+    assert seen["b"]["kurtosis"] is None
+    assert seen["c"]["n"] == 2 and seen["c"]["variance"] == 0.5 and seen["c"]["skew"] is None
+    assert statistics.moments(df.limit(0), ["a"])["a"]["variance"] is None
+
+
 def test_f_survival():
     assert f_survival(3.841459, 1, 1e7) == pytest.approx(0.05, abs=1e-5)
     assert f_survival(4.102821, 2, 10) == pytest.approx(0.05, abs=1e-6)
