@@ -68,7 +68,12 @@ def scalars(df: DataFrame, cols: Sequence[str], metrics: dict[str, Metric], valu
     """The same aggregates as plain numbers on the driver: len(cols) * len(metrics) values."""
     if not cols:
         return {}
-    return {r["column"]: r.asDict() for r in column_stats(df, cols, metrics, value).collect()}
+    out = {r["column"]: r.asDict() for r in column_stats(df, cols, metrics, value).collect()}
+    if len(out) < len(cols):  # a table without rows: what the aggregates say of no values
+        for c in cols:
+            nothing = df.select(value(df, c).alias("x")).where(F.lit(False))
+            out[c] = nothing.agg(*[fn(F.col("x")).alias(m) for m, fn in metrics.items()]).first().asDict()
+    return out
 
 
 def moments(df: DataFrame, cols: Sequence[str], value=number) -> dict[str, dict]:
