@@ -45,3 +45,14 @@ def wide_hash(*columns: Column) -> list[Column]:
 def training_row(doc_id: Column, parts: int, held: int) -> Column:
     """True for rows outside the held-out fold, which is crc32 of the id's text modulo `parts` equal to `held`; a missing id trains."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts != held, F.lit(True))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where the body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def grams(words: Column, k: int, value) -> Column:
+    """value(slice of k consecutive words) for every position; empty where there are fewer words."""
+    n = F.size(words)
+    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: value(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablecraft.llm import line_dedup, mixing
+from tablecraft.llm import decontaminate, line_dedup, mixing, quality_knn, quality_rules
 from tablecraft.llm.columns import table
 
 
@@ -13,5 +13,8 @@ def over(fn, *names: str):
 
 QUERIES = {
     "op1_line_dedup": (over(line_dedup.op1_line_dedup, "documents"), line_dedup.SQL),
+    "op2_quality_knn": (over(quality_knn.op2_quality_knn, "documents", "labels"), None),
     "op3_mixing": (over(mixing.op3_mixing, "documents"), mixing.SQL),
+    "op7_quality_rules": (over(quality_rules.op7_quality_rules, "documents", "labels"), None),
+    "op9_decontamination": (over(decontaminate.op9_decontamination, "documents", "benchmark"), decontaminate.SQL),
 }
