@@ -59,6 +59,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
     words = docs.select(*key, plain_words(F.col("text")).alias("w"))
     item_words = benchmark.select(plain_words(F.col("text")).alias("w"))
 
+    def tagged(values: Column, n: int) -> Column:
+        return F.transform(values, lambda v: F.xxhash64(F.lit(n), v))
+
     def marks(w: Column, own: bool) -> Column:
         """(length, fingerprint) pairs; an item is sought by its own length only."""
         parts = []
@@ -66,7 +69,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
             values = fingerprints(w, window, gram) if n == window else F.array_distinct(grams(w, n, lambda s: F.xxhash64(s)))
             if own:
                 values = F.when(F.size(w) >= window if n == window else F.size(w) == n, values).otherwise(F.array().cast("array<bigint>"))
-            parts.append(F.transform(values, lambda v, n=n: F.xxhash64(F.lit(n), v)))
+            parts.append(tagged(values, n))
         return reduce(F.concat, parts) if parts else F.array().cast("array<bigint>")
 
     sought = item_words.select(F.explode(let(F.col("w"), lambda w: marks(w, True))).alias("mark")).distinct()
