@@ -1,13 +1,54 @@
-"""Documents to a deduplicated, decontaminated training mix, in stages."""
+"""Documents to a clean, deduplicated, decontaminated training mix, in stages."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablecraft.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules
+from tablecraft.llm.columns import table
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a learned rule rejects go."""
+    rules = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents repeat go; n_chars follows the text."""
+    deduped = line_dedup.dedup_lines(docs).withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
+    return deduped.select(*docs.columns)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that consist of benchmark passages to 5 % or more go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each copy that is taken."""
+    return mixing.mixed_texts(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules_stage),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mixing_stage),
+]
+#: The learned rules of the first stage are not SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.llm.columns import blank_words, whole
+from tablecraft.llm.storage import cut
 
 WEIGHTS, BUDGET, REPEATS = (5, 2, 1), 1.5, 2
 #: Length of the shared start of the shuffle key that makes a bucket: 16 ** 4 buckets a source.
@@ -37,11 +38,6 @@ def targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats:
     return leveled.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def running(rows: DataFrame, group: str, order: list, size: str) -> Column:
-    """Sum of `size` over the rows before this one of its group."""
-    return F.coalesce(F.sum(size).over(Window.partitionBy(group, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
     """Adds size, source_size, target, taken and finish to the rows of `docs` (doc_id, source, text, ...).
 
@@ -84,6 +80,40 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int =
     )
 
 
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the columns of `docs` with one row per copy taken, and copy, size, words (how many of its words the mix takes),
+    target and position. position counts the mix's words before the copy in the order of finish times, so sorting by it gives the mix in
+    the order in which the queues are served; it never passes the budget. A copy that the cut shortens gives its first words, joined by
+    one blank.
+
+    The global order is made on rows without texts: finish times are dealt to ranges, words are summed by range, and a running sum within
+    a range is added to the sum of those before it.
+    """
+    added = ("copy", "size", "words", "target", "position")
+    plan = mix(docs.select("doc_id", "source", "text"), **options).where("taken > 0")
+    copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(F.floor((F.col("taken") - 1) / F.col("size")), F.lit(REPEATS - 1)).cast("int"))))
+    copies = copies.withColumns({
+        "words": F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")),
+        "finish": F.least(F.lit(1.0), F.col("finish") + F.col("copy") * F.col("source_size") / F.col("target")),
+    }).withColumn("bucket", F.floor(F.col("finish") * 16**BUCKET_CHARS).cast("int"))
+    copies = cut(copies)
+    ranges = copies.groupBy("bucket").agg(F.sum("words").alias("w"))
+    ranges = ranges.select("bucket", F.coalesce(F.sum("w").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("bucket").orderBy("finish", F.col("source"), "copy", "doc_id", "_th").rowsBetween(Window.unboundedPreceding, -1)
+    placed = copies.withColumn("_inside", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(F.broadcast(ranges), "bucket")  # at most 65,537 ranges
+    # Equal rows are numbered on both sides, so that each meets its own copies.
+    same = Window.partitionBy("doc_id", "_th", "copy").orderBy("source", "ahead", "_inside")
+    placed = placed.withColumn("_n", F.row_number().over(same)).select(
+        F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), F.col("source").alias("_s"), "_n", "copy", "size", "words", "target", (F.col("ahead") + F.col("_inside")).cast("long").alias("position"))
+    names = [c for c in docs.columns if c not in added]
+    repeated = plan.groupBy("doc_id", "_th").count().where("count > 1").limit(1).count() > 0
+    rows = docs.select(*names).withColumn("_th", F.xxhash64(whole(F.col("text"))))
+    rows = rows.withColumn("_m", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy("source")) if repeated else F.lit(1))
+    joined = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")) & (F.col("_m") == F.col("_n")))
+    cut_text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(blank_words(F.col("text")), 1, F.col("words").cast("int")), " ")).otherwise(F.col("text"))
+    return joined.select(*((cut_text if c == "text" else F.col(c)).alias(c) for c in names), *added)
+
+
 def op3_mixing(docs: DataFrame) -> DataFrame:
     return mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 

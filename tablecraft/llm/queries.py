@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablecraft.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, quality_knn, quality_rules, secret_scan
+from tablecraft.llm import decontaminate, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_knn, quality_rules, secret_scan
 from tablecraft.llm.columns import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op5_lm_score": (over(lm_score.op5_lm_score, "documents"), None),
     "op6_license_scan": (over(license_scan.op6_license_scan, "documents"), None),
     "op7_quality_rules": (over(quality_rules.op7_quality_rules, "documents", "labels"), None),
+    "op8_jaccard_join": (over(jaccard_join.op8_jaccard_join, "documents"), None),
     "op9_decontamination": (over(decontaminate.op9_decontamination, "documents", "benchmark"), decontaminate.SQL),
     "op10_secret_scan": (over(secret_scan.op10_secret_scan, "documents"), None),
 }
