@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablecraft.llm import decontaminate, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_knn, quality_rules, secret_scan
+from tablecraft.llm import decontaminate, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_knn, quality_rules, secret_scan, substring_dedup
 from tablecraft.llm.columns import table
 
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op1_line_dedup": (over(line_dedup.op1_line_dedup, "documents"), line_dedup.SQL),
     "op2_quality_knn": (over(quality_knn.op2_quality_knn, "documents", "labels"), None),
     "op3_mixing": (over(mixing.op3_mixing, "documents"), mixing.SQL),
+    "op4_substring_dedup": (over(substring_dedup.op4_substring_dedup, "documents"), substring_dedup.SQL),
     "op5_lm_score": (over(lm_score.op5_lm_score, "documents"), None),
     "op6_license_scan": (over(license_scan.op6_license_scan, "documents"), None),
     "op7_quality_rules": (over(quality_rules.op7_quality_rules, "documents", "labels"), None),
