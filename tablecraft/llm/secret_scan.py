@@ -16,7 +16,7 @@ from tablecraft.llm import text as T
 
 #: Bytes inside a candidate; candidates are maximal runs of at least MIN_LENGTH of them with a digit and a letter, or a known start.
 SIGNS = np.zeros(256, bool)
-SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-.~"]] = True
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-.~"]] = True
 MIN_LENGTH, CONTEXT = 12, 48
 #: Starts of published key formats, and words that name a secret or something else that only looks like one.
 STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "rk_live_", "AIza", "eyJ", "npm_", "hf_")
