@@ -148,11 +148,25 @@ def quantiles(
     large = [c for c in filled if c not in small]
     if large:
         spots = {c: [p * (extent[c]["n"] - 1) for p in probs] for c in large}
-        brackets = [
-            Bracket(c, extent[c]["lo"], extent[c]["hi"], 0, extent[c]["n"], {k for s in spots[c] for k in (math.floor(s), math.ceil(s))})
-            for c in large
-        ]
-        found = order_statistics(df, brackets, value, exact_rows)
+        endless = [c for c in large if math.isinf(extent[c]["lo"]) or math.isinf(extent[c]["hi"])]
+        if endless:  # infinite values are counted apart; only finite ones can be bracketed
+            finite = lambda x, agg: agg(F.when(F.abs(x) < F.lit(math.inf), x))
+            apart = scalars(
+                df, endless, {
+                    "under": lambda x: F.count_if(x == F.lit(-math.inf)), "over": lambda x: F.count_if(x == F.lit(math.inf)),
+                    "lo": lambda x: finite(x, F.min), "hi": lambda x: finite(x, F.max),
+                }, value,
+            )
+        brackets, found = [], {}
+        for c in large:
+            seen = {"under": 0, "over": 0, **extent[c], **(apart[c] if c in endless else {})}
+            ranks = {k for s in spots[c] for k in (math.floor(s), math.ceil(s))}
+            found |= {(c, k): -math.inf for k in ranks if k < seen["under"]}
+            found |= {(c, k): math.inf for k in ranks if k >= seen["n"] - seen["over"]}
+            ranks = {k for k in ranks if (c, k) not in found}
+            if ranks:
+                brackets.append(Bracket(c, seen["lo"], seen["hi"], seen["under"], seen["n"] - seen["under"] - seen["over"], ranks))
+        found |= order_statistics(df, brackets, value, exact_rows)
         for c in large:
             ends = [(found[c, math.floor(s)], found[c, math.ceil(s)], s - math.floor(s)) for s in spots[c]]
             out[c] = [a if w == 0 or a == b else (1 - w) * a + w * b for a, b, w in ends]

@@ -79,14 +79,16 @@ def performance(metrics: DataFrame) -> DataFrame:
 def overfitting(history: DataFrame) -> DataFrame:
     """Per model, from (model, epoch, train_score, val_score): final gap, verdict, and late divergence.
 
-    A history holds at most one row per epoch, so the aggregates see short groups.
+    A history holds at most one row per epoch, so the aggregates see short groups. Only scored epochs have a gap; with a single one nothing
+    can diverge.
     """
     gap = F.col("train_score") - F.col("val_score")
-    ordered = history.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("epoch", gap.alias("gap")))).alias("h"))
+    scored = F.when(gap.isNotNull(), F.struct("epoch", gap.alias("gap")))
+    ordered = history.groupBy("model").agg(F.array_sort(F.collect_list(scored)).alias("h"), F.count(F.lit(1)).alias("n"))
     epochs = F.size("h")
-    spans = ordered.select(
+    spans = ordered.where(epochs > 0).select(
         "model",
-        epochs.cast("bigint").alias("epochs"),
+        F.col("n").alias("epochs"),
         F.element_at("h", -1)["gap"].alias("gap"),
         F.get("h", F.floor(epochs / 2).cast("int"))["gap"].alias("mid_gap"),
     )

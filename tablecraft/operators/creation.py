@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import add_columns, filled_number
 from tablecraft.operators.fitted import Fitted
-from tablecraft.settings import SETTINGS
 
 
 def polynomial(df: DataFrame, columns: list[str], degree: int = 2, interaction_only: bool = False) -> Fitted:
-    """Products of up to three columns, named like a^2, a_b or a^2_b."""
-    used = columns[: SETTINGS.poly_max_features]
-    degree = min(degree, SETTINGS.poly_max_degree)
+    """Products of up to `degree` of the columns, named like a^2, a_b or a^2_b; all columns and degrees that are asked for."""
+    if degree < 1:
+        raise ValueError("the degree must be 1 or more")
+    used = list(columns)
     choose = combinations if interaction_only else combinations_with_replacement
     terms: dict[str, tuple[str, ...]] = {}
     for d in range(1, degree + 1):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import col
 from tablecraft.operators.profiling import histogram, local_rows
+from tablecraft.settings import SETTINGS
 
 RESIDUAL_BINS = 40
 TOP_IMPORTANCES = 15
@@ -16,12 +17,16 @@ def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "pre
     return df.groupBy(col(label).alias("actual"), col(prediction).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(actual, predicted, n, ratio) over the full grid of classes; ratios are shares of the actual class.
+def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction", grid_classes: int = SETTINGS.grid_classes) -> DataFrame:
+    """(actual, predicted, n, ratio); ratios are shares of the actual class.
 
-    The grid is built from the list of classes (one small row), not by joining rows with rows.
+    Up to `grid_classes` classes (they are counted first) give the full grid with its zeros, built from the list of classes; beyond that
+    only the pairs that occur are listed, which hold the same information.
     """
     counts = confusion_counts(df, label, prediction)
+    names = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
+    if names.limit(grid_classes + 1).count() > grid_classes:
+        return counts.withColumn("ratio", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("actual"))))
     classes = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).agg(F.array_sort(F.collect_set("c")).alias("cs"))
     grid = classes.select(F.explode("cs").alias("actual"), "cs").select("actual", F.explode("cs").alias("predicted"))
     full = grid.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))

@@ -374,7 +374,7 @@ def executive_summary(insights: DataFrame) -> DataFrame:
     return counts.select(
         F.format_string(
             "%s %d critical and %d warning finding(s) among %d insights.",
-            F.coalesce("overview", F.lit("Dataset analyzed.")), "critical", "warning", "total",
+            F.coalesce("overview", F.lit("The table was examined.")), "critical", "warning", "total",
         ).alias("summary"),
         *SEVERITIES,
         "total",

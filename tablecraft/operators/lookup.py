@@ -19,7 +19,7 @@ class Mapping:
     """Unique text keys with one value each.
 
     A small map (its rows and bytes were measured) is broadcast. A large one stays distributed,
-    next to a short broadcast list of the keys that are frequent in the fitted table.
+    next to a short broadcast list of hashes of the keys that are frequent in the fitted table.
     """
 
     table: DataFrame  # (key string, value)
@@ -50,9 +50,8 @@ def build(counts: DataFrame, value: str | None = None, rows: int | None = None,
         kept = ranked(counts) if value is None else durable(counts.withColumnRenamed(value, "value"))
     finally:
         counts.unpersist()
-    # Only short keys go to the broadcast list, so its size stays bounded.
-    short = kept.where(F.octet_length("key") <= max(size // SETTINGS.hot_keys, 1))
-    hot = short.orderBy(F.desc("n"), "key").limit(SETTINGS.hot_keys).select("key", "value")
+    # Keys stand in the broadcast list as hashes of fixed size, however long they are.
+    hot = kept.orderBy(F.desc("n"), "key").limit(SETTINGS.hot_keys).select(F.sha2("key", 256).alias("key"), "value")
     return Mapping(kept.select("key", "value"), False, spark.createDataFrame(hot.toArrow()))
 
 
@@ -75,7 +74,7 @@ def apply(df: DataFrame, key: Column, mapping: Mapping, name: str, default: Colu
     hot = mapping.hot.select(F.col("key").alias("__hot_key"), F.col("value").alias("__hot"), F.lit(True).alias("__is_hot"))
     cold = mapping.table.select(F.concat(F.lit("k"), "key").alias("__key"), F.col("value").alias("__value"))
     out = df.withColumn("__k", key).withColumn("__salt", spread_of(df))
-    out = out.join(F.broadcast(hot), F.col("__k") == F.col("__hot_key"), "left")
+    out = out.join(F.broadcast(hot), F.sha2("__k", 256) == F.col("__hot_key"), "left")
     # Rows with a frequent or missing key are answered already: in place of the key they carry a
     # salt that no key equals, which spreads them over all partitions of the second join.
     answered = F.col("__is_hot").isNotNull() | F.col("__k").isNull()

@@ -28,19 +28,31 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 0))
 
 
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] - 2.0 * (a @ b.T) + (b * b).sum(1)[None, :]
-    return np.maximum(d, 0.0)
-
-
-def _k_smallest(d: np.ndarray, k: int) -> np.ndarray:
-    """Column indices of the k smallest values per row; among equal values the leftmost ones."""
-    best = np.argpartition(d, k - 1, axis=1)[:, :k]
-    edge = np.take_along_axis(d, best, axis=1).max(axis=1, keepdims=True)
-    tied = np.flatnonzero((d <= edge).sum(axis=1) > k)
-    if len(tied):
-        best[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
-    return best
+def squared_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances and a bound of their rounding error. A common centre is taken off first, so the error follows the spread of the
+    vectors, not their distance from zero."""
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b))), 0.0
+    centre = b.mean(axis=0)
+    a, b = a - centre, b - centre
+    x, y = (a * a).sum(1), (b * b).sum(1)
+    d = x[:, None] - 2.0 * (a @ b.T) + y[None, :]
+    return np.maximum(d, 0.0), float(8 * (a.shape[1] + 4) * np.finfo(float).eps * (x.max() + y.max()))
+
+
+def nearest_exact(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, squared distance) of the k nearest rows of b: everything that the error bound leaves possible is measured
+    again by differences; equal distances (to 10 decimals) keep the order of b."""
+    d, error = squared_distances(a, b)
+    k = min(k, len(b))
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    i, j = np.nonzero(d <= edge + 2 * error + 1e-10)
+    gap = a[i] - b[j]
+    exact = (gap * gap).sum(axis=1)
+    order = np.lexsort((j, np.round(exact, 10), i))
+    i, j, exact = i[order], j[order], exact[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first], exact[first]
 
 
 # --- nearest centroid --------------------------------------------------------------------------
@@ -60,10 +72,14 @@ class NearestCentroid:
         self.features, self.label = features, label
 
     def fit(self, df: DataFrame) -> "NearestCentroidModel":
-        rows = centroids(df, self.features, self.label).limit(SETTINGS.max_classes + 1).collect()
-        if len(rows) > SETTINGS.max_classes:
-            raise ValueError("too many classes")
-        rows = sorted(rows, key=lambda r: r["label"])
+        found = centroids(df, self.features, self.label).persist()
+        try:
+            size = found.agg(F.sum(F.size("centroid").cast("bigint") * 8).alias("bytes")).first()["bytes"] or 0
+            if size > SETTINGS.broadcast_bytes:  # measured: too much for the driver and every task, so the centroids are joined as points
+                return DistributedCentroidModel(self.features, durable(found.select(F.col("label").cast("double").alias("label"), "centroid")))
+            rows = sorted(found.collect(), key=lambda r: r["label"])
+        finally:
+            found.unpersist()
         return NearestCentroidModel(self.features, [float(r["label"]) for r in rows], np.array([r["centroid"] for r in rows]))
 
 
@@ -78,11 +94,30 @@ class NearestCentroidModel:
         def closest(vectors: pd.Series) -> pd.Series:
             if not len(vectors):
                 return pd.Series([], dtype="float64")
-            return pd.Series(labels[squared_distances(matrix(vectors), centers).argmin(axis=1)])
+            vectors, out = matrix(vectors), np.zeros(len(vectors))
+            for start in range(0, len(vectors), 256):
+                row, at, _ = nearest_exact(vectors[start : start + 256], centers, 1)
+                out[start + row] = labels[at]
+            return pd.Series(out)
 
         return df.withColumn("prediction", closest(as_array(df, self.features)))
 
 
+class DistributedCentroidModel:
+    """The same for very many classes: every row joins its nearest centroid."""
+
+    def __init__(self, features: str, table: DataFrame):
+        self.features, self.table = features, table
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        points = durable(self.table.withColumn("id", F.xxhash64("label")))
+        numbered = durable(df.withColumn("__row", F.monotonically_increasing_id()))
+        queries = numbered.select(F.col("__row").alias("id"), as_array(numbered, self.features).alias("vector"))
+        found = knn_join(queries, points.select("id", F.col("centroid").alias("vector")), 1)
+        named = found.join(points.select(F.col("id").alias("point"), F.col("label").alias("prediction")), "point").select("query", "prediction")
+        return numbered.join(named, numbered["__row"] == named["query"], "left").drop("__row", "query")
+
+
 # --- k nearest neighbours ----------------------------------------------------------------------
 
 
@@ -113,9 +148,9 @@ def knn_join(
     def assign(vectors: pd.Series) -> pd.DataFrame:
         if not len(vectors):
             return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "reach": pd.Series([], dtype="float64")})
-        d = squared_distances(matrix(vectors), centers)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "reach": np.sqrt(d[np.arange(len(d)), cell])})
+        vectors = matrix(vectors)
+        cell = squared_distances(vectors, centers)[0].argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype("int32"), "reach": np.sqrt(((vectors - centers[cell]) ** 2).sum(axis=1))})
 
     placed = points.withColumn("a", assign("vector")).select("id", "vector", F.col("a.cell").alias("cell"), F.col("a.reach").alias("reach"))
     nearest = placed.select("cell", "reach").withColumn(
@@ -137,10 +172,11 @@ def knn_join(
         ids, picked = np.array(cells, dtype="int32"), []
         vectors = matrix(vectors)
         for start in range(0, len(vectors), 256):
-            d = np.sqrt(squared_distances(vectors[start : start + 256], live))
+            d, error = squared_distances(vectors[start : start + 256], live)
+            d, error = np.sqrt(d), math.sqrt(error)  # a root is off by no more than the root of what its square is off
             bounds = (d[:, :, None] + pad[None, :, :]).reshape(len(d), -1)
             limit = np.sort(bounds, axis=1)[:, min(k, pad.size) - 1 :][:, :1]
-            limit = np.where(np.isfinite(limit), limit * (1 + 1e-9) + 1e-9, math.inf)
+            limit = np.where(np.isfinite(limit), limit * (1 + 1e-9) + 1e-9 + 2 * error, math.inf)
             floor = np.maximum(d - radius[None, :], (d - d.min(axis=1, keepdims=True)) / 2)
             picked += [ids[row] for row in floor <= limit]
         return pd.Series(picked)
@@ -169,18 +205,8 @@ def knn_join(
             x, y = matrix(q["q_vector"]), matrix(p["vector"])
             qid, pid = q["q_id"].to_numpy(), p["id"].to_numpy()
             for start in range(0, len(x), 512):
-                rows = x[start : start + 512]
-                best = _k_smallest(np.round(squared_distances(rows, y), 10), min(k, len(p)))
-                gap = rows[:, None, :] - y[best]
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "query": np.repeat(qid[start : start + 512], best.shape[1]),
-                            "point": pid[best].ravel(),
-                            "distance": np.sqrt((gap * gap).sum(axis=2)).ravel(),
-                        }
-                    )
-                )
+                row, at, squared = nearest_exact(x[start : start + 512], y, k)
+                parts.append(pd.DataFrame({"query": qid[start + row], "point": pid[at], "distance": np.sqrt(squared)}))
         return pd.concat(parts) if parts else pd.DataFrame({"query": [], "point": [], "distance": []})
 
     keys = ["cell", "block", "chunk"]

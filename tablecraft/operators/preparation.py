@@ -230,8 +230,6 @@ def prepare(df: DataFrame, target: str, task: str, exclude: list[str] | None = N
     labels = None
     if "classification" in task:
         labels = label_mapping(source, target)
-        if not labels.small:
-            raise ValueError(f"'{target}' has too many classes")
     return Prepared(target, task, features, coercion, shifts, labels)
 
 
@@ -285,7 +283,7 @@ def class_cuts(hashed: DataFrame, parts: dict[str, float]) -> DataFrame:
         .pivot("part", list(parts))
         .agg(F.max("hash"))
     )
-    return sizes.select("label").join(edges, "label", "left")
+    return sizes.join(edges, "label", "left")
 
 
 def stratified_split(
@@ -293,17 +291,22 @@ def stratified_split(
 ) -> DataFrame:
     """Adds `split` with the same test and validation share in every class (rows of a class in hash order).
 
-    Falls back to the plain hash split when some class is too small to be divided.
+    Falls back to the plain hash split, for all rows, when some class is too small to be divided for testing, or what is left of it for
+    validation. The number of classes is not limited. Rows without a label are split by their hash alone.
     """
     hashed = df.select(col(label).cast("string").alias("label"), row_hash(keys).alias("hash")).where("label IS NOT NULL")
-    sizes = [r["n"] for r in hashed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(SETTINGS.max_classes + 1).collect()]
-    needed = max(2, math.ceil(1 / test))
-    if not 1 < len(sizes) <= SETTINGS.max_classes or min(sizes) < needed:
+    seen = hashed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).first()
+    share = val / (1 - test)
+    left = (seen["least"] or 0) - round((seen["least"] or 0) * test)
+    enough = (seen["least"] or 0) >= max(2, math.ceil(1 / test)) and (val <= 0 or left >= max(2, math.ceil(1 / share)))
+    if seen["classes"] < 2 or not enough:
         return hash_split(df, keys, test, val)
-    # One row per class (their number was checked), computed once rather than with every use of the split.
-    cuts = class_cuts(hashed, {"test_cut": test, "val_cut": test + val}).withColumnRenamed("label", "__class")
-    cuts = df.sparkSession.createDataFrame(cuts.toArrow())
-    spot = row_hash(keys)
-    out = df.withColumn("__hash", spot).join(F.broadcast(cuts), col(label).cast("string") == F.col("__class"), "left")
-    name = F.when(F.col("__hash") <= F.col("test_cut"), "test").when(F.col("__hash") <= F.col("val_cut"), "val")
-    return out.withColumn("split", name.otherwise("train")).drop("__hash", "__class", "test_cut", "val_cut")
+    # The cuts are a map from class to two numbers: broadcast if few, joined by class with hot ones set apart if many.
+    cuts = class_cuts(hashed, {"test_cut": test, "val_cut": test + val})
+    cuts = cuts.select(F.col("label").alias("key"), F.col("size").alias("n"), F.struct("test_cut", "val_cut").alias("cuts"))
+    mapping = lookup.build(cuts, "cuts")
+    space = float(2**HASH_BITS)
+    alone = F.struct(F.lit(int(test * space)).cast("bigint").alias("test_cut"), F.lit(int((test + val) * space)).cast("bigint").alias("val_cut"))
+    out = lookup.apply(df.withColumn("__hash", row_hash(keys)), col(label).cast("string"), mapping, "__cuts", alone)
+    name = F.when(F.col("__hash") <= F.col("__cuts.test_cut"), "test").when(F.col("__hash") <= F.col("__cuts.val_cut"), "val")
+    return out.withColumn("split", name.otherwise("train")).drop("__hash", "__cuts")

@@ -21,8 +21,8 @@ from tablecraft.functions.statistics import (
 from tablecraft.operators.cleaning import CleanReport
 
 # How much the chart data shows.
-HISTOGRAM_COLUMNS, HISTOGRAM_BINS = 9, 20
-TOP_VALUE_COLUMNS, TOP_VALUES = 6, 10
+HISTOGRAM_BINS = 20
+TOP_VALUES = 10
 FIXED_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
 
 
@@ -60,7 +60,8 @@ def chart_nulls(rep: CleanReport, df: DataFrame) -> DataFrame:
 
 
 def column_info(df: DataFrame, nulls_before: dict[str, int] | None = None) -> DataFrame:
-    """Per column: type, present and missing values, distinct values, and the smallest value as a sample."""
+    """Per column: type, present and missing values, distinct values, and the smallest value as a sample; nested columns have no distinct
+    count and no sample."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     scalar = [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
     base = column_stats(
@@ -69,14 +70,20 @@ def column_info(df: DataFrame, nulls_before: dict[str, int] | None = None) -> Da
         {"non_null": F.count, "nulls_after": lambda x: F.count_if(x.isNull()), "sample": lambda x: F.min(x).cast("string")},
         present,
     )
+    nested = [c for c in df.columns if c not in scalar]
+    if nested:
+        held = df.select(*[col(c).isNotNull().alias(c) for c in nested])
+        counts = {"non_null": F.count_if, "nulls_after": lambda x: F.count_if(~x), "sample": lambda x: F.min(F.lit(None).cast("string"))}
+        wide = column_stats(held, nested, counts, lambda d, c: col(c))
+        base = base.unionByName(wide) if scalar else wide
     meta = local_rows(
         df,
-        [(c, kinds[c], (nulls_before or {}).get(c)) for c in scalar],
+        [(c, kinds[c], (nulls_before or {}).get(c)) for c in df.columns],
         "column string, dtype string, known_nulls_before bigint",
     )
     return (
         base.join(F.broadcast(meta), "column")
-        .join(F.broadcast(distinct_counts(df, scalar)), "column")
+        .join(F.broadcast(distinct_counts(df, scalar)), "column", "left")
         .select(
             "column",
             "dtype",
@@ -146,7 +153,7 @@ def dtype_counts(df: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """(column, bin, n) over equal-width bins between each column's minimum and maximum."""
-    cols = numeric_cols(df)[:HISTOGRAM_COLUMNS] if cols is None else cols
+    cols = numeric_cols(df) if cols is None else cols
     span = scalars(df, cols, {"lo": F.min, "hi": F.max})
     cols = [c for c in cols if span[c]["lo"] is not None]
 
@@ -163,7 +170,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HISTOGRA
 
 def top_values(df: DataFrame, cols: list[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
     """The k most frequent values per text column; every task keeps only its own k before the shuffle."""
-    cols = string_cols(df)[:TOP_VALUE_COLUMNS] if cols is None else cols
+    cols = string_cols(df) if cols is None else cols
     by_count = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     ranked = value_counts(df, cols).withColumn("rank", F.row_number().over(by_count))
     return ranked.where(F.col("rank") <= k).select("column", "rank", "value", "n")

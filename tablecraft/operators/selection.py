@@ -54,7 +54,7 @@ def variance_scores(df: DataFrame, columns: list[str]) -> DataFrame:
 def by_variance(df: DataFrame, columns: list[str], threshold: float = SETTINGS.variance_threshold) -> Fitted:
     pool = _pool(df, columns)
     if not pool:
-        return _unchanged("Variance Threshold", columns, "No numeric columns.")
+        return _unchanged("Variance Threshold", columns, "There are no columns with numbers.")
     scores = {r["column"]: r["variance"] for r in variance_scores(df, pool).collect()}
     dropped = [c for c in pool if scores[c] is not None and scores[c] < threshold]
     info = {
@@ -195,7 +195,7 @@ def _top(scores: dict[str, float | None], pool: list[str], k: int) -> list[str]:
 def by_mutual_information(df: DataFrame, features: list[str], target: str, task: str, k: int = 10) -> Fitted:
     pool = _pool(df, features)
     if not pool or target not in df.columns:
-        return _unchanged("Mutual Info", features, "No valid features.")
+        return _unchanged("Mutual Info", features, "None of the features can be used.")
     scores = {r["feature"]: r["mi"] for r in mutual_information(df, pool, target, task).collect()}
     return _selected(f"Mutual Info Top-{k}", features, pool, _top(scores, pool, k), {"scores": scores, "k": k})
 
@@ -204,7 +204,7 @@ def by_f_test(df: DataFrame, features: list[str], target: str, task: str, k: int
     """ANOVA F for classes, F-regression otherwise, with p-values."""
     pool = _pool(df, features)
     if not pool:
-        return _unchanged("Statistical Test", features, "No valid features.")
+        return _unchanged("Statistical Test", features, "None of the features can be used.")
     clf = is_classification(task)
     rows = (anova if clf else f_regression)(df, pool, target).collect()
     scores = {r["feature"]: r["f_score"] for r in rows}
@@ -263,7 +263,7 @@ def by_elimination(
     """Refits a forest and drops the least important feature(s) until n_features are left; rank 1 = kept."""
     pool = _pool(df, features)
     if not pool:
-        return _unchanged("RFE", features, "No valid features.")
+        return _unchanged("RFE", features, "None of the features can be used.")
     n_features = min(n_features, len(pool))
     data = learning_frame(df, pool, target, task).persist()
     try:
@@ -312,7 +312,7 @@ def l1_coefficients(df: DataFrame, pool: list[str], target: str, task: str, alph
 def by_l1(df: DataFrame, features: list[str], target: str, task: str, alpha: float = 0.01) -> Fitted:
     pool = _pool(df, features)
     if not pool:
-        return _unchanged("Lasso", features, "No valid features.")
+        return _unchanged("Lasso", features, "None of the features can be used.")
     weights = l1_coefficients(df, pool, target, task, alpha)
     selected = [c for c in pool if weights[c] > 1e-6]
     info = {"coefficients": weights, "alpha": alpha, "selected": selected, "dropped": [c for c in pool if c not in selected]}
@@ -325,7 +325,7 @@ def by_l1(df: DataFrame, features: list[str], target: str, task: str, alpha: flo
 def by_tree_importance(df: DataFrame, features: list[str], target: str, task: str, threshold: float = 0.01, trees: int = 100) -> Fitted:
     pool = _pool(df, features)
     if not pool:
-        return _unchanged("Tree Importance", features, "No valid features.")
+        return _unchanged("Tree Importance", features, "None of the features can be used.")
     scores = forest_importances(df, pool, target, task, trees)
     order = sorted(pool, key=lambda c: -scores[c])
     selected = [c for c in order if scores[c] >= threshold] or order[:1]
@@ -372,15 +372,10 @@ def consensus_scores(df: DataFrame, features: list[str], target: str, task: str)
     """Scores of all five methods; a method that cannot run on this table is left out."""
     pool = _pool(df, features)
     extra = []
-    for method, run in (
-        (METHODS[3], lambda: forest_importances(df, pool, target, task, 50)),
-        (METHODS[4], lambda: l1_coefficients(df, pool, target, task, 0.01, strength=1.0, max_iter=500)),
-    ):
-        try:
-            extra += [(method, c, s) for c, s in run().items()]
-        except Exception as error:  # e.g. a single class
-            if "single" not in str(error).lower() and "class" not in str(error).lower():
-                raise
+    several = "classification" not in task or df.select(col(target)).where(col(target).isNotNull()).distinct().limit(2).count() > 1
+    if several:  # a model of one class says nothing about features
+        extra += [(METHODS[3], c, s) for c, s in forest_importances(df, pool, target, task, 50).items()]
+        extra += [(METHODS[4], c, s) for c, s in l1_coefficients(df, pool, target, task, 0.01, strength=1.0, max_iter=500).items()]
     scores = filter_scores(df, pool, target, task)
     if extra:
         scores = scores.unionByName(local_rows(df, extra, "method string, feature string, score double"))
@@ -391,7 +386,7 @@ def by_consensus(df: DataFrame, features: list[str], target: str, task: str, top
     """Keeps the features with the best average rank over all methods."""
     pool = _pool(df, features)
     if not pool:
-        return _unchanged("Auto Select", features, "No numeric features.")
+        return _unchanged("Auto Select", features, "There are no features with numbers.")
     top_k = min(top_k, len(pool))
     ranks: dict[str, dict[str, int]] = {}
     for r in rank_scores(consensus_scores(df, pool, target, task)).collect():

@@ -6,14 +6,16 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, OneVsRest, RandomForestClassificationModel
 from pyspark.ml.feature import Binarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.operators import catalog, evaluation
+from tablecraft.operators.neighbors import NearestNeighborsModel
 from tablecraft.operators.preparation import Prepared
 from tablecraft.operators.profiling import local_rows
 
@@ -87,17 +89,43 @@ def _losses(frame: DataFrame, task: str) -> float | None:
     return evaluation.regression_metrics(frame).first()["mse"]
 
 
+def _staged(frame: DataFrame, model, task: str) -> dict[int, tuple[float | None, float | None]]:
+    """(score, loss) of a boosted model after each of its trees, all in one pass: a row sums its trees once and meets every prefix."""
+    out = frame.select("features", "label")
+    for i, tree in enumerate(model.trees):
+        tree = tree.copy().setPredictionCol(f"__t{i}")
+        out = tree.transform(out)
+    steps = F.array(*[F.lit(float(w)) * F.col(f"__t{i}") for i, w in enumerate(model.treeWeights)])
+    sums = F.aggregate(steps, F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + x))
+    rows = out.select("label", F.posexplode(sums).alias("stage", "m"))
+    if "classification" in task:
+        margin = (F.col("label") * 2 - 1) * F.col("m") * 2
+        # log(1 + exp(-margin)) without overflow
+        loss = F.greatest(-margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin)))
+        measures = [F.avg(((F.col("m") > 0).cast("double") == F.col("label")).cast("double")).alias("s"), F.avg(loss).alias("l")]
+    else:
+        error = F.pow(F.col("label") - F.col("m"), 2)
+        measures = [(1 - F.try_divide(F.sum(error), F.var_pop("label") * F.count("label"))).alias("s"), F.avg(error).alias("l")]
+    return {r["stage"] + 1: (r["s"], r["l"]) for r in rows.groupBy("stage").agg(*measures).collect()}
+
+
 def _history(model, train: DataFrame, val: DataFrame, task: str) -> list[tuple]:
-    """One row per boosting or solver iteration where the model reports it; the last row carries the scores."""
-    train_out, val_out = model.transform(train), model.transform(val)
+    """(epoch, train score, validation score, train loss, validation loss): every tree of a boosted model, prefixes of a forest, and the
+    reported iterations of a solver, whose last row carries the scores. Models that keep their rows are scored on validation rows alone."""
+    if isinstance(model, (GBTClassificationModel, GBTRegressionModel)):
+        a, b = _staged(train, model, task), _staged(val, model, task)
+        none = (None, None)
+        return [(i, a.get(i, none)[0], b.get(i, none)[0], a.get(i, none)[1], b.get(i, none)[1]) for i in range(1, len(model.trees) + 1)]
+    if isinstance(model, (RandomForestClassificationModel, RandomForestRegressionModel)):
+        return forest_history(model, train, val, task)
+    val_out = model.transform(val)
+    if isinstance(model, NearestNeighborsModel):
+        return [(1, None, _score(val_out, task), None, _losses(val_out, task))]
+    train_out = model.transform(train)
     final = (_score(train_out, task), _score(val_out, task))
-    if hasattr(model, "evaluateEachIteration"):
-        a, b = model.evaluateEachIteration(train), model.evaluateEachIteration(val)
-        rows = [(i + 1, None, None, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))]
-    else:
-        summary = model.summary if getattr(model, "hasSummary", False) else None
-        objective = [float(v) for v in getattr(summary, "objectiveHistory", [])] if summary is not None else []
-        rows = [(i + 1, None, None, v, None) for i, v in enumerate(objective)]
+    summary = model.summary if getattr(model, "hasSummary", False) else None
+    objective = [float(v) for v in getattr(summary, "objectiveHistory", [])] if summary is not None else []
+    rows = [(i + 1, None, None, v, None) for i, v in enumerate(objective)]
     if not rows:
         return [(1, *final, _losses(train_out, task), _losses(val_out, task))]
     last = rows[-1]
@@ -114,16 +142,17 @@ def train(
         binary = Binarizer(threshold=0.0, inputCol="features", outputCol="binary")
         parts = binary.transform(parts).drop("features").withColumnRenamed("binary", "features")
         fit_rows = parts.where("split = 'train'")
-    classes = 0
-    if "classification" in task:
-        classes = int((fit_rows.agg(F.max("label").alias("m")).first()["m"] or 0) + 1)
-        if fit_rows.select("label").distinct().limit(2).count() < 2:
-            raise ValueError("the training rows hold a single class")
     own = not parts.is_cached
     if own:  # several passes follow
         parts = parts.persist()
         fit_rows = parts.where("split = 'train'")
     try:
+        classes = 0
+        if "classification" in task:
+            seen = fit_rows.agg(F.max("label").alias("top"), F.min("label").alias("low")).first()
+            if seen["top"] == seen["low"]:
+                raise ValueError("the training rows hold a single class")
+            classes = int(seen["top"] + 1)
         start = time.perf_counter()
         model = _estimator(spec, len(features), classes, epochs, overrides).fit(fit_rows.drop("split"))
         seconds = time.perf_counter() - start
@@ -139,36 +168,32 @@ def forest_history(model, train_rows: DataFrame, val_rows: DataFrame, task: str,
     trees = model.trees
     marks = sorted({max(1, round(len(trees) * (i + 1) / checkpoints)) for i in range(checkpoints)})
 
-    def scored(frame: DataFrame) -> list[float]:
-        out = frame
+    def scored(frame: DataFrame) -> dict[int, float]:
+        out = frame.select("features", "label")
         for i, tree in enumerate(trees):
-            name = f"__t{i}"
-            tree = tree.copy().setPredictionCol(name)
+            tree = tree.copy().setPredictionCol(f"__t{i}")
             if "classification" in task:
                 tree = tree.setProbabilityCol(f"__p{i}").setRawPredictionCol("")
             out = tree.transform(out)
         if "classification" in task:
-            votes = [vector_to_array(f"__p{i}") for i in range(len(trees))]
-            total, sums = votes[0], {1: votes[0]}
-            for i, v in enumerate(votes[1:], 2):
-                total = F.zip_with(total, v, lambda a, b: a + b)
-                sums[i] = total
-            hit = lambda m: (F.array_position(sums[m], F.array_max(sums[m])) - 1 == F.col("label")).cast("double")
-            row = out.agg(*[F.avg(hit(m)).alias(f"s{m}") for m in marks]).first()
+            votes = F.array(*[vector_to_array(f"__p{i}") for i in range(len(trees))])
+            step = lambda last, v: F.when(last.isNull(), v).otherwise(F.zip_with(last, v, lambda x, y: x + y))
+            empty = F.array().cast("array<array<double>>")
         else:
-            def mean(m):
-                return sum((F.col(f"__t{i}") for i in range(1, m)), F.col("__t0")) / float(m)
-
-            row = out.agg(
-                *[
-                    (1 - F.try_divide(F.sum(F.pow(F.col("label") - mean(m), 2)), F.var_pop("label") * F.count("label"))).alias(f"s{m}")
-                    for m in marks
-                ]
-            ).first()
-        return [row[f"s{m}"] for m in marks]
+            votes = F.array(*[F.col(f"__t{i}") for i in range(len(trees))])
+            step = lambda last, v: F.coalesce(last, F.lit(0.0)) + v
+            empty = F.array().cast("array<double>")
+        sums = F.aggregate(votes, empty, lambda a, v: F.array_append(a, step(F.get(a, F.size(a) - 1), v)))
+        rows = out.select("label", F.posexplode(sums).alias("stage", "v")).where((F.col("stage") + 1).isin(marks))
+        if "classification" in task:
+            score = F.avg((F.array_position("v", F.array_max("v")) - 1 == F.col("label")).cast("double"))
+        else:
+            error = F.pow(F.col("label") - F.col("v") / (F.col("stage") + 1), 2)
+            score = 1 - F.try_divide(F.sum(error), F.var_pop("label") * F.count("label"))
+        return {r["stage"] + 1: r["s"] for r in rows.groupBy("stage").agg(score.alias("s")).collect()}
 
     a, b = scored(train_rows), scored(val_rows)
-    return [(m, x, y, None, None) for m, x, y in zip(marks, a, b)]
+    return [(m, a.get(m), b.get(m), None, None) for m in marks]
 
 
 # --- storage -----------------------------------------------------------------------------------

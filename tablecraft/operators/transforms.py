@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tablecraft.functions.columns import add_columns, filled_number, number
 from tablecraft.functions.statistics import quantiles, scalars, unpivoted
 from tablecraft.operators.fitted import Fitted, known
-from tablecraft.settings import SETTINGS
 
 
 def _clipped(frame: DataFrame, c: str) -> Column:
@@ -77,15 +76,16 @@ def likelihood_grid(df: DataFrame, columns: list[str], grids: dict[str, list[flo
     return out
 
 
-def fit_lambdas(df: DataFrame, columns: list[str], points: int = 13, rounds: int = 6) -> dict[str, float]:
-    """Maximum-likelihood lambda per column: all columns share every pass, each pass narrows the interval.
+def fit_lambdas(df: DataFrame, columns: list[str], points: int = 13, tolerance: float = 5e-5, furthest: float = 1e4) -> dict[str, float]:
+    """Maximum-likelihood lambda per column: all columns share every pass, each pass narrows the interval until its step is small.
 
-    The interval grows while the best point lies on its edge. Columns without spread are left out.
+    The interval moves and grows while the best point lies on its edge; a likelihood that still rises at +-`furthest` has no maximum and
+    ends there. Columns without spread are left out.
     """
     span = {c: (-2.0, 2.0) for c in columns}
     best: dict[str, float] = {}
     alive = list(columns)
-    for _ in range(rounds):
+    while alive:
         grids = {c: [float(v) for v in np.linspace(*span[c], points)] for c in alive}
         values = likelihood_grid(df, alive, grids)
         for c in list(alive):
@@ -97,6 +97,8 @@ def fit_lambdas(df: DataFrame, columns: list[str], points: int = 13, rounds: int
             lo, hi = span[c]
             step = (hi - lo) / (points - 1)
             at_edge = best[c] in (grids[c][0], grids[c][-1])
+            if abs(best[c]) > furthest or not at_edge and step <= tolerance:
+                alive.remove(c)
             span[c] = (best[c] - (hi - lo), best[c] + (hi - lo)) if at_edge else (best[c] - step, best[c] + step)
     return best
 
@@ -132,7 +134,8 @@ def quantile_edges(df: DataFrame, columns: list[str], n_bins: int, value=number)
 
 def binning(df: DataFrame, columns: list[str], n_bins: int = 5, strategy: str = "quantile") -> Fitted:
     """{c}_bin{n}: index of the equal-count or equal-width bin, -1 for missing values."""
-    n_bins = min(n_bins, SETTINGS.max_bins)
+    if n_bins < 2:
+        raise ValueError("at least two bins are needed")
     cols = known(df, columns)
     edges: dict[str, list[float] | None]
     if strategy == "quantile":

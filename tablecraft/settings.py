@@ -22,11 +22,8 @@ class Settings:
     default_epochs: int = 50
     random_state: int = 42
     classification_unique: int = 20
-    poly_max_degree: int = 3
-    poly_max_features: int = 10
     variance_threshold: float = 0.01
     correlation_drop: float = 0.95
-    max_bins: int = 10
     onehot_max_categories: int = 20
     date_detect_ratio: float = 0.8
     date_feature_ratio: float = 0.3
@@ -38,7 +35,7 @@ class Settings:
     broadcast_bytes: int = 32 * 1024 * 1024
     hot_keys: int = 1_000
     spread: int = 4_096
-    max_classes: int = 10_000
+    grid_classes: int = 1_000
     columns_per_job: int = 40
     pairs_per_job: int = 60
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablecraft.functions.columns import col, string_cols
+from tablecraft.functions.columns import col
 
 FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "json", "parquet": "parquet"}
 FALLBACK_ENCODING = "ISO-8859-1"
-REPLACEMENT = "\ufffd"  # what the reader puts in place of undecodable bytes
 
 
 def _delimited(spark, path, sep, encoding, schema, multiline) -> DataFrame:
@@ -22,19 +21,30 @@ def _delimited(spark, path, sep, encoding, schema, multiline) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path, encoding: str | None = None, schema=None, multiline: bool = False) -> DataFrame:
-    """Comma-separated with a header. Without an encoding: UTF-8, or Latin-1 if any byte is not valid UTF-8.
+    """Comma-separated with a header. Without an encoding: UTF-8, but Latin-1 for each file that holds bytes which are not valid UTF-8.
 
     Give an encoding and a schema for large inputs; each saves a pass over the files.
     """
     if encoding is not None:
         return _delimited(spark, path, ",", encoding, schema, multiline)
-    df = _delimited(spark, path, ",", "UTF-8", schema, multiline)
-    text = string_cols(df)
-    broken = any(REPLACEMENT in c for c in df.columns)
-    if not broken and text:
-        bad = reduce(or_, [col(c).contains(REPLACEMENT) for c in text])
-        broken = bool(df.where(bad).limit(1).count())
-    return _delimited(spark, path, ",", FALLBACK_ENCODING, schema, multiline) if broken else df
+    lines = spark.read.text(path)  # lines keep their bytes
+    odd = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("p")).distinct()
+    latin = sorted(r["p"] for r in odd.collect())  # names of files
+    if not latin:
+        return _delimited(spark, path, ",", "UTF-8", schema, multiline)
+    good = sorted(set(map(_plain, lines.inputFiles())) - set(map(_plain, latin)))
+    if not good:
+        return _delimited(spark, path, ",", FALLBACK_ENCODING, schema, multiline)
+    if schema is None:  # one schema for all files: types do not depend on the encoding, names come from valid files
+        types = _delimited(spark, path, ",", FALLBACK_ENCODING, None, multiline).schema.fields
+        names = _delimited(spark, good, ",", "UTF-8", None, multiline).columns
+        schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, types)])
+    return _delimited(spark, good, ",", "UTF-8", schema, multiline).unionByName(_delimited(spark, latin, ",", FALLBACK_ENCODING, schema, multiline))
+
+
+def _plain(uri: str) -> str:
+    """One spelling of a local file's address."""
+    return re.sub("^file:/+", "file:///", uri)
 
 
 def read_tsv(spark: SparkSession, path, schema=None, multiline: bool = False) -> DataFrame:
@@ -42,10 +52,25 @@ def read_tsv(spark: SparkSession, path, schema=None, multiline: bool = False) ->
 
 
 def read_json(spark: SparkSession, path, schema=None, lines: bool | None = None) -> DataFrame:
-    """JSON lines (splittable), or one array of records per file; told apart by the first character when not given."""
-    if lines is None:
-        head = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).collect()
-        lines = not head or not head[0]["value"].lstrip().startswith("[")
+    """JSON lines (splittable), or one array of records per file; without the argument each file is told by its first character."""
+    if lines is not None:
+        return _json(spark, path, schema, lines)
+    text = spark.read.text(path)
+    filled = text.select(
+        F.col("_metadata.file_path").alias("p"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"),
+        F.substring(F.ltrim("value"), 1, 1).alias("c"),
+    ).where("c <> ''")
+    arrays = sorted(r["p"] for r in filled.groupBy("p").agg(F.min_by("c", "at").alias("c")).where("c = '['").collect())  # names of files
+    if not arrays:
+        return _json(spark, path, schema, True)
+    plain = sorted(set(map(_plain, text.inputFiles())) - set(map(_plain, arrays)))
+    if not plain:
+        return _json(spark, path, schema, False)
+    both = _json(spark, plain, schema, True), _json(spark, arrays, schema, False)
+    return both[0].unionByName(both[1], allowMissingColumns=True)
+
+
+def _json(spark, path, schema, lines: bool) -> DataFrame:
     reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
@@ -65,9 +90,9 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
 
 def file_info(df: DataFrame) -> DataFrame:
     """(name, type, bytes, size) of every file behind a freshly read table."""
-    files = df.select(
-        F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")
-    ).groupBy("p").agg(F.any_value("name").alias("name"), F.any_value("bytes").alias("bytes"))
+    # Names and lengths only: the contents of the files are not read.
+    files = df.sparkSession.read.format("binaryFile").load(df.inputFiles()).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
     kb, mb = F.col("bytes") / 1024.0, F.col("bytes") / (1024.0 * 1024.0)
     size = F.when(mb < 1, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
     return files.select("name", F.lower(F.element_at(F.split("name", "[.]"), -1)).alias("type"), "bytes", size.alias("size"))
