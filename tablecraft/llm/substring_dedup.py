@@ -6,13 +6,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablecraft.llm import text as T
-from tablecraft.llm.storage import cut
 
 U = np.uint64
 WINDOW = 13
@@ -93,7 +93,7 @@ def lists(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     """Values and rows of a slice of a list column, missing lists empty."""
     part = column.slice(i, j - i)
     part = pa.concat_arrays([part]) if part.offset else part
-    sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(part).to_pylist()], np.int64)
+    sizes = np.nan_to_num(pa.compute.list_value_length(part).to_numpy(zero_copy_only=False)).astype(np.int64)
     return part.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(j - i), sizes)
 
 
@@ -135,56 +135,75 @@ def paths(packed: DataFrame, window: int) -> DataFrame:
     return packed.select("doc_id", "row", "body", "anchors").mapInArrow(work, "p1 long, p2 long, doc_id long, row long, start int, edges int")
 
 
-def edges_of(packed: DataFrame, window: int) -> DataFrame:
-    """(e1, e2, doc_id, row, pos) of every edge of the paths in rows (doc_id, row, body, starts, counts)."""
+def spans(column: pa.Array, i: int, j: int, row: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, edges and row index of a slice of a list column of (row, start, edges), as far as they belong to that very row."""
+    part = column.slice(i, j - i)
+    part = pa.concat_arrays([part]) if part.offset else part
+    sizes = np.nan_to_num(pa.compute.list_value_length(part).to_numpy(zero_copy_only=False)).astype(np.int64)
+    owner = np.repeat(np.arange(j - i), sizes)
+    entry = part.flatten()
+    own, start, many = (entry.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+    mine = own == row.slice(i, j - i).to_numpy(zero_copy_only=False)[owner]
+    return start[mine].astype(np.int64), many[mine].astype(np.int64), owner[mine]
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    return (h >> U(32)).astype(np.uint32).view(np.int32)
+
+
+def edges_of(opened: DataFrame, window: int) -> DataFrame:
+    """(e1, e2, doc_id) of the different edges of the paths in rows (doc_id, row, body, paths)."""
 
     def work(batches):
         for batch in batches:
             texts = unpack(batch.column(2))
             for i, j, w in T.word_slices(texts, T.BLANK_WORDS, False):
-                h = w.hashes()
-                start, owner = lists(batch.column(3), i, j)
-                many, _ = lists(batch.column(4), i, j)
+                start, many, owner = spans(batch.column(3), i, j, batch.column(1))
                 if not len(start):
                     continue
-                pos = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                owner = np.repeat(owner, many)
-                at = w.at[owner] + pos
-                own = pa.array(owner)
+                h = w.hashes()
+                at = np.repeat(w.at[owner] + start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                e1 = T.runs(h, window)[at]
+                _, first = np.unique(e1 ^ T.mix(w.doc[at].astype(np.uint64) + U(1)), return_index=True)
+                at, e1 = at[first], e1[first]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(T.runs(h, window, kind)[at].view(np.int64)) for kind in ("one", "two")), *(batch.column(c).slice(i, j - i).take(own) for c in (0, 1)), pa.array(pos.astype(np.int32))],
-                    ["e1", "e2", "doc_id", "row", "pos"])
+                    [pa.array(e1.view(np.int64)), pa.array(short(T.runs(h, window, "two")[at])), batch.column(0).slice(i, j - i).take(pa.array(w.doc[at]))], ["e1", "e2", "doc_id"])
 
-    return packed.select("doc_id", "row", "body", "starts", "counts").mapInArrow(work, "e1 long, e2 long, doc_id long, row long, pos int")
+    return opened.select("doc_id", "row", "body", "paths").mapInArrow(work, "e1 long, e2 int, doc_id long")
 
 
-def finish(packed: DataFrame, window: int, texts_out: bool) -> DataFrame:
-    """Removes the covered words from rows (doc_id, row, body, starts, counts): counts[k] edges from word starts[k] on go."""
+def finish(marked: DataFrame, window: int, texts_out: bool) -> DataFrame:
+    """Removes the covered words from rows (doc_id, row, body, paths, edges): those of whole paths, and of every edge with a listed hash."""
 
     def work(batches):
         for batch in batches:
             texts = unpack(batch.column(2))
             for i, j, w in T.word_slices(texts, T.BLANK_WORDS, False):
-                start, owner = lists(batch.column(3), i, j)
-                many, _ = lists(batch.column(4), i, j)
-                gone = T.covered(w.at[owner] + start, many + window - 1, len(w.doc)) if len(start) else np.zeros(len(w.doc), bool)
+                gone = np.zeros(len(w.doc), bool)
+                start, many, owner = spans(batch.column(3), i, j, batch.column(1))
+                if len(start):
+                    gone |= T.covered(w.at[owner] + start, many + window - 1, len(w.doc))
+                listed, owner = lists(batch.column(4), i, j)
+                if len(listed):
+                    edge = np.flatnonzero(T.within(w.doc, window))
+                    tag = lambda v, d: v ^ T.mix(d.astype(np.uint64) + U(1))
+                    edge = edge[np.isin(tag(T.runs(w.hashes(), window)[edge], w.doc[edge]), tag(listed.view(np.uint64), owner))]
+                    gone |= T.covered(edge, np.full(len(edge), window), len(w.doc))
                 n, lost = np.diff(w.at), np.bincount(w.doc[gone], minlength=j - i)
                 kept = ~gone
                 # The kept words of all rows side by side, one blank after each, copied bytewise.
                 size = (w.past - w.first)[kept] + 1
                 out = np.full(int(size.sum()), 32, np.uint8)
-                place = np.cumsum(size) - size
-                body = size - 1
-                source = np.repeat(w.first[kept] - (np.cumsum(body) - body), body) + np.arange(body.sum())
-                target = np.repeat(place - (np.cumsum(body) - body), body) + np.arange(body.sum())
-                out[target] = w.data[source]
+                place, body = np.cumsum(size) - size, size - 1
+                step = np.arange(body.sum()) - np.repeat(np.cumsum(body) - body, body)
+                out[np.repeat(place, body) + step] = w.data[np.repeat(w.first[kept], body) + step]
                 ends = np.r_[0, np.cumsum(np.bincount(w.doc[kept], size, minlength=j - i).astype(np.int64))]
                 rows = [out[s : max(s, e - 1)].tobytes() for s, e in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(n), pa.array(lost), pa.array([hashlib.sha256(r).hexdigest() for r in rows]),
                     pa.array([r.decode() if texts_out else None for r in rows], pa.string())], ["doc_id", "row", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return packed.select("doc_id", "row", "body", "starts", "counts").mapInArrow(
+    return marked.select("doc_id", "row", "body", "paths", "edges").mapInArrow(
         work, "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
@@ -195,8 +214,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts_out: bool = Tr
     sequences inside it; equal edges have equal anchors, and only every fifth word starts one. Edges whose anchor occurs in one document
     alone are not repeated and go no further. Consecutive other edges compact into paths, cut at places that the words decide, and equal
     paths meet in a join: a path whose words start in a document with a smaller id goes as a whole, without looking at its edges. Only the
-    first document of each path opens it; its edges meet those of all other different paths, and source coordinates bring the repeated ones
-    back. Words are compared by 128-bit hashes.
+    first document of each path opens it; its edges meet those of all other different paths, and those that start in a smaller document
+    come back to be marked in the text. Paths are compared by 128 bits of their words, edges by 96.
+
+    Texts are compressed and dealt by doc_id once; all three joins that need them read that exchange.
 
     Missing, empty and blank texts have no words. A row without doc_id keeps all its words and takes none from others. Rows that repeat a
     doc_id do not take words from each other. Other columns of `docs` are not read.
@@ -205,19 +226,17 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts_out: bool = Tr
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     packed = pack(docs)
     repeated = repeated_anchors(anchors(known, window)).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    found = cut(paths(packed.join(repeated, "doc_id"), window))
+    found = paths(packed.join(repeated, "doc_id", "left").where("anchors IS NOT NULL"), window)
     owner = found.groupBy("p1", "p2").agg(F.min("doc_id").alias("owner"))
-    owned = cut(found.join(owner, ["p1", "p2"]))
-    whole = owned.where("doc_id > owner").select("doc_id", "row", "start", "edges")
-    opened = owned.where("doc_id = owner").groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "edges")).alias("s"))
-    opened = opened.select("doc_id", "row", F.col("s.start").alias("starts"), F.col("s.edges").alias("counts"))
-    edges = edges_of(packed.join(opened, ["doc_id", "row"]), window)
-    least = Window.partitionBy("e1", "e2")
-    again = edges.withColumn("least", F.min("doc_id").over(least)).where("doc_id > least").select("doc_id", "row", F.col("pos").alias("start"), F.lit(1).alias("edges"))
-    gone = whole.union(again).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "edges")).alias("s"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("s.start").alias("starts"), F.col("s.edges").alias("counts"))
-    rows = packed.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row")), "left")
-    return finish(rows, window, texts_out)
+    owned = found.join(owner, ["p1", "p2"])
+    path = F.struct("row", "start", "edges")
+    opened = owned.where("doc_id = owner").groupBy("doc_id").agg(F.collect_list(path).alias("paths"))
+    edges = edges_of(packed.join(opened, "doc_id", "left").where("paths IS NOT NULL"), window)
+    again = edges.withColumn("least", F.min("doc_id").over(Window.partitionBy("e1", "e2"))).where("doc_id > least")
+    whole = owned.where("doc_id > owner").select("doc_id", path.alias("path"), F.lit(None).cast("long").alias("edge"))
+    again = again.select("doc_id", F.lit(None).cast("struct<row:bigint,start:int,edges:int>").alias("path"), F.col("e1").alias("edge"))
+    gone = whole.unionByName(again).groupBy("doc_id").agg(F.collect_list("path").alias("paths"), F.collect_list("edge").alias("edges"))
+    return finish(packed.join(gone, "doc_id", "left"), window, texts_out)
 
 
 def op4_substring_dedup(docs: DataFrame) -> DataFrame:
