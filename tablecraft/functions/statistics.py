@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -312,40 +313,49 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], value=number) -> DataFrame:
-    """(position, c1, c2, r): Pearson over rows where both values are present; NULL if either is constant.
+    """(position, c1, c2, r): Pearson over rows where both values are present; NULL if either is constant there.
 
-    One pass gathers means and deviations. A second sums the products of the centred values for many pairs at once; pairs
-    with missing values use covariance and deviations over their common rows instead.
+    Two passes for any number of columns: means first, then the products of centred values. A task multiplies its rows block by block and
+    sends one row of sums per pair, with counts over the common rows, so gaps need no pass of their own.
     """
     names = list(dict.fromkeys(c for p in pairs for c in p))
-    seen = scalars(
-        df, names, {"n": F.count, "gaps": lambda x: F.count_if(x.isNull()), "m": F.avg, "sd": F.stddev_samp}, value
-    )
-    parts = []
-    for base, chunk in zip(range(0, len(pairs), SETTINGS.pairs_per_job), chunks(pairs, SETTINGS.pairs_per_job)):
-        used = list(dict.fromkeys(c for p in chunk for c in p))
-        at = {c: f"x{i}" for i, c in enumerate(used)}
-        inputs = df.select(*[value(df, c).alias(at[c]) for c in used])
-
-        def r_of(a, b):
-            x, y, sa, sb = F.col(at[a]), F.col(at[b]), seen[a], seen[b]
-            if sa["gaps"] or sb["gaps"]:
-                both = x.isNotNull() & y.isNotNull()
-                return F.try_divide(F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y)))
-            scale = (sa["n"] - 1) * (sa["sd"] or 0.0) * (sb["sd"] or 0.0)
-            if not scale:
-                return F.any_value(F.lit(None).cast("double"))
-            return F.sum((x - F.lit(sa["m"])) * (y - F.lit(sb["m"]))) / F.lit(scale)
-
-        row = inputs.agg(*[r_of(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        structs = [
-            F.struct(
-                F.lit(base + i).alias("position"), F.lit(a).alias("c1"), F.lit(b).alias("c2"), F.col(f"r{i}").alias("r")
-            )
-            for i, (a, b) in enumerate(chunk)
-        ]
-        parts.append(row.select(F.inline(F.array(*structs))))
-    return union_all(parts)
+    seen = scalars(df, names, {"m": F.avg}, value)
+    centers = np.array([seen[c]["m"] or 0.0 for c in names])
+    at = {c: i for i, c in enumerate(names)}
+    left, right = np.array([at[a] for a, _ in pairs]), np.array([at[b] for _, b in pairs])
+    whole = len(pairs) > 4 * len(names)  # else only the wanted products
+
+    def products(x, m, y, n):
+        """Sums over rows of x_i * y_j for the wanted pairs, and the like for squares and presences."""
+        if whole:
+            pick = lambda a, b: (a.T @ b)[left, right]
+        else:
+            pick = lambda a, b: np.einsum("ri,ri->i", a[:, left], b[:, right])
+        return [pick(x, y), pick(m, n), pick(x, n), pick(m, y), pick(x * x, n), pick(m, y * y)]
+
+    def add_up(batches):
+        total = np.zeros((6, len(pairs)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns])
+                m = (~np.isnan(x)).astype(float)
+                x = np.where(m > 0, x - centers, 0.0)
+                with np.errstate(all="ignore"):
+                    total += products(x, m, x, m)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs))), *map(pa.array, total)], ["position", *SUMS])
+
+    inputs = df.select(*[value(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    sums = inputs.mapInArrow(add_up, "position long, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("position").agg(*[F.sum(c).alias(c) for c in SUMS])
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
+    spread = (vx > F.col("sxx") * 1e-12) & (vy > F.col("syy") * 1e-12)  # less is the rounding of a constant
+    r = F.when(spread | F.isnan(vx) | F.isnan(vy), F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n")), F.sqrt(vx) * F.sqrt(vy)))
+    listed = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "position int, c1 string, c2 string")
+    return listed.join(sums, "position", "left").select("position", "c1", "c2", r.alias("r"))
+
+
+SUMS = ("sxy", "n", "sx", "sy", "sxx", "syy")
 
 
 def all_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:

@@ -170,20 +170,20 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(y, 3) AS
 def training_history(spark, sf):
     prepared, parts = _document_parts(spark, sf)
     parts = parts.persist()  # shared by both fits
-    runs = [training.train(m, parts, prepared.task, prepared.features, epochs=12) for m in ("GradientBoostingClassifier", "LogisticRegression")]
+    runs = [training.train(m, parts, prepared.task, prepared.features) for m in ("GradientBoostingClassifier", "LogisticRegression")]
     parts.unpersist()
     return union_all([r.history_frame() for r in runs])
 
 
 def forest_history(spark, sf):
     prepared, parts = _document_parts(spark, sf)
-    out = training.train("RandomForestClassifier", parts, prepared.task, prepared.features, history=False, numTrees=20)
+    out = training.train("RandomForestClassifier", parts, prepared.task, prepared.features, history=False)
     rows = training.forest_history(out.model, parts.where("split = 'train'"), parts.where("split = 'val'"), prepared.task, 5)
     return local_rows(parts, [(m, a, b) for m, a, b, _, _ in rows], "trees int, train_score double, val_score double")
 
 
 def feature_importance(spark, sf):
-    df = table(spark, sf, "lineitem").drop("l_shipdate")
+    df = table(spark, sf, "lineitem")
     prepared = preparation.prepare(df, "l_extendedprice", "regression", exclude=["l_orderkey"])
     parts = preparation.hash_split(prepared.transform(df, ["l_orderkey"]), ["l_orderkey"])
     return training.train("DecisionTreeRegressor", parts, "regression", prepared.features, history=False).importances()
@@ -225,12 +225,13 @@ METRIC_ROWS = " UNION ALL ".join(
 
 
 def _line_history(spark, sf):
-    """Average discount and tax per line number as score curves of two models."""
+    """Averages of quantity and tax by day of the month as score curves of two models, one of which drifts apart."""
     df = table(spark, sf, "lineitem")
-    by_line = df.groupBy(col("l_linenumber").alias("epoch"), col("l_linestatus").alias("model")).agg(
-        (F.avg("l_quantity") / 50).alias("train_score"), (F.avg("l_tax") * 10).alias("val_score")
+    day = F.dayofmonth("l_shipdate")
+    drift = F.when(F.col("l_linestatus") == "O", day / 100.0).otherwise(0.0)
+    return df.groupBy(day.alias("epoch"), col("l_linestatus").alias("model")).agg(
+        (F.avg("l_quantity") / 50 + F.max(drift)).alias("train_score"), (F.avg("l_tax") * 10).alias("val_score")
     )
-    return by_line
 
 
 def winner(spark, sf):
@@ -245,12 +246,13 @@ def fit_diagnostics(spark, sf):
 
 
 DIAGNOSTICS_SQL = f"""WITH m AS (PIVOT ({METRIC_ROWS}) ON metric IN ('r2', 'rmse', 'mae') USING max(value) GROUP BY model),
-h AS (SELECT l_linestatus AS model, l_linenumber AS e, avg(l_quantity) / 50 - avg(l_tax) * 10 AS gap FROM lineitem GROUP BY 1, 2),
-g AS (SELECT model, count(*) AS n, arg_max(gap, e) AS gap FROM h GROUP BY 1)
+h AS (SELECT l_linestatus AS model, dayofmonth(l_shipdate) AS e, avg(l_quantity) / 50 + max(CASE WHEN l_linestatus = 'O' THEN dayofmonth(l_shipdate) / 100 ELSE 0 END) - avg(l_tax) * 10 AS gap FROM lineitem GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY e) - 1 AS pos, count(*) OVER (PARTITION BY model) AS n FROM h),
+g AS (SELECT model, max(n) AS n, arg_max(gap, e) AS gap, max(gap) FILTER (pos = n // 2) AS mid FROM i GROUP BY 1)
 SELECT model, CASE WHEN r2 > 0.9 THEN 'excellent' WHEN r2 > 0.7 THEN 'good' WHEN r2 > 0.5 THEN 'moderate' ELSE 'low' END AS verdict,
   CASE WHEN rmse > mae * 1.5 THEN 'outlier errors' ELSE 'even errors' END AS balance, CAST(NULL AS BOOLEAN) AS late_divergence FROM m
 UNION ALL SELECT model, CASE WHEN gap > 0.15 THEN 'significant overfitting' WHEN gap > 0.05 THEN 'mild overfitting' WHEN gap < -0.02 THEN 'possible underfitting'
-  ELSE 'good generalization' END, NULL, n > 10 AND false FROM g"""
+  ELSE 'good generalization' END, NULL, n > 10 AND gap > mid + 0.05 FROM g"""
 
 
 def metrics_sql(source: str) -> str:
@@ -329,8 +331,8 @@ QUERIES = {
     ),
     "train_linear_predictions": (train_linear_predictions, LINEAR_SQL),
     "train_logreg_predictions": (train_predictions("LogisticRegression"), None),
-    "train_rf_predictions": (train_predictions("RandomForestClassifier", numTrees=30), None),
-    "train_gbt_predictions": (train_predictions("XGBClassifier", maxIter=10), None),
+    "train_rf_predictions": (train_predictions("RandomForestClassifier"), None),
+    "train_gbt_predictions": (train_predictions("XGBClassifier"), None),
     "training_history": (training_history, None),
     "forest_history": (forest_history, None),
     "feature_importance": (feature_importance, None),

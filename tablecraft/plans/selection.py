@@ -75,24 +75,24 @@ def _scores(fitted, key: str, df, name: str):
 
 def rfe_ranking(spark, sf):
     df = view(spark, sf, "correlated_lineitem")
-    fitted = selection.by_elimination(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "net", "regression", 2, trees=20)
+    fitted = selection.by_elimination(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "q2"], "net", "regression", 2)
     return local_rows(df, list(fitted.info["rankings"].items()), "feature string, ranking bigint")
 
 
 def lasso_coefficients(spark, sf):
     df = view(spark, sf, "correlated_lineitem")
-    return _scores(selection.by_l1(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "net", "regression"), "coefficients", df, "coefficient")
+    return _scores(selection.by_l1(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "q2"], "net", "regression"), "coefficients", df, "coefficient")
 
 
 def tree_importance(spark, sf):
     df = view(spark, sf, "correlated_lineitem")
-    fitted = selection.by_tree_importance(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "net", "regression", trees=30)
+    fitted = selection.by_tree_importance(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "q2"], "net", "regression")
     return _scores(fitted, "importances", df, "importance")
 
 
 def auto_select(spark, sf):
     df = view(spark, sf, "correlated_lineitem")
-    fitted = selection.by_consensus(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "net", "regression", 3)
+    fitted = selection.by_consensus(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "q2"], "net", "regression", 3)
     return _scores(fitted, "average_ranks", df, "avg_rank")
 
 

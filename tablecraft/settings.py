@@ -37,7 +37,6 @@ class Settings:
     spread: int = 4_096
     grid_classes: int = 1_000
     columns_per_job: int = 40
-    pairs_per_job: int = 60
 
 
 SETTINGS = Settings()

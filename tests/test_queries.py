@@ -8,7 +8,6 @@ import __spark_entry__ as entry
 from tests.check import compare, duck
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"auto_select", "training_history", "forest_history", "train_gbt_predictions", "train_rf_predictions", "rfe_ranking"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def test_matches_sql(name, spark, sf_dir, con):
     assert compare(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).limit(1).count() == 1
 

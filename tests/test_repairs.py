@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablecraft.functions.statistics import quantiles
-from tablecraft.operators import catalog, comparison, creation, evaluation, neighbors, preparation, profiling, training, transforms
+from tablecraft.functions.statistics import all_pairs, correlations, quantiles
+from tablecraft.operators import catalog, comparison, creation, evaluation, neighbors, preparation, profiling, storage, training, transforms
 from tablecraft.sources import files
 
 
@@ -126,3 +126,45 @@ def test_late_divergence_of_a_trained_model(spark, small_parts):
     assert verdict["late_divergence"] == (gaps[-1] > gaps[len(gaps) // 2] + 0.05) and verdict["gap"] == pytest.approx(gaps[-1], abs=1e-6)
     linear = training.train("HuberRegressor", small_parts["regression"], "regression", ["a", "b"])
     assert comparison.overfitting(linear.history_frame()).first()["late_divergence"] is False
+
+
+def test_correlations_with_gaps_and_many_columns(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 100)) + rng.random((300, 1))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 0.1
+    names = [f"c{i}" for i in range(100)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{n} double" for n in names))
+    for pairs in (all_pairs(names), [(n, "c3") for n in names if n != "c3"]):
+        for r in correlations(df, pairs).collect():
+            a, b = x[:, names.index(r["c1"])], x[:, names.index(r["c2"])]
+            both = ~np.isnan(a) & ~np.isnan(b)
+            if "c7" in (r["c1"], r["c2"]):
+                assert r["r"] is None
+            else:
+                assert r["r"] == pytest.approx(np.corrcoef(a[both], b[both])[0, 1], abs=1e-9)
+    plan = correlations(df, all_pairs(names))._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") and "Expand" not in plan
+
+
+def test_stored_preparation_scores_with_class_names(spark, tmp_path):
+    df = spark.range(90).select(
+        "id", (F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("k"), F.col("id") % 4).alias("k"),
+        F.when(F.col("id") % 4 < 2, "low").otherwise("high").alias("y"))
+    prepared = preparation.prepare(df, "y", "binary_classification", exclude=["id"])
+    parts = preparation.hash_split(prepared.transform(df, ["id"]), ["id"])
+    out = training.train("DecisionTreeClassifier", parts, prepared.task, prepared.features, history=False)
+    training.save(out.model, str(tmp_path / "model"))
+    storage.save_prepared(prepared, spark, str(tmp_path / "prepared"))
+    again, model = storage.load_prepared(spark.newSession(), str(tmp_path / "prepared")), training.load(str(tmp_path / "model"))
+    scored = storage.class_names(training.score(df.drop("y"), again, model, ["id"]), again)
+    wrong = scored.join(df, "id").where("prediction <> y OR prediction IS NULL").count()
+    assert wrong == 0
+
+
+def test_stored_neighbour_models(spark, tmp_path):
+    df = spark.createDataFrame([(float(i % 3), [float(i % 3), float(i) / 50]) for i in range(30)], "label double, features array<double>")
+    for name, model in (("c", neighbors.NearestCentroid().fit(df)), ("n", neighbors.NearestNeighbors(3).fit(df))):
+        storage.save_neighbors(model, spark, str(tmp_path / name))
+        again = storage.load_neighbors(spark, str(tmp_path / name))
+        assert again.transform(df).where("prediction <> label").count() == model.transform(df).where("prediction <> label").count() == 0
