@@ -78,11 +78,38 @@ def groups_of(rows):
     return sorted(((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("block, partners", [(4096, 6), (5, 1)])
-def test_jaccard_matches_brute_force(frame, monkeypatch, block, partners):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "PARTNERS", partners)
-    rows = near_copies(np.random.default_rng(block)) + ODD
+def test_fine_points_bound_the_overlap():
+    rng = np.random.default_rng(9)
+    for n in (3, 200, 3000, 9000):
+        common = rng.integers(0, 2**63, n, dtype=np.uint64)
+        a, b = (np.unique(np.r_[common, rng.integers(0, 2**63, extra, dtype=np.uint64)]) for extra in (n // 9, n // 5 + 1))
+        assert n <= jaccard_join.fine_bound(jaccard_join.fine_point(a), jaccard_join.fine_point(b)) <= min(len(a), len(b))
+    assert jaccard_join.fine_bound(np.full(64, 255, np.uint8), np.ones(64, np.uint8)) is None
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_cells_come_whole(monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 40)
+    keys = np.repeat(np.arange(60), np.random.default_rng(1).integers(1, 30, 60))
+    keys = np.r_[keys, np.full(145, 60), np.full(3, 61), np.full(80, 62), np.full(17, 63)]
+    rows = np.arange(len(keys))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(rows[i : i + size])], ["k", "r"]) for i in range(0, len(keys), size)]
+    seen = Counter()
+    for (k, r), whole in jaccard_join.sorted_cells(iter(batches), 2):
+        if whole is not None:
+            assert len(set(k.tolist())) == 1 and (whole is False or 16 < len(k) == (keys == k[0]).sum())
+        if whole is False:
+            assert r[0] == rows[keys == k[0]][0] and len(k) <= 41 + size
+        else:
+            assert all((keys == x).sum() == (k == x).sum() for x in set(k.tolist()))
+        seen.update(set(r.tolist()))
+    assert set(seen) == set(rows.tolist())
+
+
+@pytest.mark.parametrize("members, groups", [(9, 12), (40, 4)])
+def test_jaccard_matches_brute_force(frame, members, groups):
+    """Groups below and beyond a leaf: the larger ones leave pairs to the second round."""
+    rows = near_copies(np.random.default_rng(members), groups, members) + ODD
     assert sorted((tuple(r) for r in jaccard_join.op8_jaccard_join(frame(rows)).collect()), key=str) == groups_of(rows)
 
 
@@ -95,13 +122,13 @@ def test_jaccard_of_nothing_and_one_of_each(frame):
 def test_tree_finds_all_partners():
     rng = np.random.default_rng(2)
     size = np.sort(rng.integers(20, 60, 300))
-    point = np.stack([np.bincount(rng.integers(0, 128, n), minlength=128) for n in size]).astype(np.uint16)
+    point = np.stack([np.bincount(rng.integers(0, 128, n), minlength=128) for n in size]).astype(np.uint8)
     point[100:140], size[100:140] = point[100], size[100]
     order = np.argsort(size, kind="stable")
     point, size = point[order], size[order]
     tree = jaccard_join.Tree(point, size)
     for i in range(0, 300, 17):
-        bound = np.minimum(point, point[i]).sum(1)
+        bound = np.minimum(point, point[i]).sum(1, dtype=int)
         want = np.flatnonzero((180 * bound >= 80 * (size + size[i])) & (10 * np.minimum(size, size[i]) >= 8 * np.maximum(size, size[i])))
         assert tree.partners(i).tolist() == want.tolist()
 
@@ -264,6 +291,16 @@ def test_attention_gradients_and_windows():
     assert sum(10**s for s in seven) < 10 ** lm_score.window_scores(model, [long[:3]], 40)[0] * 1e6
 
 
+def test_fast_scores_equal_the_plain_network():
+    rng = np.random.default_rng(3)
+    model = lm_score.train([rng.integers(0, 30, 400)], 40, steps=30).ready()
+    ids, target = rng.integers(0, 40, (5, 20)), rng.integers(0, lm_score.CLASSES, (5, 20))
+    z = model.forward(ids)[-1] @ model.p["out"] + model.p["bias"]
+    plain = (np.take_along_axis(z, target[..., None], 2)[..., 0] - np.log(np.exp(z).sum(2))) / np.log(10)
+    every = np.ones((5, 20), bool)
+    assert np.allclose(model.log10_class(ids, every, target[every]), plain[every], atol=1e-4)
+
+
 def test_learning_improves_the_model():
     rng = np.random.default_rng(1)
     flow = np.tile(np.arange(12), 60)
