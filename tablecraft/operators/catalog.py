@@ -106,11 +106,17 @@ def model(class_name: str) -> Model:
     raise ValueError(f"unknown model '{class_name}'")
 
 
-def catalog_frame(df: DataFrame) -> DataFrame:
-    rows = [(m.class_name, m.display_name, m.family, m.complexity, m.task_type, m.factory, m.note) for m in CATALOG]
+def catalog_frame(df: DataFrame, task: str | None = None) -> DataFrame:
+    """The catalogue, for a task if one is given: what each model is, what stands behind it and how well it fits."""
+    offered = CATALOG if task is None else models_for(task)
+    rows = []
+    for m in offered:
+        source = "tablecraft" if m.factory in ("KNeighbors", "NearestCentroid") else "pyspark.ml"
+        about = f"{m.display_name}: {m.family} model for {'classes' if m.task_type == 'classifier' else 'numbers'}, {m.complexity.lower()} complexity"
+        rows.append((m.class_name, m.display_name, m.family, m.complexity, m.task_type, source, m.factory, about, m.note))
     return local_rows(
         df, rows,
-        "class_name string, display_name string, family string, complexity string, task_type string, spark_class string, note string",
+        "class_name string, display_name string, family string, complexity string, task_type string, source string, spark_class string, description string, note string",
     )
 
 

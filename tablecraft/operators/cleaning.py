@@ -339,8 +339,3 @@ def report(plan: CleanPlan, cleaned: DataFrame) -> CleanReport:
         *[F.count_if(present(cleaned, c).isNull()).alias(f"n{i}") for i, c in enumerate(cleaned.columns)],
     ).first()
     return CleanReport(plan, row["n"], cleaned.columns, {c: row[f"n{i}"] for i, c in enumerate(cleaned.columns)})
-
-
-def actions_frame(df: DataFrame, plan: CleanPlan) -> DataFrame:
-    rows = [(i, step, detail) for i, (step, detail) in enumerate(plan.actions())]
-    return df.sparkSession.createDataFrame(rows, "seq int, step string, detail string")

@@ -21,18 +21,19 @@ class FeatureSession:
     def __init__(self, df: DataFrame):
         self.original = df
         self.current = df
-        self._history: list[DataFrame] = []
+        self._history: list[tuple[DataFrame, int]] = []
         self.steps: list[tuple[Fitted, int, int]] = []
         self._since_cut = 0
 
     def apply(self, operation: Callable[..., Fitted], *args, **kwargs) -> Fitted:
         """Fit the operation on the current table and append its transform."""
+        before, since_cut = self.current, self._since_cut
         fitted = operation(self.current, *args, **kwargs)
         after = fitted.transform(self.current)
         self._since_cut += 1
         if self._since_cut >= LONGEST_LINEAGE:
             after, self._since_cut = durable(after), 0
-        self._history.append(self.current)
+        self._history.append((before, since_cut))
         self.steps.append((fitted, len(self.current.columns), len(after.columns)))
         self.current = after
         return fitted
@@ -40,12 +41,12 @@ class FeatureSession:
     def undo(self) -> bool:
         if not self._history:
             return False
-        self.current = self._history.pop()
+        self.current, self._since_cut = self._history.pop()
         self.steps.pop()
         return True
 
     def reset(self) -> None:
-        self.current = self.original
+        self.current, self._since_cut = self.original, 0
         self._history.clear()
         self.steps.clear()
 

@@ -19,7 +19,6 @@ class Settings:
     low_variance: float = 0.01
     test_size: float = 0.2
     val_size: float = 0.1
-    default_epochs: int = 50
     random_state: int = 42
     classification_unique: int = 20
     variance_threshold: float = 0.01

@@ -168,3 +168,20 @@ def test_stored_neighbour_models(spark, tmp_path):
         storage.save_neighbors(model, spark, str(tmp_path / name))
         again = storage.load_neighbors(spark, str(tmp_path / name))
         assert again.transform(df).where("prediction <> label").count() == model.transform(df).where("prediction <> label").count() == 0
+
+
+def test_catalogue_listing(spark):
+    rows = catalog.catalog_frame(spark.range(1), "regression").collect()
+    assert len(rows) == len(catalog.models_for("regression")) and {r["source"] for r in rows} == {"tablecraft", "pyspark.ml"}
+    assert all(r["display_name"] in r["description"] for r in rows) and catalog.catalog_frame(spark.range(1)).count() == len(catalog.CATALOG)
+
+
+def test_undo_and_reset_wind_the_lineage_count_back(spark):
+    from tablecraft.operators.session import FeatureSession
+
+    session = FeatureSession(spark.createDataFrame([(1.0,), (2.0,)], "x double"))
+    for _ in range(3):
+        session.apply(creation.polynomial, ["x"], 2)
+    assert session.undo() and session._since_cut == 2
+    session.reset()
+    assert session._since_cut == 0 and session.current is session.original
