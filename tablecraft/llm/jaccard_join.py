@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.llm import text as T
@@ -15,10 +16,14 @@ from tablecraft.llm.storage import cut
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
-#: Groups of shingles whose counts make a point; buckets that tell frequent shingles from others.
-GROUPS, BUCKET_BITS = 128, 18
-#: Members of a cell that one tree holds; leaves of a tree; partners that a member of a cell is first checked against.
-BLOCK, LEAF, PARTNERS = 4_096, 16, 6
+#: Groups of shingles whose counts make a point, in trees and (about one for two shingles, at most) for single pairs.
+GROUPS, FINE_GROUPS = 128, 16_384
+#: Leading bits of a shingle's hash that make the buckets which tell frequent shingles from others.
+BUCKET_BITS = 18
+#: Members of a cell that one tree holds; entries of a leaf, and members of a cell up to which it is one leaf; partners that a member of a
+#: larger cell is first checked against, and in the rounds after that.
+BLOCK, LEAF, PARTNERS, ROUNDS = 4_096, 16, 2, (4, 32)
+FULL = 255  # a counter at this value may stand for more
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -54,10 +59,24 @@ def fingerprints(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def points(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Counts of each row's shingles by group, as far as 16 bits hold them."""
+    """Counts of each row's shingles by group, as far as 8 bits hold them."""
     rows = len(bounds) - 1
     cell = np.repeat(np.arange(rows), np.diff(bounds)) * GROUPS + (g % U(GROUPS)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=rows * GROUPS), 65535).astype(np.uint16).reshape(rows, GROUPS)
+    return np.minimum(np.bincount(cell, minlength=rows * GROUPS), FULL).astype(np.uint8).reshape(rows, GROUPS)
+
+
+def fine_point(g: np.ndarray) -> np.ndarray:
+    """Counts of one set by as many groups, a power of two, as keep unrelated sets of its size apart."""
+    groups = min(FINE_GROUPS, max(GROUPS, 1 << int(len(g) // 2).bit_length()))
+    return np.minimum(np.bincount((g % U(groups)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int | None:
+    """Most common shingles by two fine points, the finer one folded to the other's groups; None if full counters hide it."""
+    if a.max() == FULL or b.max() == FULL:
+        return None
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(0, dtype=np.int64)).sum())
 
 
 def binaries(rows: np.ndarray) -> pa.Array:
@@ -67,7 +86,7 @@ def binaries(rows: np.ndarray) -> pa.Array:
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """At most so many common shingles have points a and b (broadcast): the sum of the smaller coordinates; a full counter bounds nothing."""
     bound = np.minimum(a, b).sum(-1, dtype=np.int64)
-    return np.where((a == 65535).any(-1) & (b == 65535).any(-1), np.iinfo(np.int64).max // 1000, bound)
+    return np.where((a.max(-1) == FULL) & (b.max(-1) == FULL), np.iinfo(np.int64).max // 1000, bound)
 
 
 def enough(common, size_a, size_b, percent: int = PERCENT):
@@ -153,38 +172,45 @@ def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(work, "key long, node long, size int")
 
 
-def sorted_runs(batches, columns: int, limit: int) -> Iterator[tuple[list[np.ndarray], bool]]:
-    """(columns of a run of equal keys, whether it is a whole key) from sorted batches; a longer run comes in pieces of `limit` rows, each
-    with the run's first row in front."""
-    rest, lead, begun = None, None, None
+def sorted_cells(batches, columns: int) -> Iterator[tuple[list[np.ndarray], bool | None]]:
+    """Cells (runs of equal keys) of sorted batches: (columns, None) for all cells of up to LEAF rows of a batch side by side, (columns, True)
+    for a larger cell, and (columns, False) for pieces of BLOCK rows of a still larger one, each with the cell's first row in front."""
+    rest, lead = None, None
+
+    def piece(rows):
+        return [np.concatenate([x, y]) for x, y in zip(lead, rows)] if lead is not None else rows
+
     for batch in batches:
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(columns)]
         if rest is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
-        if not len(cols[0]):
+        n = len(cols[0])
+        if not n:
             continue
-        edges = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-        for s, e in zip(edges, np.r_[edges[1:], len(cols[0])]):
-            last = e == len(cols[0])
-            same = begun is not None and cols[0][s] == begun
-            if not same:
-                begun = lead = None
-            while e - s >= limit:
-                piece = [c[s : s + limit] for c in cols]
-                yield ([np.concatenate([x, y]) for x, y in zip(lead, piece)] if lead is not None else piece), False
-                if lead is None:
-                    lead, begun = [c[:1] for c in piece], cols[0][s]
-                s += limit
-            if last:
-                rest = [c[s:e] for c in cols]
-            elif e > s:
-                piece = [c[s:e] for c in cols]
-                yield ([np.concatenate([x, y]) for x, y in zip(lead, piece)] if lead is not None else piece), lead is None
+        edges = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1], True])
+        first = 0
+        if lead is not None and cols[0][0] != lead[0][0]:  # its pieces used up all its rows
+            lead = None
+        if lead is not None and len(edges) > 2:  # the cell that was handed on in pieces ends here
+            if edges[1]:
+                yield piece([c[: edges[1]] for c in cols]), False
+            lead, first = None, 1
+        sizes = np.diff(edges)[first:-1]
+        starts = edges[first:-2]
+        few = np.repeat(sizes <= LEAF, sizes)
+        if few.any():
+            at = np.flatnonzero(few) + (starts[0] if len(starts) else 0)
+            yield [c[at] for c in cols], None
+        for s, k in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+            yield [c[s : s + k] for c in cols], True
+        rest = [c[edges[-2] :] for c in cols]
+        while len(rest[0]) >= BLOCK:
+            part, rest = [c[:BLOCK] for c in rest], [c[BLOCK:] for c in rest]
+            yield piece(part), False
+            if lead is None:
+                lead = [c[:1] for c in part]
     if rest is not None and len(rest[0]):
-        if begun is not None and rest[0][0] == begun:
-            yield [np.concatenate([x, y]) for x, y in zip(lead, rest)], False
-        else:
-            yield rest, True
+        yield piece(rest), False if lead is not None else (None if len(rest[0]) <= LEAF else True)
 
 
 def shared_cells(keyed: DataFrame) -> DataFrame:
@@ -217,28 +243,45 @@ def shared_cells(keyed: DataFrame) -> DataFrame:
 
 
 def first_pairs(cells: DataFrame) -> DataFrame:
-    """(a, b, key) from a tree over each cell: pairs that the bound leaves over, at most PARTNERS + 1 a member, the first and others in a
-    hashed order. Where that leaves a pair out, a row without a and b names the cell."""
+    """(a, b, key): pairs that the bound leaves over. A cell of up to LEAF members is one leaf, whose pairs are bounded side by side with those
+    of other cells. A larger one gets a tree, and each of its members at most PARTNERS + 1 pairs, the first and others in a hashed order;
+    where that leaves a pair out, a row without a and b names the cell."""
+
+    def pairs(x, y):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "key"])
+
+    def leaves(key, node, size, point):
+        for step in range(1, LEAF):
+            at = np.flatnonzero(key[step:] == key[:-step])
+            if not len(at):
+                return
+            at = at[100 * size[at] >= PERCENT * size[at + step]]  # sizes ascend within a cell
+            at = at[enough(overlap_bound(point[at], point[at + step]), size[at], size[at + step])]
+            if len(at):
+                yield pairs(node[at], node[at + step])
+
+    def grown(key, node, size, point, whole):
+        tree, a, b, more = Tree(point, size), [], [], not whole
+        for i in range(len(node)):
+            others = tree.partners(i)
+            others = others[others != i]
+            if len(others) > PARTNERS + 1:
+                more = True
+                order = np.argsort(T.mix(node[others].view(np.uint64) ^ T.mix(node[i : i + 1].view(np.uint64))))
+                others = np.r_[others[:1], others[order[:PARTNERS]]]
+            a.append(np.full(len(others), node[i]))
+            b.append(node[others])
+        yield pairs(np.concatenate(a), np.concatenate(b))
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(key[:1])], ["a", "b", "key"])
+
+    def stacked(point):
+        return np.frombuffer(b"".join(point), np.uint8).reshape(len(point), GROUPS)
 
     def work(batches):
-        for (key, node, size, point), whole in sorted_runs(batches, 4, BLOCK):
-            n = len(key)
-            tree = Tree(np.frombuffer(b"".join(point), np.uint16).reshape(n, GROUPS), size.astype(np.int64))
-            a, b, more = [], [], not whole
-            for i in range(1 if n == 2 else n) if n > 1 else ():
-                others = tree.partners(i) if n > 2 else tree.partners(i, i)
-                others = others[others != i]
-                if len(others) > PARTNERS + 1:
-                    more = True
-                    order = np.argsort(T.mix(node[others].view(np.uint64) ^ T.mix(node[i : i + 1].view(np.uint64))))
-                    others = np.r_[others[:1], others[order[:PARTNERS]]]
-                a.append(np.full(len(others), node[i]))
-                b.append(node[others])
-            if a and (m := sum(map(len, a))):
-                x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(m, pa.int64())], ["a", "b", "key"])
-            if more:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(key[:1])], ["a", "b", "key"])
+        for (key, node, size, point), whole in sorted_cells(batches, 4):
+            size, point = size.astype(np.int64), stacked(point)
+            yield from leaves(key, node, size, point) if whole is None else grown(key, node, size, point, whole)
 
     return cells.select("key", "node", "size", "point").repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(work, "a long, b long, key long")
 
@@ -251,38 +294,64 @@ def bounded(pairs: DataFrame) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, GROUPS) for c in (4, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, GROUPS) for c in (4, 5))
             good = enough(overlap_bound(x, y), batch.column(2).to_numpy(), batch.column(3).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
     return pairs.select("a", "b", "size_a", "size_b", "point_a", "point_b").mapInArrow(work, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets do share enough. Only sets that occur in a pair are read again, from one document each."""
+def opened(pairs: DataFrame, docs: DataFrame, sets: DataFrame, form) -> DataFrame:
+    """(node, size, value) for the sets that occur in a pair, value = form(set) as bytes; each is read from one of its documents."""
 
     def work(batches):
         for batch in batches:
             for i, j, g, bounds in shingle_sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([g[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())], ["node", "members"])
+                value = pa.array([form(g[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), value], ["node", "size", "value"])
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = small(cut(sets.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("_rep"), F.col("th").alias("_th"))))
     chosen = docs.withColumn("th", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("th") == F.col("_th")))
-    members = chosen.dropDuplicates(["node"]).select("node", "text").mapInArrow(work, "node long, members binary")
-    both = pairs.join(members.withColumnsRenamed({"node": "a", "members": "x"}), "a").join(members.withColumnsRenamed({"node": "b", "members": "y"}), "b")
+    values = chosen.select("node", "text").mapInArrow(work, "node long, size long, value binary")
+    return values.dropDuplicates(["node"])  # rows that repeat a document give the same value
+
+
+def both_sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(values.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("value").alias(f"value_{side}")), side)
+    return pairs.select("a", "b", "size_a", "size_b", "value_a", "value_b")
+
+
+def close(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose fine points allow enough common shingles; distinct pairs come here once, whatever number of cells they share."""
 
-    def compare(batches):
+    def work(batches):
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            columns = (batch.column(c).to_pylist() for c in range(2, 6))
+            for r, (size_a, size_b, x, y) in enumerate(zip(*columns)):
+                bound = fine_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+                good[r] = bound is None or enough(bound, size_a, size_b)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], ["a", "b"])
+
+    return both_sides(pairs, opened(pairs, docs, sets, fine_point)).mapInArrow(work, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets do share enough."""
+
+    def work(batches):
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for r, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            for r, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 p, q = (p, q) if len(p) < len(q) else (q, p)
                 common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 good[r] = enough(common, len(p), len(q))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return both_sides(pairs, opened(pairs, docs, sets, lambda g: g)).mapInArrow(work, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -295,8 +364,9 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     Points of unrelated texts of one length lie close in few dimensions and far in many, where a single tree over the corpus would compare
     nearly every leaf with every other. Trees are therefore grown per cell: equal sets are one node; nodes that share one of their first
     shingles, frequent ones last, share a cell, and each linked pair shares one. Trees propose pairs, pairs are verified on whole sets, and
-    links make components. A member of a large cell is first checked against a few partners; then every pair of a cell that is still in two
-    components is bounded and verified, so no link is lost, and copies are not expanded into all their pairs.
+    links make components. A member of a large cell is first checked against a few partners, then against more among those still in other
+    components; in the end every pair of a cell that is still in two components is bounded and verified, so no link is lost, and copies are
+    not expanded into all their pairs.
 
     Missing and empty texts have no shingles, no node and their own doc_id as component. Rows that repeat a text share a component; a row
     without doc_id takes part, but only ids name components. Other columns of `docs` are not read.
@@ -309,15 +379,16 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("component"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("size").cast("int").alias("size"), F.first("point").alias("point"))
     sets = cut(sets.select("node", "component", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "size", "point"))
     cells = shared_cells(prefixes(docs, level))
-    cells = cut(cells.join(sets.select("node", "point"), "node").select("key", "node", "size", "point"))
+    cells = cells.join(sets.select("node", "point"), "node").select("key", "node", "size", "point").persist(StorageLevel.DISK_ONLY)
     found = cut(first_pairs(cells).distinct())
-    tested = found.where("a IS NOT NULL").select("a", "b")
+    tested = cut(close(found.where("a IS NOT NULL").select("a", "b"), docs, sets))
     links = cut(verified(tested, docs, sets))
     roots = cut(components(links))
     # Cells with pairs left out: everything that is still apart in them.
     open_cells = found.where("key IS NOT NULL").select("key").distinct()
     members = cells.join(open_cells, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = cut(members)
+    cells.unpersist()
     share = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots"))
     share = cut(share.where("roots > 1"))
     odd = members.join(share, "key").where("root <> major").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "point", "root")))
@@ -325,9 +396,20 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     apart = apart.select(
         F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b"), "size_a", F.col("size").alias("size_b"), "point_a", F.col("point").alias("point_b"))
     rest = cut(bounded(apart).distinct().join(tested, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = links.union(verified(rest, docs, sets))
-        roots = cut(components(links))
+    for partners in (*ROUNDS, None):
+        if not rest.limit(1).count():
+            break
+        now = rest
+        if partners is not None:  # a few partners each; most pairs are then in one component and need no look
+            order = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
+            now = cut(rest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= partners).select("a", "b"))
+        links = cut(verified(cut(close(now, docs, sets)), docs, sets))
+        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)))
+        if partners is not None:
+            left = rest.join(now, ["a", "b"], "left_anti")
+            for side in ("a", "b"):
+                left = left.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r_{side}")), side, "left")
+            rest = cut(left.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"))
     named = sets.select("node", "component").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("component").alias("component"))
     named = named.select("node", "root").join(ids, "root").select("node", "component")
