@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.llm.columns import BLANK, hex_sha256, lower_az, whole, wide_hash
+from tablecraft.llm.decontaminate import small
+from tablecraft.llm.storage import cut
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -21,25 +23,25 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     `min_docs` different documents loses its lines everywhere except in the largest doc_id that holds it.
 
     Lines are exploded with their position, a key is counted by a 128-bit hash, and what goes comes back to its document as positions.
-    A document sends each of its keys once, so keys meet as one small row per document; the count is combined before its shuffle, and
-    the join that spreads the dropped keys can be split by the adaptive planner where a key is hot.
+    A document sends each of its keys once, so keys meet as one small row per document; the count is combined before its shuffle. The
+    dropped keys are written, then broadcast if they were counted to be few; otherwise their join can be split where a key is hot.
 
     A missing or empty text is one empty line. A document without doc_id keeps every line and counts as no document. Rows that repeat a
     doc_id count once and, where the texts differ, are treated each by its own lines. If every line goes, the text is empty.
     """
     lines = F.split(whole(F.col("text")), "\n")
-    rows = docs.withColumns({"_th": F.xxhash64("text"), "_lines": lines})
+    rows = docs.withColumn("_th", F.xxhash64("text"))
     numbered = F.filter(
-        F.transform(F.col("_lines"), lambda line, i: F.struct(line_key(line).alias("key"), i.alias("pos"))),
+        F.transform(lines, lambda line, i: F.struct(line_key(line).alias("key"), i.alias("pos"))),
         lambda s: F.char_length(s["key"]) >= min_chars,
     )
     keyed = rows.where("doc_id IS NOT NULL").select("doc_id", "_th", F.explode(numbered).alias("s"))
     keyed = keyed.select("doc_id", "_th", *wide_hash(F.col("s.key")), F.col("s.pos").alias("pos"))
     per_doc = keyed.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     wide = per_doc.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = keyed.join(wide, ["h1", "h2"]).where("doc_id <> keeper")
+    gone = keyed.join(small(cut(wide)), ["h1", "h2"]).where("doc_id <> keeper")
     gone = gone.groupBy("doc_id", "_th").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "_th": "_gth"})
-    joined = rows.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("_gth")), "left")
+    joined = rows.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("_gth")), "left").withColumn("_lines", lines)
     n = F.size("_lines")
     stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone"))
     kept = F.when(F.col("_gone").isNull(), whole(F.col("text"))).otherwise(
