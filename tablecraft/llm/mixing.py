@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int =
         "size": F.size(blank_words(F.col("text"))).cast("long"), "_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
         "_th": F.xxhash64(whole(F.col("text"))),
     })
-    slim = sized.select("doc_id", "source", "size", "_key", "_th").withColumn("bucket", F.substring("_key", 1, BUCKET_CHARS))
+    slim = cut(sized.select("doc_id", "source", "size", "_key", "_th").withColumn("bucket", F.substring("_key", 1, BUCKET_CHARS)))  # texts are read once
     per_source = targets(slim, weights, budget, repeats)
     buckets = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
