@@ -70,6 +70,15 @@ def _dense(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def weighted(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Rows of length 1 from counts, in place. One common term gives even an empty text a direction."""
+    np.log1p(counts, out=counts)
+    counts *= weight
+    counts[:, -1] = 0.05
+    counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    return counts
+
+
 @dataclass
 class Voters:
     weight: np.ndarray  # of each term
@@ -78,13 +87,13 @@ class Voters:
     labels: np.ndarray
     prior: float
 
-    def place(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weight
-        x[:, -1] = 0.05  # one common term: even an empty text has a direction
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    def turn(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.axes
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
+    def place(self, counts: np.ndarray) -> np.ndarray:
+        return self.turn(weighted(counts, self.weight))
+
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Exact cosine products with all labelled rows, a block at a time; the most similar vote with the power of their similarity."""
         if not len(self.labels):
@@ -136,18 +145,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = P
     kept = list(got.toLocalIterator())
     if not kept:
         return Voters(weight, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    counts = np.stack([np.frombuffer(r["x"], np.float16) for r in kept]).astype(np.float32)
     y = np.array([r["quality"] for r in kept], float)
-    x = np.log1p(counts) * weight
-    x[:, -1] = 0.05
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x = np.empty((len(kept), TERMS), np.float32)
+    for row, r in enumerate(kept):
+        x[row] = np.frombuffer(r["x"], np.float16)
+    del kept
+    x = weighted(x, weight)
     rank = min(RANK, len(x), TERMS)
     rng = np.random.default_rng(7)  # a randomised range finder with two power steps
     basis = np.linalg.qr(x.T @ (x @ rng.standard_normal((TERMS, rank), dtype=np.float32)))[0]
     for _ in range(2):
         basis = np.linalg.qr(x.T @ (x @ basis))[0]
     voters = Voters(weight, basis.astype(np.float32), np.zeros((0, rank), np.float32), y, float(y.mean()))
-    voters.vectors = voters.place(counts).astype(np.float32)
+    voters.vectors = voters.turn(x).astype(np.float32)
     return voters
 
 
