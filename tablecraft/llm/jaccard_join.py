@@ -22,7 +22,7 @@ GROUPS, FINE_GROUPS = 128, 16_384
 BUCKET_BITS = 18
 #: Members of a cell that one tree holds; entries of a leaf, and members of a cell up to which it is one leaf; partners that a member of a
 #: larger cell is first checked against, and in the rounds after that.
-BLOCK, LEAF, PARTNERS, ROUNDS = 4_096, 16, 2, (4, 32)
+BLOCK, LEAF, PARTNERS, ROUNDS = 4_096, 16, 2, (8,)
 FULL = 255  # a counter at this value may stand for more
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 200_000
@@ -318,8 +318,9 @@ def opened(pairs: DataFrame, docs: DataFrame, sets: DataFrame, form) -> DataFram
 
 
 def both_sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows (a, b, sizes, values). The joins sort and merge at any size: the plan that many pairs need is the one that few get."""
     for side in ("a", "b"):
-        pairs = pairs.join(values.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("value").alias(f"value_{side}")), side)
+        pairs = pairs.hint("merge").join(values.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("value").alias(f"value_{side}")), side)
     return pairs.select("a", "b", "size_a", "size_b", "value_a", "value_b")
 
 
