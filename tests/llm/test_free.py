@@ -313,3 +313,14 @@ def test_learning_improves_the_model():
         return m
 
     assert score(300) > score(1) / 3
+
+
+def test_windows_keep_context_and_width(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = lm_score.train([rng.integers(0, 59, 300)], 60, steps=1, batch=2)
+    model.log_share = np.zeros(60)
+    seen, plain = [], lm_score.Attention.log10_class
+    monkeypatch.setattr(lm_score.Attention, "log10_class", lambda self, ids, scored, target: seen.extend(np.nonzero(scored)[1] + 1) or plain(self, ids, scored, target))
+    lm_score.window_scores(model, [rng.integers(0, 59, 400)], 60)
+    assert len(seen) == 401 and max(seen) == 48 and model.p["embed"].shape == (60, 24)
+    assert sum(1 for s in seen if s < 17) == 16  # only the start of a text is predicted from less than 17 subwords
