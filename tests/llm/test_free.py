@@ -324,3 +324,27 @@ def test_windows_keep_context_and_width(monkeypatch):
     lm_score.window_scores(model, [rng.integers(0, 59, 400)], 60)
     assert len(seen) == 401 and max(seen) == 48 and model.p["embed"].shape == (60, 24)
     assert sum(1 for s in seen if s < 17) == 16  # only the start of a text is predicted from less than 17 subwords
+
+
+def test_context_model_learns_from_all_training_texts(spark, frame):
+    # Two classes of words that stand in turn, more texts than the start of the network sees.
+    rng = np.random.default_rng(9)
+    encode, size = lm_score.encoder(lm_score.default_vocabulary())
+    rows = [(i, " ".join(f"{'ab'[k % 2]} {('sun', 'moon')[k % 2]}" for k in range(int(rng.integers(20, 60))))) for i in range(300)]
+    codes = lm_score.cut(lm_score.coded(frame(rows), lm_score.default_vocabulary(), size + 1))
+    count = lm_score.subword_counts(codes, size + 1)
+    own = [encode(t) for _, t in rows]
+    want = np.bincount(np.concatenate(own), minlength=size + 1)
+    want[size] += len(rows)
+    assert (count == want).all()
+    kinds = lm_score.corpus_classes(codes, count)
+    known = np.flatnonzero(count[:-1] >= 5)
+    assert (kinds[known] == lm_score.classes(own, size + 1, None)[known]).all()
+    start = lm_score.train(own[:2], size + 1, steps=5, class_of=kinds)
+    model = lm_score.corpus_training(start, codes.repartition(5), size + 1)
+    again = lm_score.corpus_training(start, codes.coalesce(1), size + 1)
+    assert all(np.array_equal(model.p[k], again.p[k]) and not np.array_equal(model.p[k], start.p[k]) for k in start.p)
+    score = lambda m: (setattr(m, "log_share", np.zeros(size + 1)), lm_score.window_scores(m, own, size + 1).sum())[1]
+    assert score(model) > score(start)
+    ids, following, weight = lm_score.windows_of([np.arange(100), np.arange(3)], 200)
+    assert Counter(zip(ids[weight > 0], following[weight > 0])) == Counter([(i, i + 1) for i in range(99)] + [(0, 1), (1, 2)])
