@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 
 from tablecraft.llm import text as T
 
-#: Bytes inside a candidate; candidates are maximal runs of at least MIN_LENGTH of them with a digit and a letter, or a known start.
+#: Bytes of keys. Candidates are maximal runs of at least MIN_LENGTH of them with a digit, without letters or with a capital after a small
+#: letter; runs of any content and length behind a known start; key headers; and values of any signs, of at least MIN_NAMED bytes, that a
+#: naming word assigns with = or : (quoted ones up to the closing quote).
 SIGNS = np.zeros(256, bool)
 SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-.~"]] = True
-MIN_LENGTH, CONTEXT = 12, 48
+MIN_LENGTH, MIN_NAMED, MAX_NAMED, CONTEXT = 12, 4, 256, 48
 #: Starts of published key formats, and words that name a secret or something else that only looks like one.
 STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "rk_live_", "AIza", "eyJ", "npm_", "hf_")
-NAMING = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "credential", "auth", "bearer", "private")
+NAMING = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "credential", "auth", "bearer", "private", "passphrase")
 OTHER = ("commit", "sha", "md5", "checksum", "hash", "uuid", "guid", "id", "version", "http", "https", "www", "example", "file", "page", "etag", "digest", "mail", "call", "tel")
+#: Ordinary words for generated pass phrases and for values that are no secrets.
+PLAIN = tuple(b"required optional value always never default string number none true false option first second people water place through "
+              b"garden window river simple letter change between something table summer morning winter market answer several example".split())
 #: Common words whose count shares say how word-like a candidate is, and findings used in training, at most.
 DICTIONARY, SAMPLE, PLANTED = 20_000, 4_000, 2_000
 FEATURES = ("length", "transition", "coverage", "entropy", "digit_share", "upper_share", "kind_changes", "known_start", "hex_only", "digits_only", "dots", "slashes",
-            "dashes", "has_path", "has_at", "assigned", "quoted", "naming", "other", "distance")
+            "dashes", "has_path", "has_at", "assigned", "quoted", "naming", "other", "distance", "signs", "blanks", "password")
 
 
 @dataclass
@@ -102,23 +107,70 @@ def features(value: bytes, before: bytes, after: bytes, language: Language) -> l
         float(b"/" in value[1:-1] or b"\\" in before[-1:] or b"://" in before[-8:]), float(before[-1:] == b"@" or after[:1] == b"@"), float(tail[-1:] in (b"=", b":")),
         float(before[-1:] in (b'"', b"'", b"`")), float(any(k.encode() in w for w in near[-3:] for k in NAMING)),
         float(any(k.encode() in parts[-6:] for k in OTHER)), float(min(reach, 9)),
+        float((~SIGNS[raw]).sum()), float(value.count(b" ")), float(any(k in w for w in near[-3:] for k in (b"pass", b"pwd", b"secret"))),
     ]
 
 
+_NAMED = re.compile(rb"(?:" + "|".join(NAMING).encode() + rb")[a-z0-9_.-]{0,24}[\"'`\])]{0,2}[ \t]*$", re.I)
+_VALUE = re.compile(rb"(?:>|=)?[ \t]*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|`([^`\r\n]+)`|[\"'`]?((?:[^\s\"'`&]|&(?![\w.-]*=))+))")
+_BEARER, _BARE = re.compile(rb"(?:earer|EARER)[ \t]+"), re.compile(rb"[^\s\"'`,;]+")
+_HEADER = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+
+
+def named_values(raw: np.ndarray, at: np.ndarray):
+    """(first, past) of values that a naming word assigns, of key headers and of bearer tokens; none crosses a row."""
+    text = raw.tobytes()
+    signs = np.flatnonzero((raw == 61) | (raw == 58))
+    owner = np.searchsorted(at, signs, side="right") - 1
+    for i, low, high in zip(signs.tolist(), at[owner].tolist(), at[owner + 1].tolist()):
+        if _NAMED.search(text[max(low, i - CONTEXT) : i]):
+            m = _VALUE.match(text, i + 1, min(high, i + MAX_NAMED))
+            if m:
+                s, e = m.span(m.lastindex)
+                if m.lastindex == 4:  # not quoted: signs behind the value belong to the sentence
+                    e = s + len(text[s:e].rstrip(b",;)]}>."))
+                if e - s >= MIN_NAMED:
+                    yield s, e
+    for pattern in (_BEARER, _HEADER):
+        for m in pattern.finditer(text):
+            high = int(at[np.searchsorted(at, m.start(), side="right")])
+            v = m if pattern is _HEADER else _BARE.match(text, m.end(), high) if m.end() < high else None
+            if v and v.end() <= high and v.end() - v.start() >= MIN_NAMED:
+                yield v.span()
+
+
+def with_start(raw: np.ndarray, w: T.Words) -> np.ndarray:
+    """Numbers of the runs that go on behind a known start."""
+    found = []
+    for start in (s.encode() for s in STARTS):
+        at = np.flatnonzero(w.past - w.first > len(start))
+        for k, byte in enumerate(start):
+            at = at[raw[w.first[at] + k] == byte]
+        found.append(at)
+    return np.concatenate(found)
+
+
 def candidates_of(texts: pa.Array):
-    """(row, first byte, past byte, value, before, after) of every candidate in whole texts."""
+    """(row, first byte, past byte, value, before, after) of every candidate in whole texts. A run inside a named value is part of it."""
     data, ends = T.column_bytes(texts)
     for i, j in T.slices(ends):
         raw, at = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
         w = T.split_words(raw, at, SIGNS, False)
         long = np.flatnonzero(w.past - w.first >= MIN_LENGTH)
-        if not len(long):
-            continue
         digits = np.r_[0, np.cumsum((raw >= 48) & (raw < 58))]
         letters = np.r_[0, np.cumsum((_CODE[raw] < 26))]
+        small, capital = (raw >= 97) & (raw < 123), (raw >= 65) & (raw < 91)
+        turns = np.r_[0, 0, np.cumsum(small[:-1] & capital[1:])] if len(raw) else np.zeros(2, np.int64)
         counted = lambda c: c[w.past[long]] - c[w.first[long]] > 0
-        for k in long[counted(digits) | ~counted(letters)].tolist():
-            s, e, d = int(w.first[k]), int(w.past[k]), int(w.doc[k])
+        turned = turns[w.past[long]] - turns[w.first[long] + 1] > 0
+        kept = np.unique(np.concatenate([long[counted(digits) | ~counted(letters) | turned], with_start(raw, w)]))
+        spans = sorted({*zip(w.first[kept].tolist(), w.past[kept].tolist()), *named_values(raw, at)}, key=lambda x: (x[0], -x[1]))
+        reach = 0
+        for s, e in spans:
+            if e <= reach:
+                continue
+            reach = e
+            d = int(np.searchsorted(at, s, side="right")) - 1
             yield i + d, s - int(at[d]), e - int(at[d]), raw[s:e].tobytes(), raw[max(int(at[d]), s - CONTEXT) : s].tobytes(), raw[e : min(int(at[d + 1]), e + 8)].tobytes()
 
 
@@ -126,17 +178,29 @@ def planted_findings(n: int, seed: int = 3) -> list[tuple[bytes, bytes, bytes, i
     """Labelled findings: values of public key formats and look-alikes in both kinds of surroundings (value, before, after, label)."""
     rng = np.random.default_rng(seed)
     abc = b"abcdefghijklmnopqrstuvwxyz"
-    sets = {"hex": b"0123456789abcdef", "b64": abc.upper() + abc + b"0123456789+/", "word": abc.upper() + abc + b"0123456789", "upper": abc.upper() + b"0123456789", "dec": b"0123456789"}
+    sets = {"hex": b"0123456789abcdef", "b64": abc.upper() + abc + b"0123456789+/", "word": abc.upper() + abc + b"0123456789", "upper": abc.upper() + b"0123456789", "dec": b"0123456789", "letters": abc.upper() + abc, "signed": abc.upper() + abc + b"0123456789!@#$%^*?!@#$%^*?"}
     draw = lambda kind, k: bytes(rng.choice(np.frombuffer(sets[kind], np.uint8), k))
     pick = lambda options: options[int(rng.integers(len(options)))]
     word = lambda: draw("word", int(rng.integers(3, 9))).lower()
     out = []
     for _ in range(n):
         value = pick([lambda: draw("hex", pick([32, 40, 64])), lambda: b"AKIA" + draw("upper", 16), lambda: b"ghp_" + draw("word", 36), lambda: draw("b64", 40), lambda: b"sk-" + draw("word", 32),
-                      lambda: b"eyJ" + draw("word", 20) + b"." + draw("word", 40), lambda: draw("word", int(rng.integers(14, 30))) + b"7a"])()
+                      lambda: b"eyJ" + draw("word", 20) + b"." + draw("word", 40), lambda: draw("word", int(rng.integers(14, 30))),
+                      lambda: draw("letters", int(rng.integers(12, 40)))])()
         name = pick([b"token", b"api_key", b"secret", b"password", b"auth_token", b"private_key", b"SECRET_KEY", b"apikey", b"Bearer"])
         mark = pick([b' = "', b'="', b": ", b" = '", b": \"", b"=", b" "])
         out.append((value, word() + b" " + word() + b" " + name + mark, pick([b'"', b"'", b" ", b"\n"]), 1))
+        short = pick([b"password", b"passwd", b"pwd", b"db_password", b"secret", b"DB_PASS_SECRET"])
+        choice = int(rng.integers(8))
+        if choice < 4:
+            out.append((draw("signed", int(rng.integers(8, 20))), word() + b" " + short + pick([b"=", b": ", b" = "]), b"\n", 1))
+        elif choice < 6:
+            out.append((b" ".join(pick(PLAIN) for _ in range(int(rng.integers(3, 6)))), word() + b" " + pick([b"passphrase", short]) + pick([b'="', b' = "', b': "']), b'"', 1))
+        else:
+            out.append((b"-----BEGIN " + pick([b"RSA ", b"EC ", b"OPENSSH ", b""]) + b"PRIVATE KEY-----", pick([b"", word() + b" ", word() + b"\n"]), b"\n", 1))
+        named = pick([b"key", b"token", b"auth", b"the password", b"secret", b"authority", b"keyword"]) + pick([b": ", b"=", b" = ", b": "])
+        out.append((pick([lambda: pick(PLAIN), lambda: pick(PLAIN) + b"_" + pick(PLAIN), lambda: pick(PLAIN) + b"()", lambda: pick(PLAIN) + b"." + pick(PLAIN), lambda: pick(PLAIN).title() + pick(PLAIN).title() + pick(PLAIN).title()])(),
+                    word() + b" " + named, pick([b" ", b"\n"]), 0))
         look = pick([lambda: draw("hex", 8) + b"-" + b"-".join(draw("hex", 4) for _ in range(3)) + b"-" + draw("hex", 12), lambda: draw("hex", pick([32, 40, 64])), lambda: draw("dec", pick([12, 13, 16])),
                      lambda: b"mail" + draw("dec", 1) + b".example.com", lambda: word() + b"/" + word() + b"/" + word() + draw("dec", 2) + b".html", lambda: b"v" + draw("dec", 1) + b"." + draw("dec", 2) + b".0-rc" + draw("dec", 4),
                      lambda: word() + b"_" + word() + b"_" + draw("dec", 4), lambda: b"20" + draw("dec", 2) + b"-0" + draw("dec", 1) + b"-1" + draw("dec", 1) + b"T10"])()
@@ -169,7 +233,8 @@ def train_forest(spark, language: Language, planted: int = PLANTED, seed: int =
 def scan_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_candidates, n_findings and findings (start byte, length, probability) of each row of `docs` (doc_id, text, ...).
 
-    Every run of key characters that mixes letters and digits, or is digits only, is a candidate. A random forest judges it by its length,
+    Every run of key characters with a digit, a mix of small and capital letters or a known start is a candidate, and so is every value that
+    a naming word assigns, whatever its signs. A random forest judges it by its length,
     character transitions and common words of this corpus, path marks and the words before it. Character and word statistics cover all
     texts; the forest learns from generated labelled findings of public formats and look-alikes, a fixed number.
 
