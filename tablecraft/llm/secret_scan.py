@@ -27,8 +27,9 @@ OTHER = ("commit", "sha", "md5", "checksum", "hash", "uuid", "guid", "id", "vers
 #: Ordinary words for generated pass phrases and for values that are no secrets.
 PLAIN = tuple(b"required optional value always never default string number none true false option first second people water place through "
               b"garden window river simple letter change between something table summer morning winter market answer several example".split())
-#: Common words whose count shares say how word-like a candidate is, and findings used in training, at most.
+#: Common words whose count shares say how word-like a candidate is, and findings used in training, at most; size of a task's word sums.
 DICTIONARY, SAMPLE, PLANTED = 20_000, 4_000, 2_000
+HELD_BYTES = 40_000_000
 FEATURES = ("length", "transition", "coverage", "entropy", "digit_share", "upper_share", "kind_changes", "known_start", "hex_only", "digits_only", "dots", "slashes",
             "dashes", "has_path", "has_at", "assigned", "quoted", "naming", "other", "distance", "signs", "blanks", "password")
 
@@ -51,22 +52,34 @@ N_CODES = 39
 
 
 def learn_language(docs: DataFrame) -> Language:
-    """Transition counts between characters and the most frequent words, over all texts."""
+    """Transition counts between characters and the most frequent words, over all texts. A task adds up every word that it reads and hands on
+    its sums whenever they pass a fixed size, so the dictionary does not depend on how texts are dealt to tasks and slices."""
 
     def count(batches):
         pairs = np.zeros(N_CODES * N_CODES, np.int64)
+        words: dict[bytes, int] = {}
+        held = 0
+
+        def sums():
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["w", "n"])
+
         for batch in batches:
-            words: dict[bytes, int] = {}
             for _, _, w in T.word_slices(batch.column(0), T.PLAIN_WORDS, True):
                 code = _CODE[w.data]
                 if len(code) > 1:
                     pairs += np.bincount(code[:-1] * N_CODES + code[1:], minlength=N_CODES**2)
-                h, first, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                for i, c in zip(first.tolist(), n.tolist()):
-                    if c > 2 and w.past[i] - w.first[i] > 2:
-                        b = w.data[w.first[i] : w.past[i]].tobytes()
-                        words[b] = words.get(b, 0) + c
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["w", "n"])
+                long = np.flatnonzero(w.past - w.first > 2)
+                _, first, n = np.unique(w.hashes()[long], return_index=True, return_counts=True)
+                data = w.data.tobytes()
+                for s, e, c in zip(w.first[long[first]].tolist(), w.past[long[first]].tolist(), n.tolist()):
+                    b = data[s:e]
+                    if b not in words:
+                        held += e - s + 100
+                    words[b] = words.get(b, 0) + c
+                if held > HELD_BYTES:
+                    yield sums()
+                    words, held = {}, 0
+        yield sums()
         keys = [b"\x00" + str(i).encode() for i in range(len(pairs))]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(pairs)], ["w", "n"])
 

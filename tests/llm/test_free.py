@@ -377,3 +377,12 @@ def test_forest_on_held_out_texts(spark, docs):
     frame = spark.createDataFrame(rows, "i int, features array<double>").select("i", array_to_vector("features").alias("features"))
     flagged = {r.i for r in forest.transform(frame).collect() if r.prediction == 1}
     assert np.mean([(i in flagged) == bool(y) for i, (*_, y) in enumerate(planted)]) > 0.95
+
+
+def test_secret_dictionary_does_not_depend_on_partitions(frame, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"wort{int(rng.integers(400))}" for _ in range(40))) for i in range(60)]
+    count = Counter(w.encode() for _, t in rows for w in t.split())
+    monkeypatch.setattr(secret_scan, "DICTIONARY", 100)
+    want = {w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:100]}
+    assert all(secret_scan.learn_language(frame(rows).repartition(n)).words == want for n in (1, 30))
