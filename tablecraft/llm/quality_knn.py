@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,8 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = P
         for batch in batches:
             ids, quality = batch.column(0), batch.column(2)
             for i, j, x in term_counts(batch.column(1)):
-                kept = np.ascontiguousarray(x.astype(np.float16))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), quality.slice(i, j - i).cast(pa.int32()), pa.array([r.tobytes() for r in kept], pa.binary())], ["doc_id", "quality", "x"])
+                kept = [zlib.compress(r.tobytes(), 1) for r in x]  # mostly zeros
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), quality.slice(i, j - i).cast(pa.int32()), pa.array(kept, pa.binary())], ["doc_id", "quality", "x"])
 
     got = rows.mapInArrow(vectors, "doc_id long, quality int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample)
     kept = list(got.toLocalIterator())
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = P
     y = np.array([r["quality"] for r in kept], float)
     x = np.empty((len(kept), TERMS), np.float32)
     for row, r in enumerate(kept):
-        x[row] = np.frombuffer(r["x"], np.float16)
+        x[row] = np.frombuffer(zlib.decompress(r["x"]), np.float32)
     del kept
     x = weighted(x, weight)
     rank = min(RANK, len(x), TERMS)

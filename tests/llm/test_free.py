@@ -386,3 +386,11 @@ def test_secret_dictionary_does_not_depend_on_partitions(frame, monkeypatch):
     monkeypatch.setattr(secret_scan, "DICTIONARY", 100)
     want = {w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:100]}
     assert all(secret_scan.learn_language(frame(rows).repartition(n)).words == want for n in (1, 30))
+
+
+def test_quality_of_a_very_long_labelled_text(frame, spark):
+    rows = [(i, " ".join(["good plain words"] * (i + 1))) for i in range(1, 20)] + [(20, "abcdefgh" * 20_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id long, quality int")
+    assert zlib.crc32(b"20") % quality_knn.PARTS != quality_knn.HELD  # the long text trains
+    got = quality_knn.op2_quality_knn(frame(rows), labels).collect()
+    assert all(math.isfinite(r.score) for r in got) and len({r.score for r in got}) > 1
