@@ -91,7 +91,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """
     added = ("copy", "size", "words", "target", "position")
     plan = mix(docs.select("doc_id", "source", "text"), **options).where("taken > 0")
-    copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(F.floor((F.col("taken") - 1) / F.col("size")), F.lit(REPEATS - 1)).cast("int"))))
+    copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))))
     copies = copies.withColumns({
         "words": F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")),
         "finish": F.least(F.lit(1.0), F.col("finish") + F.col("copy") * F.col("source_size") / F.col("target")),

@@ -148,3 +148,14 @@ def test_decontamination_matches_plain_python(frame, spark):
     assert got == hits(docs, items)
     assert decontaminate.op9_decontamination(frame(docs), bench.where("false")).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.op9_decontamination(frame([]), bench).count() == 0
+
+
+def test_mixed_texts_repeat_as_often_as_asked(frame):
+    docs = frame([(i, " ".join(f"w{k}" for k in range(1 + i % 5)), "ab"[i % 2]) for i in range(40)])
+    options = {"weights": (9, 1), "budget": 2.0, "repeats": 4}
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs, **options).collect()}
+    got = {}
+    for r in mixing.mixed_texts(docs, **options).collect():
+        assert len(r.text.split()) == r.words
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.words
+    assert max(taken[i] / (1 + i % 5) for i in taken) > 2 and got == {k: v for k, v in taken.items() if v}
