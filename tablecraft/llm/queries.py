@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablecraft.llm import decontaminate, fingerprints, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_knn, quality_rules, secret_scan, substring_dedup, whitening
+from tablecraft.llm import conversations, decontaminate, fingerprints, jaccard_join, license_scan, line_dedup, lm_score, mixing, quality_knn, quality_rules, secret_scan, substring_dedup, whitening
 from tablecraft.llm.columns import table
 
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_jaccard_join": (over(jaccard_join.op8_jaccard_join, "documents"), None),
     "op9_decontamination": (over(decontaminate.op9_decontamination, "documents", "benchmark"), decontaminate.SQL),
     "op10_secret_scan": (over(secret_scan.op10_secret_scan, "documents"), None),
+    "op11_conversations": (over(conversations.op11_conversations, "conversations"), None),
     "op12_whitening": (over(whitening.op12_whitening, "embeddings"), None),
     "op13_fingerprints": (over(fingerprints.op13_fingerprints, "documents"), None),
 }
