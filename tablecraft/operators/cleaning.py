@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablecraft.functions import sketches
 from tablecraft.functions.columns import (
     col,
     datetime_cols,
@@ -120,14 +121,18 @@ def _filled(df: DataFrame, name: str, value) -> Column:
     return F.coalesce(number(df, name), F.lit(float(value)))
 
 
-def median_fills(df: DataFrame, columns: list[str] | None = None) -> dict[str, float]:
+def median_fills(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> dict[str, float]:
+    """Exact medians, or with `approx` those of mergeable states: one pass of bounded size, a value whose rank is near the middle."""
     columns = _with_gaps(df, numeric_cols(df)) if columns is None else columns
+    if approx and columns:
+        found = sketches.quantile_estimates(sketches.states(df, columns), [0.5]).collect()  # a row for each column
+        return {r["column"]: r["estimate"] for r in found if r["estimate"] is not None}
     medians = quantiles(df, columns, [0.5]) if columns else {}
     return {c: m[0] for c, m in medians.items() if m is not None}
 
 
-def fill_median(df: DataFrame) -> DataFrame:
-    return _fill(df, median_fills(df))
+def fill_median(df: DataFrame, approx: bool = False) -> DataFrame:
+    return _fill(df, median_fills(df, approx=approx))
 
 
 def mode_fills(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import add_columns, col, number
+from tablecraft.functions.hashing import row_hash
 from tablecraft.operators import lookup
 from tablecraft.operators.fitted import Fitted, known
 from tablecraft.operators.profiling import top_values
@@ -107,6 +108,49 @@ def target_mean(df: DataFrame, columns: list[str], target: str) -> Fitted:
     )
 
 
+def target_mean_out_of_fold(df: DataFrame, keys: list[str], columns: list[str], target: str, folds: int = 5, smoothing: float = 10.0) -> Fitted:
+    """{c}_target_oof: the mean target of the value over the rows of all other folds, so that a row never sees its own target.
+
+    A row's fold comes from a hash of its key, so no rows are shuffled for it. Sums by value and fold are counted once; a row's value is the
+    sums of its category less those of its own fold, drawn towards the other folds' overall mean with the weight of `smoothing` rows. Values
+    found in no other fold, and missing ones, get that mean. `transform` encodes the fitted rows; `info["score"]` encodes new rows, which
+    belong to no fold, from all rows. Rows without a target number take part in no sum. Without any target the result is null."""
+    cols = known(df, columns) if target in df.columns else []
+    fold = F.pmod(row_hash(keys), F.lit(folds)).cast("int")
+    y = number(df, target)
+    by_fold = {r["fold"]: (r["n"], r["s"]) for r in df.select(fold.alias("fold"), y.alias("y")).where("y IS NOT NULL").groupBy("fold").agg(F.count("y").alias("n"), F.sum("y").alias("s")).collect()}
+    n, s = sum(v[0] for v in by_fold.values()), sum(v[1] for v in by_fold.values())
+    mean = s / n if n else None
+    rest = {f: (n - by_fold.get(f, (0, 0.0))[0], s - by_fold.get(f, (0, 0.0))[1]) for f in range(folds)}
+    priors = [rest[f][1] / rest[f][0] if rest[f][0] else None for f in range(folds)]
+    prior = F.get(F.array(*[F.lit(p).cast("double") for p in priors]), F.col("fold"))
+    own, whole = {}, {}
+    for c in cols:
+        sums = df.select(col(c).cast("string").alias("value"), fold.alias("fold"), y.alias("y")).where("value IS NOT NULL AND y IS NOT NULL")
+        sums = sums.groupBy("value", "fold").agg(F.count("y").alias("n"), F.sum("y").alias("s"))
+        total = sums.groupBy("value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "s")))).alias("parts"))
+        left = total.select("value", "n", "s", F.explode(F.array(*[F.lit(f) for f in range(folds)])).alias("fold"), "parts")
+        part = F.try_element_at("parts", F.col("fold"))
+        left = left.withColumns({"n": F.col("n") - F.coalesce(part["n"], F.lit(0)), "s": F.col("s") - F.coalesce(part["s"], F.lit(0.0))}).where("n > 0")
+        smooth = (F.col("s") + smoothing * prior) / (F.col("n") + smoothing)
+        own[c] = lookup.build(left.select(F.concat_ws("|", F.col("fold").cast("string"), "value").alias("key"), "n", smooth.alias("mean")), "mean")
+        smooth = (F.col("s") + F.lit(smoothing * (mean or 0.0))) / (F.col("n") + smoothing)
+        whole[c] = lookup.build(total.select(F.col("value").alias("key"), "n", smooth.alias("mean")), "mean")
+
+    def transform(frame: DataFrame) -> DataFrame:
+        base = F.get(F.array(*[F.lit(p).cast("double") for p in priors]), fold)
+        steps = [(F.when(col(c).isNotNull(), F.concat_ws("|", fold.cast("string"), col(c).cast("string"))), own[c], f"{c}_target_oof", base) for c in cols]
+        return _mapped(frame, steps)
+
+    def score(frame: DataFrame) -> DataFrame:
+        return _mapped(frame, [(col(c), whole[c], f"{c}_target_oof", F.lit(mean).cast("double")) for c in cols])
+
+    return Fitted(
+        "Out-of-Fold Target Encoding", "transformation", columns, [f"{c}_target_oof" for c in cols],
+        f"Encoded {len(cols)} columns by the mean of '{target}' in {folds} folds.", transform, {"overall": mean, "score": score},
+    )
+
+
 def frequency(df: DataFrame, columns: list[str]) -> Fitted:
     """{c}_freq: the share of the value among the present values; 0 for missing and unseen values."""
     cols = known(df, columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecraft.functions import sketches
 from tablecraft.functions.columns import number, numeric_cols, string_cols
 from tablecraft.functions.statistics import (
     all_pairs,
@@ -175,9 +176,13 @@ def imbalanced_columns(df: DataFrame, cols: list[str] | None = None, summary: Da
     )
 
 
-def high_cardinality(df: DataFrame, cols: list[str] | None = None, summary: DataFrame | None = None) -> DataFrame:
+def high_cardinality(df: DataFrame, cols: list[str] | None = None, summary: DataFrame | None = None, approximate: bool = False) -> DataFrame:
+    """Text columns with many distinct values; `approximate` counts them with mergeable states of bounded size."""
     cols = string_cols(df) if cols is None else cols
-    seen = distinct_counts(df, cols) if summary is None else summary.select("column", "n_unique")
+    if approximate:
+        seen = sketches.distinct_estimates(sketches.states(df, values=cols)).withColumnRenamed("estimate", "n_unique")
+    else:
+        seen = distinct_counts(df, cols) if summary is None else summary.select("column", "n_unique")
     return seen.where(F.col("n_unique") > SETTINGS.high_cardinality)
 
 

@@ -19,6 +19,7 @@ from tablecraft.functions.columns import (
     parse_moment,
     string_cols,
 )
+from tablecraft.functions.hashing import HASH_BITS, row_hash
 from tablecraft.functions.statistics import distinct_counts, quantiles, scalars
 from tablecraft.operators import lookup
 from tablecraft.operators.cleaning import date_part
@@ -235,16 +236,9 @@ def prepare(df: DataFrame, target: str, task: str, exclude: list[str] | None = N
 
 # --- splits ------------------------------------------------------------------------------------
 
-HASH_BITS = 48
 BUCKET_BITS = 16
 
 
-def row_hash(keys: list[str], seed: int = SETTINGS.random_state) -> Column:
-    """48 reproducible random bits per row from its key and the seed."""
-    text = F.concat_ws("|", *[col(k).cast("string") for k in keys], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
-
-
 def hash_split(df: DataFrame, keys: list[str], test: float = SETTINGS.test_size, val: float = SETTINGS.val_size) -> DataFrame:
     """Adds `split` = train, val or test from the key alone: no shuffle, stable under re-partitioning."""
     space = float(2**HASH_BITS)
