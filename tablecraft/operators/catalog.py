@@ -38,12 +38,22 @@ class Model:
             from tablecraft.operators.neighbors import NearestNeighbors
 
             return NearestNeighbors(classify=self.task_type == "classifier", **params)
+        if self.factory == "PartialFit":
+            from tablecraft.operators.partial_fit import PartialFit
+
+            return PartialFit(**params)
+        if self.factory in OWN_LINEAR:
+            from tablecraft.operators import linear_models
+
+            return getattr(linear_models, self.factory)(**params)
         module = C if self.task_type == "classifier" else R
         estimator = getattr(module, self.factory)(**params)
         seeded = any(p.name == "seed" for p in estimator.params)
         return estimator.setSeed(SETTINGS.random_state) if seeded and hasattr(estimator, "setSeed") else estimator
 
 
+OWN_LINEAR = ("BayesianRidge", "ARDRegression", "LeastAngle", "RANSAC", "TheilSen")
+_EPOCHS_NOTE = "learned by epochs of mini-batches, with scores after each"
 _TREES = {"numTrees": 100}
 _BOOST = {"maxIter": 20}
 _BINARY_ONLY = "binary inside; several classes are trained one against the rest"
@@ -54,8 +64,8 @@ _LINEAR_NOTE = "the same linear model; the penalty replaces the original search"
 CATALOG: tuple[Model, ...] = (
     Model("LogisticRegression", "Logistic Regression", "linear", "Low", "classifier", "LogisticRegression", {"maxIter": 100}),
     Model("RidgeClassifier", "Ridge Classifier", "linear", "Medium", "classifier", "LogisticRegression", {"regParam": 0.1}, _LINEAR_NOTE),
-    Model("SGDClassifier", "SGD Classifier", "linear", "Low", "classifier", "LogisticRegression", {"regParam": 1e-4}, _LINEAR_NOTE),
-    Model("Perceptron", "Perceptron", "linear", "Medium", "classifier", "LinearSVC", {"regParam": 0.0}, _BINARY_ONLY),
+    Model("SGDClassifier", "SGD Classifier", "linear", "Low", "classifier", "PartialFit", {"loss": "log"}, _EPOCHS_NOTE),
+    Model("Perceptron", "Perceptron", "linear", "Medium", "classifier", "PartialFit", {"loss": "perceptron", "l2": 0.0}, _EPOCHS_NOTE),
     Model("LinearSVC", "Linear SVC", "svm", "Medium", "classifier", "LinearSVC", {"regParam": 0.01}, _BINARY_ONLY),
     Model("DecisionTreeClassifier", "Decision Tree Classifier", "tree", "Low", "classifier", "DecisionTreeClassifier"),
     Model("RandomForestClassifier", "Random Forest Classifier", "forest", "Medium", "classifier", "RandomForestClassifier", _TREES),
@@ -73,14 +83,14 @@ CATALOG: tuple[Model, ...] = (
     Model("Ridge", "Ridge Regression", "linear", "Low", "regressor", "LinearRegression", {"regParam": 0.1, "elasticNetParam": 0.0}),
     Model("Lasso", "Lasso Regression", "linear", "Low", "regressor", "LinearRegression", {"regParam": 1.0, "elasticNetParam": 1.0}),
     Model("ElasticNet", "Elastic Net", "linear", "Low", "regressor", "LinearRegression", {"regParam": 1.0, "elasticNetParam": 0.5}),
-    Model("Lars", "Lars", "linear", "Medium", "regressor", "LinearRegression", {}, _LINEAR_NOTE),
-    Model("LassoLars", "Lasso Lars", "linear", "Medium", "regressor", "LinearRegression", {"regParam": 1.0, "elasticNetParam": 1.0}, _LINEAR_NOTE),
-    Model("BayesianRidge", "Bayesian Ridge", "linear", "Medium", "regressor", "LinearRegression", {"regParam": 0.01}, _LINEAR_NOTE),
-    Model("ARDRegression", "ARD Regression", "linear", "Medium", "regressor", "LinearRegression", {"regParam": 0.01}, _LINEAR_NOTE),
-    Model("SGDRegressor", "SGD Regressor", "linear", "Low", "regressor", "LinearRegression", {"regParam": 1e-4}, _LINEAR_NOTE),
+    Model("Lars", "Lars", "linear", "Medium", "regressor", "LeastAngle"),
+    Model("LassoLars", "Lasso Lars", "linear", "Medium", "regressor", "LeastAngle", {"lasso": True, "penalty": 1.0}),
+    Model("BayesianRidge", "Bayesian Ridge", "linear", "Medium", "regressor", "BayesianRidge"),
+    Model("ARDRegression", "ARD Regression", "linear", "Medium", "regressor", "ARDRegression"),
+    Model("SGDRegressor", "SGD Regressor", "linear", "Low", "regressor", "PartialFit", {"loss": "squared"}, _EPOCHS_NOTE),
     Model("HuberRegressor", "Huber Regressor", "robust", "Medium", "regressor", "LinearRegression", {"loss": "huber"}),
-    Model("RANSACRegressor", "RANSAC Regressor", "robust", "Medium", "regressor", "LinearRegression", {"loss": "huber"}, _LINEAR_NOTE),
-    Model("TheilSenRegressor", "Theil Sen Regressor", "robust", "Medium", "regressor", "LinearRegression", {"loss": "huber"}, _LINEAR_NOTE),
+    Model("RANSACRegressor", "RANSAC Regressor", "robust", "Medium", "regressor", "RANSAC"),
+    Model("TheilSenRegressor", "Theil Sen Regressor", "robust", "Medium", "regressor", "TheilSen"),
     Model("TweedieRegressor", "Tweedie Regressor", "glm", "Medium", "regressor", "GeneralizedLinearRegression", {"family": "gaussian"}),
     Model("DecisionTreeRegressor", "Decision Tree Regressor", "tree", "Low", "regressor", "DecisionTreeRegressor"),
     Model("RandomForestRegressor", "Random Forest Regressor", "forest", "Medium", "regressor", "RandomForestRegressor", _TREES),
@@ -111,7 +121,7 @@ def catalog_frame(df: DataFrame, task: str | None = None) -> DataFrame:
     offered = CATALOG if task is None else models_for(task)
     rows = []
     for m in offered:
-        source = "tablecraft" if m.factory in ("KNeighbors", "NearestCentroid") else "pyspark.ml"
+        source = "tablecraft" if m.factory in ("KNeighbors", "NearestCentroid", "PartialFit", *OWN_LINEAR) else "pyspark.ml"
         about = f"{m.display_name}: {m.family} model for {'classes' if m.task_type == 'classifier' else 'numbers'}, {m.complexity.lower()} complexity"
         rows.append((m.class_name, m.display_name, m.family, m.complexity, m.task_type, source, m.factory, about, m.note))
     return local_rows(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.operators import catalog, evaluation
 from tablecraft.operators.neighbors import NearestNeighborsModel
+from tablecraft.operators.partial_fit import PartialFitModel
 from tablecraft.operators.preparation import Prepared
 from tablecraft.operators.profiling import local_rows
 
@@ -67,6 +68,8 @@ def _estimator(spec: catalog.Model, n_features: int, n_classes: int, epochs: int
     params = dict(overrides)
     if epochs is not None and spec.factory in ("GBTClassifier", "GBTRegressor", "MultilayerPerceptronClassifier"):
         params.setdefault("maxIter", epochs)
+    if epochs is not None and spec.factory == "PartialFit":
+        params.setdefault("epochs", epochs)
     if spec.factory == "MultilayerPerceptronClassifier":
         params.setdefault("layers", [n_features, 100, max(n_classes, 2)])
     estimator = spec.create(**params)
@@ -118,6 +121,8 @@ def _history(model, train: DataFrame, val: DataFrame, task: str) -> list[tuple]:
         return [(i, a.get(i, none)[0], b.get(i, none)[0], a.get(i, none)[1], b.get(i, none)[1]) for i in range(1, len(model.trees) + 1)]
     if isinstance(model, (RandomForestClassificationModel, RandomForestRegressionModel)):
         return forest_history(model, train, val, task)
+    if isinstance(model, PartialFitModel):
+        return model.history(train, val)
     val_out = model.transform(val)
     if isinstance(model, NearestNeighborsModel):
         return [(1, None, _score(val_out, task), None, _losses(val_out, task))]
