@@ -107,16 +107,19 @@ class Tree:
             top, low = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at)
             self.levels.append((top, low))
 
-    def partners(self, i: int, after: int = -1) -> np.ndarray:
-        """Members beyond `after` that can share enough with member i. Whole branches fall when the sum of smaller coordinates is too small."""
-        me, mine = self.point[i], self.size[i]
+    def partners(self, i: int) -> np.ndarray:
+        """Members that can share enough with member i, itself included."""
+        return self.partners_of(self.point[i], self.size[i])
+
+    def partners_of(self, me: np.ndarray, mine: int) -> np.ndarray:
+        """Members that can share enough with a set. Whole branches fall when the sum of smaller coordinates is too small."""
         found = None
         for top, low in reversed(self.levels):
             at = np.arange(len(top)) if found is None else (found[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < len(top)]
             found = at[enough(overlap_bound(top[at], me), np.maximum(low[at], -(-PERCENT * mine // 100)), mine)]
         at = np.arange(len(self.point)) if found is None else (found[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[(at < len(self.point)) & (at > after)]
+        at = at[at < len(self.point)]
         at = at[100 * np.minimum(self.size[at], mine) >= PERCENT * np.maximum(self.size[at], mine)]
         return at[enough(overlap_bound(self.point[at], me), self.size[at], mine)]
 
@@ -286,19 +289,77 @@ def first_pairs(cells: DataFrame) -> DataFrame:
     return cells.select("key", "node", "size", "point").repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(work, "a long, b long, key long")
 
 
-def bounded(pairs: DataFrame) -> DataFrame:
-    """Of rows (a, b, size_a, size_b, point_a, point_b) the pairs that can share enough."""
+def pairs_apart(members: DataFrame) -> DataFrame:
+    """(a, b): pairs of a cell's members in two components that the bound leaves over, from members (key, node, size, point, root).
+
+    A cell is dealt in pieces of about BLOCK members by a hash of the node, and each piece grows a tree. The members outside the cell's largest
+    component ask the tree of every piece for partners of other components, one after the other; what they are bounded against never becomes
+    rows."""
+    share = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("pieces"))
+    apart = members.join(share.where("roots > 1"), "key")
+    own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("pieces")).cast("int")
+    apart = apart.select("key", "node", "size", "point", "root", own.alias("own"), "pieces", (F.col("root") != F.col("major")).alias("asks"))
+    others = F.array_except(F.sequence(F.lit(0), F.col("pieces") - 1), F.array("own"))
+    asking = apart.where("asks AND pieces > 1").select("key", F.explode(others).alias("piece"), F.lit(1).alias("guest"), "node", "size", "point", "root", "asks")
+    rows = apart.select("key", F.col("own").alias("piece"), F.lit(0).alias("guest"), "node", "size", "point", "root", "asks").union(asking)
+
+    def pairs(x, y):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def work(batches):
+        at, held, tree = None, [], None
+
+        def answers(node, size, point, root):
+            """Pairs of these members with partners of other components in the present piece."""
+            if tree is None:
+                return
+            nodes, roots = held[0], held[3]
+            a, b, n = [], [], 0
+            for i in range(len(node)):
+                found = tree.partners_of(point[i], size[i])
+                found = found[roots[found] != root[i]]
+                a.append(np.full(len(found), node[i]))
+                b.append(nodes[found])
+                n += len(found)
+                if n > BLOCK:
+                    yield pairs(np.concatenate(a), np.concatenate(b))
+                    a, b, n = [], [], 0
+            if n:
+                yield pairs(np.concatenate(a), np.concatenate(b))
+
+        def closed():
+            """The members of a piece are complete: its tree, and what its own members ask."""
+            nonlocal tree, held
+            held = [np.concatenate(c) for c in zip(*held)]
+            tree = Tree(held[2], held[1])
+            asks = held[4]
+            yield from answers(*(c[asks] for c in held[:4]))
+
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, GROUPS) for c in (4, 5))
-            good = enough(overlap_bound(x, y), batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
-
-    return pairs.select("a", "b", "size_a", "size_b", "point_a", "point_b").mapInArrow(work, "a long, b long")
+            key, piece, guest, node, size, root, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 3, 4, 6, 7))
+            point = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(key), GROUPS)
+            size = size.astype(np.int64)
+            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (piece[1:] != piece[:-1]) | (guest[1:] != guest[:-1]), True])
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if at != (key[s], piece[s]):
+                    if tree is None and held:
+                        yield from closed()
+                    at, held, tree = (key[s], piece[s]), [], None
+                part = node[s:e], size[s:e], point[s:e], root[s:e], asks[s:e].astype(bool)
+                if not guest[s]:
+                    held.append(part)
+                else:
+                    if tree is None and held:
+                        yield from closed()
+                    yield from answers(*part[:4])
+        if tree is None and held:
+            yield from closed()
+
+    dealt = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "guest", "size", "node")
+    return dealt.mapInArrow(work, "a long, b long")
 
 
 def opened(pairs: DataFrame, docs: DataFrame, sets: DataFrame, form) -> DataFrame:
@@ -390,13 +451,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     members = cells.join(open_cells, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = cut(members)
     cells.unpersist()
-    share = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots"))
-    share = cut(share.where("roots > 1"))
-    odd = members.join(share, "key").where("root <> major").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "point", "root")))
-    apart = odd.join(members, "key").where((F.col("root") != F.col("root_a")) & (100 * F.least("size", "size_a") >= PERCENT * F.greatest("size", "size_a")))
-    apart = apart.select(
-        F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b"), "size_a", F.col("size").alias("size_b"), "point_a", F.col("point").alias("point_b"))
-    rest = cut(bounded(apart).distinct().join(tested, ["a", "b"], "left_anti"))
+    rest = cut(pairs_apart(members).distinct().join(tested, ["a", "b"], "left_anti"))
     for partners in (*ROUNDS, None):
         if not rest.limit(1).count():
             break

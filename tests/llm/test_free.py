@@ -394,3 +394,25 @@ def test_quality_of_a_very_long_labelled_text(frame, spark):
     assert zlib.crc32(b"20") % quality_knn.PARTS != quality_knn.HELD  # the long text trains
     got = quality_knn.op2_quality_knn(frame(rows), labels).collect()
     assert all(math.isfinite(r.score) for r in got) and len({r.score for r in got}) > 1
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_pairs_apart_are_all_that_the_bound_leaves(spark, monkeypatch, block):
+    """Cells of one and of many pieces: every pair of two components that can share enough, and no other."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng, rows = np.random.default_rng(9), []
+    for key in range(12):
+        base = rng.integers(0, 6, jaccard_join.GROUPS)
+        for m in range(int(rng.integers(2, 60))):
+            point = np.clip(base + rng.integers(-1, 2, jaccard_join.GROUPS) * (rng.random(jaccard_join.GROUPS) < 0.5), 0, 255).astype(np.uint8)
+            rows.append((key, key * 1000 + m, int(point.sum()), bytearray(point.tobytes()), int(key * 1000 + rng.integers(0, 1 + key % 5))))
+    members = spark.createDataFrame(rows, "key long, node long, size int, point binary, root long").repartition(5)
+    want = set()
+    for k, a, size_a, p, root_a in rows:
+        for j, b, size_b, q, root_b in rows:
+            if k == j and a < b and root_a != root_b and 100 * min(size_a, size_b) >= 80 * max(size_a, size_b):
+                bound = int(np.minimum(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)).sum())
+                if jaccard_join.enough(bound, size_a, size_b):
+                    want.add((a, b))
+    got = [tuple(r) for r in jaccard_join.pairs_apart(members).distinct().collect()]
+    assert set(got) == want and len(want) > 100
