@@ -16,14 +16,16 @@ from tablecraft.llm.storage import cut
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
-#: Groups of shingles whose counts make a point, in trees and (about one for two shingles, at most) for single pairs.
-GROUPS, FINE_GROUPS = 128, 16_384
+#: Groups of shingles whose counts make a point.
+GROUPS = 128
 #: Leading bits of a shingle's hash that make the buckets which tell frequent shingles from others.
 BUCKET_BITS = 18
 #: Members of a cell that one tree holds; entries of a leaf, and members of a cell up to which it is one leaf; partners that a member of a
 #: larger cell is first checked against, and in the rounds after that.
 BLOCK, LEAF, PARTNERS, ROUNDS = 4_096, 16, 2, (8,)
 FULL = 255  # a counter at this value may stand for more
+#: Sets of a cell, in bytes, that are compared in one place.
+PIECE_BYTES = 16 << 20
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -65,20 +67,6 @@ def points(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=rows * GROUPS), FULL).astype(np.uint8).reshape(rows, GROUPS)
 
 
-def fine_point(g: np.ndarray) -> np.ndarray:
-    """Counts of one set by as many groups, a power of two, as keep unrelated sets of its size apart."""
-    groups = min(FINE_GROUPS, max(GROUPS, 1 << int(len(g) // 2).bit_length()))
-    return np.minimum(np.bincount((g % U(groups)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
-
-
-def fine_bound(a: np.ndarray, b: np.ndarray) -> int | None:
-    """Most common shingles by two fine points, the finer one folded to the other's groups; None if full counters hide it."""
-    if a.max() == FULL or b.max() == FULL:
-        return None
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    return int(np.minimum(a, b.reshape(-1, len(a)).sum(0, dtype=np.int64)).sum())
-
-
 def binaries(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
@@ -246,12 +234,12 @@ def shared_cells(keyed: DataFrame) -> DataFrame:
 
 
 def first_pairs(cells: DataFrame) -> DataFrame:
-    """(a, b, key): pairs that the bound leaves over. A cell of up to LEAF members is one leaf, whose pairs are bounded side by side with those
-    of other cells. A larger one gets a tree, and each of its members at most PARTNERS + 1 pairs, the first and others in a hashed order;
-    where that leaves a pair out, a row without a and b names the cell."""
+    """(a, b, cell, open): pairs that the bound leaves over, with their cell. A cell of up to LEAF members is one leaf, whose pairs are bounded
+    side by side with those of other cells. A larger one gets a tree, and each of its members at most PARTNERS + 1 pairs, the first and others
+    in a hashed order; where that leaves a pair out, a row without a and b names the cell as open."""
 
-    def pairs(x, y):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "key"])
+    def pairs(x, y, key):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(key), pa.nulls(len(x), pa.int64())], ["a", "b", "cell", "open"])
 
     def leaves(key, node, size, point):
         for step in range(1, LEAF):
@@ -261,7 +249,7 @@ def first_pairs(cells: DataFrame) -> DataFrame:
             at = at[100 * size[at] >= PERCENT * size[at + step]]  # sizes ascend within a cell
             at = at[enough(overlap_bound(point[at], point[at + step]), size[at], size[at + step])]
             if len(at):
-                yield pairs(node[at], node[at + step])
+                yield pairs(node[at], node[at + step], key[at])
 
     def grown(key, node, size, point, whole):
         tree, a, b, more = Tree(point, size), [], [], not whole
@@ -274,9 +262,10 @@ def first_pairs(cells: DataFrame) -> DataFrame:
                 others = np.r_[others[:1], others[order[:PARTNERS]]]
             a.append(np.full(len(others), node[i]))
             b.append(node[others])
-        yield pairs(np.concatenate(a), np.concatenate(b))
+        a = np.concatenate(a)
+        yield pairs(a, np.concatenate(b), np.full(len(a), key[0]))
         if more:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(key[:1])], ["a", "b", "key"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(key[:1]), pa.array(key[:1])], ["a", "b", "cell", "open"])
 
     def stacked(point):
         return np.frombuffer(b"".join(point), np.uint8).reshape(len(point), GROUPS)
@@ -286,26 +275,26 @@ def first_pairs(cells: DataFrame) -> DataFrame:
             size, point = size.astype(np.int64), stacked(point)
             yield from leaves(key, node, size, point) if whole is None else grown(key, node, size, point, whole)
 
-    return cells.select("key", "node", "size", "point").repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(work, "a long, b long, key long")
+    return cells.select("key", "node", "size", "point").repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(work, "a long, b long, cell long, open long")
 
 
 def pairs_apart(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of a cell's members in two components that the bound leaves over, from members (key, node, size, point, root).
+    """(a, b, cell): pairs of a cell's members in two components that the bound leaves over, from members (key, node, size, point, root).
 
     A cell is dealt in pieces of about BLOCK members by a hash of the node, and each piece grows a tree. The members outside the cell's largest
     component ask the tree of every piece for partners of other components, one after the other; what they are bounded against never becomes
     rows."""
     share = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max(F.struct("n", "root"))["root"].alias("major"), F.count("*").alias("roots"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("pieces"))
-    apart = members.join(share.where("roots > 1"), "key")
+    apart = members.join(small(cut(share.where("roots > 1"))), "key")
     own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("pieces")).cast("int")
     apart = apart.select("key", "node", "size", "point", "root", own.alias("own"), "pieces", (F.col("root") != F.col("major")).alias("asks"))
     others = F.array_except(F.sequence(F.lit(0), F.col("pieces") - 1), F.array("own"))
     asking = apart.where("asks AND pieces > 1").select("key", F.explode(others).alias("piece"), F.lit(1).alias("guest"), "node", "size", "point", "root", "asks")
     rows = apart.select("key", F.col("own").alias("piece"), F.lit(0).alias("guest"), "node", "size", "point", "root", "asks").union(asking)
 
-    def pairs(x, y):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+    def pairs(x, y, key):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), key))], ["a", "b", "cell"])
 
     def work(batches):
         at, held, tree = None, [], None
@@ -323,10 +312,10 @@ def pairs_apart(members: DataFrame) -> DataFrame:
                 b.append(nodes[found])
                 n += len(found)
                 if n > BLOCK:
-                    yield pairs(np.concatenate(a), np.concatenate(b))
+                    yield pairs(np.concatenate(a), np.concatenate(b), at[0])
                     a, b, n = [], [], 0
             if n:
-                yield pairs(np.concatenate(a), np.concatenate(b))
+                yield pairs(np.concatenate(a), np.concatenate(b), at[0])
 
         def closed():
             """The members of a piece are complete: its tree, and what its own members ask."""
@@ -359,61 +348,58 @@ def pairs_apart(members: DataFrame) -> DataFrame:
             yield from closed()
 
     dealt = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "guest", "size", "node")
-    return dealt.mapInArrow(work, "a long, b long")
+    return dealt.mapInArrow(work, "a long, b long, cell long")
 
 
-def opened(pairs: DataFrame, docs: DataFrame, sets: DataFrame, form) -> DataFrame:
-    """(node, size, value) for the sets that occur in a pair, value = form(set) as bytes; each is read from one of its documents."""
+def opened(nodes: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, value) for distinct `nodes`, value being the whole set as bytes; each is read from one of its documents."""
 
     def work(batches):
         for batch in batches:
             for i, j, g, bounds in shingle_sets(batch.column(1)):
-                value = pa.array([form(g[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), value], ["node", "size", "value"])
+                value = pa.array([g[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), value], ["node", "value"])
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = small(cut(sets.join(wanted, "node", "left_semi").select("node", F.col("rep").alias("_rep"), F.col("th").alias("_th"))))
+    wanted = small(cut(sets.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("_rep"), F.col("th").alias("_th"))))
     chosen = docs.withColumn("th", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("th") == F.col("_th")))
-    values = chosen.select("node", "text").mapInArrow(work, "node long, size long, value binary")
-    return values.dropDuplicates(["node"])  # rows that repeat a document give the same value
-
-
-def both_sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """Rows (a, b, sizes, values). The joins sort and merge at any size: the plan that many pairs need is the one that few get."""
-    for side in ("a", "b"):
-        pairs = pairs.hint("merge").join(values.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("value").alias(f"value_{side}")), side)
-    return pairs.select("a", "b", "size_a", "size_b", "value_a", "value_b")
-
-
-def close(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose fine points allow enough common shingles; distinct pairs come here once, whatever number of cells they share."""
-
-    def work(batches):
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            columns = (batch.column(c).to_pylist() for c in range(2, 6))
-            for r, (size_a, size_b, x, y) in enumerate(zip(*columns)):
-                bound = fine_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
-                good[r] = bound is None or enough(bound, size_a, size_b)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], ["a", "b"])
-
-    return both_sides(pairs, opened(pairs, docs, sets, fine_point)).mapInArrow(work, "a long, b long")
+    return chosen.select("node", "text").mapInArrow(work, "node long, value binary").dropDuplicates(["node"])  # rows that repeat a document give the same
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets do share enough."""
+    """Of pairs (a, b, cell) those whose whole sets share enough, as (a, b).
+
+    A set travels once to each cell in which it has pairs, not once for each pair. A cell whose sets are larger than PIECE_BYTES together
+    is dealt in pieces by a hash of the node, and a set goes to the blocks of two pieces in which it has pairs."""
+    ends = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+    heavy = ends.join(sets.select("node", "size"), "node").groupBy("cell").agg(F.ceil(F.sum(F.col("size").cast("long") * 8) / PIECE_BYTES).cast("int").alias("pieces"))
+    dealt = pairs.join(small(cut(heavy.where("pieces > 1"))), "cell", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    piece = [F.pmod(F.xxhash64(F.lit(3), c), F.col("pieces")) for c in ("a", "b")]
+    dealt = dealt.select("cell", (F.least(*piece) * F.col("pieces") + F.greatest(*piece)).alias("block"), "a", "b")
+    asked = dealt.select("cell", "block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    shipped = asked.join(opened(ends.select("node").distinct(), docs, sets), "node")
+    none = F.lit(None)
+    rows = shipped.select("cell", "block", F.lit(0).alias("kind"), F.col("node").alias("a"), none.cast("long").alias("b"), "value").union(
+        dealt.select("cell", "block", F.lit(1), "a", "b", none.cast("binary")))
 
     def work(batches):
+        at, held = None, {}
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for r, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                p, q = (p, q) if len(p) < len(q) else (q, p)
-                common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                good[r] = enough(common, len(p), len(q))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], ["a", "b"])
+            cell, block, kind, a = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            b, values = batch.column(4).fill_null(0).to_numpy(zero_copy_only=False), batch.column(5)
+            good = np.zeros(len(a), bool)
+            for r in range(len(a)):
+                if (cell[r], block[r]) != at:
+                    at, held = (cell[r], block[r]), {}
+                if kind[r] == 0:
+                    held[a[r]] = np.frombuffer(values[r].as_buffer(), np.uint64).copy()
+                else:
+                    p, q = held[a[r]], held[b[r]]
+                    p, q = (p, q) if len(p) < len(q) else (q, p)
+                    common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                    good[r] = enough(common, len(p), len(q))
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
 
-    return both_sides(pairs, opened(pairs, docs, sets, lambda g: g)).mapInArrow(work, "a long, b long")
+    return rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind").mapInArrow(work, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -442,30 +428,30 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     sets = cut(sets.select("node", "component", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "size", "point"))
     cells = shared_cells(prefixes(docs, level))
     cells = cells.join(sets.select("node", "point"), "node").select("key", "node", "size", "point").persist(StorageLevel.DISK_ONLY)
-    found = cut(first_pairs(cells).distinct())
-    tested = cut(close(found.where("a IS NOT NULL").select("a", "b"), docs, sets))
+    found = cut(first_pairs(cells).groupBy("a", "b", "open").agg(F.min("cell").alias("cell")))
+    tested = found.where("open IS NULL").select("a", "b", "cell")
     links = cut(verified(tested, docs, sets))
     roots = cut(components(links))
     # Cells with pairs left out: everything that is still apart in them.
-    open_cells = found.where("key IS NOT NULL").select("key").distinct()
+    open_cells = small(cut(found.where("open IS NOT NULL").select(F.col("open").alias("key")).distinct()))
     members = cells.join(open_cells, "key", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = cut(members)
     cells.unpersist()
-    rest = cut(pairs_apart(members).distinct().join(tested, ["a", "b"], "left_anti"))
+    rest = cut(pairs_apart(members).groupBy("a", "b").agg(F.min("cell").alias("cell")).join(tested, ["a", "b"], "left_anti"))
     for partners in (*ROUNDS, None):
         if not rest.limit(1).count():
             break
         now = rest
         if partners is not None:  # a few partners each; most pairs are then in one component and need no look
             order = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
-            now = cut(rest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= partners).select("a", "b"))
-        links = cut(verified(cut(close(now, docs, sets)), docs, sets))
+            now = cut(rest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= partners).select("a", "b", "cell"))
+        links = cut(verified(now, docs, sets))
         roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)))
         if partners is not None:
             left = rest.join(now, ["a", "b"], "left_anti")
             for side in ("a", "b"):
                 left = left.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r_{side}")), side, "left")
-            rest = cut(left.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b"))
+            rest = cut(left.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b", "cell"))
     named = sets.select("node", "component").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("component").alias("component"))
     named = named.select("node", "root").join(ids, "root").select("node", "component")

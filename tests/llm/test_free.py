@@ -78,15 +78,6 @@ def groups_of(rows):
     return sorted(((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
 
 
-def test_fine_points_bound_the_overlap():
-    rng = np.random.default_rng(9)
-    for n in (3, 200, 3000, 9000):
-        common = rng.integers(0, 2**63, n, dtype=np.uint64)
-        a, b = (np.unique(np.r_[common, rng.integers(0, 2**63, extra, dtype=np.uint64)]) for extra in (n // 9, n // 5 + 1))
-        assert n <= jaccard_join.fine_bound(jaccard_join.fine_point(a), jaccard_join.fine_point(b)) <= min(len(a), len(b))
-    assert jaccard_join.fine_bound(np.full(64, 255, np.uint8), np.ones(64, np.uint8)) is None
-
-
 @pytest.mark.parametrize("size", [1, 3, 7, 1000])
 def test_cells_come_whole(monkeypatch, size):
     monkeypatch.setattr(jaccard_join, "BLOCK", 40)
@@ -106,9 +97,10 @@ def test_cells_come_whole(monkeypatch, size):
     assert set(seen) == set(rows.tolist())
 
 
-@pytest.mark.parametrize("members, groups", [(9, 12), (40, 4)])
-def test_jaccard_matches_brute_force(frame, members, groups):
-    """Groups below and beyond a leaf: the larger ones leave pairs to the second round."""
+@pytest.mark.parametrize("members, groups, piece", [(9, 12, 16 << 20), (40, 4, 16 << 20), (40, 4, 3_000)])
+def test_jaccard_matches_brute_force(frame, monkeypatch, members, groups, piece):
+    """Groups below and beyond a leaf, the larger ones leave pairs to the second round; sets of a cell in one piece and in many."""
+    monkeypatch.setattr(jaccard_join, "PIECE_BYTES", piece)
     rows = near_copies(np.random.default_rng(members), groups, members) + ODD
     assert sorted((tuple(r) for r in jaccard_join.op8_jaccard_join(frame(rows)).collect()), key=str) == groups_of(rows)
 
@@ -414,5 +406,5 @@ def test_pairs_apart_are_all_that_the_bound_leaves(spark, monkeypatch, block):
                 bound = int(np.minimum(np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)).sum())
                 if jaccard_join.enough(bound, size_a, size_b):
                     want.add((a, b))
-    got = [tuple(r) for r in jaccard_join.pairs_apart(members).distinct().collect()]
+    got = [(r.a, r.b) for r in jaccard_join.pairs_apart(members).distinct().collect()]
     assert set(got) == want and len(want) > 100
