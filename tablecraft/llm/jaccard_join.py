@@ -16,8 +16,8 @@ from tablecraft.llm.storage import cut
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
-#: Groups of shingles whose counts make a point.
-GROUPS = 128
+#: Groups of shingles whose counts make a point, in trees and (about one for two shingles, at most) for single pairs.
+GROUPS, FINE_GROUPS = 128, 16_384
 #: Leading bits of a shingle's hash that make the buckets which tell frequent shingles from others.
 BUCKET_BITS = 18
 #: Members of a cell that one tree holds; entries of a leaf, and members of a cell up to which it is one leaf; partners that a member of a
@@ -67,6 +67,34 @@ def points(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=rows * GROUPS), FULL).astype(np.uint8).reshape(rows, GROUPS)
 
 
+def fine_point(g: np.ndarray) -> np.ndarray:
+    """Counts of one set by as many groups, a power of two, as keep unrelated sets of its size apart."""
+    groups = min(FINE_GROUPS, max(GROUPS, 1 << int(len(g) // 2).bit_length()))
+    return np.minimum(np.bincount((g % U(groups)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int | None:
+    """Most common shingles by two fine points, the finer one folded to the other's groups; None if full counters hide it."""
+    if a.max() == FULL or b.max() == FULL:
+        return None
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(0, dtype=np.int64)).sum())
+
+
+def may_share(x: bytes, y: bytes) -> bool:
+    """Whether two fine points allow enough common shingles."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    bound = fine_bound(a, b)
+    return bound is None or bool(enough(bound, int(a.sum(dtype=np.int64)), int(b.sum(dtype=np.int64))))
+
+
+def do_share(x: bytes, y: bytes) -> bool:
+    """Whether two whole sets share enough."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    p, q = (p, q) if len(p) < len(q) else (q, p)
+    return bool(enough(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()), len(p), len(q)))
+
+
 def binaries(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary())
 
@@ -351,13 +379,13 @@ def pairs_apart(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long, cell long")
 
 
-def opened(nodes: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, value) for distinct `nodes`, value being the whole set as bytes; each is read from one of its documents."""
+def opened(nodes: DataFrame, docs: DataFrame, sets: DataFrame, form) -> DataFrame:
+    """(node, value) for distinct `nodes`, value = form(set) as bytes; each is read from one of its documents."""
 
     def work(batches):
         for batch in batches:
             for i, j, g, bounds in shingle_sets(batch.column(1)):
-                value = pa.array([g[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())
+                value = pa.array([form(g[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), value], ["node", "value"])
 
     wanted = small(cut(sets.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("_rep"), F.col("th").alias("_th"))))
@@ -365,18 +393,29 @@ def opened(nodes: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return chosen.select("node", "text").mapInArrow(work, "node long, value binary").dropDuplicates(["node"])  # rows that repeat a document give the same
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b, cell) those whose whole sets share enough, as (a, b).
+def gathered(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, cell) with a cell that most pairs of their neighbourhood have too: the smallest one that their ends reach in two
+    steps. A cell is where values of pairs meet; it decides nothing."""
+    for _ in range(2):
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "cell").groupBy("node").agg(F.min("cell").alias("least"))
+        for side in ("a", "b"):
+            pairs = pairs.join(ends.select(F.col("node").alias(side), F.col("least").alias(f"least_{side}")), side)
+        pairs = pairs.select("a", "b", F.least("least_a", "least_b").alias("cell"))
+    return cut(pairs)
+
+
+def compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, form, test) -> DataFrame:
+    """Of pairs (a, b, cell) those for whose values test(form(a), form(b)) holds.
 
-    A set travels once to each cell in which it has pairs, not once for each pair. A cell whose sets are larger than PIECE_BYTES together
-    is dealt in pieces by a hash of the node, and a set goes to the blocks of two pieces in which it has pairs."""
+    A value travels once to each cell in which it has pairs, not once for each pair. A cell whose sets are larger than PIECE_BYTES together
+    is dealt in pieces by a hash of the node, and a value goes to the blocks of two pieces in which it has pairs."""
     ends = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
     heavy = ends.join(sets.select("node", "size"), "node").groupBy("cell").agg(F.ceil(F.sum(F.col("size").cast("long") * 8) / PIECE_BYTES).cast("int").alias("pieces"))
     dealt = pairs.join(small(cut(heavy.where("pieces > 1"))), "cell", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     piece = [F.pmod(F.xxhash64(F.lit(3), c), F.col("pieces")) for c in ("a", "b")]
     dealt = dealt.select("cell", (F.least(*piece) * F.col("pieces") + F.greatest(*piece)).alias("block"), "a", "b")
     asked = dealt.select("cell", "block", F.explode(F.array("a", "b")).alias("node")).distinct()
-    shipped = asked.join(opened(ends.select("node").distinct(), docs, sets), "node")
+    shipped = asked.join(opened(ends.select("node").distinct(), docs, sets, form), "node")
     none = F.lit(None)
     rows = shipped.select("cell", "block", F.lit(0).alias("kind"), F.col("node").alias("a"), none.cast("long").alias("b"), "value").union(
         dealt.select("cell", "block", F.lit(1), "a", "b", none.cast("binary")))
@@ -391,15 +430,18 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 if (cell[r], block[r]) != at:
                     at, held = (cell[r], block[r]), {}
                 if kind[r] == 0:
-                    held[a[r]] = np.frombuffer(values[r].as_buffer(), np.uint64).copy()
+                    held[a[r]] = values[r].as_py()
                 else:
-                    p, q = held[a[r]], held[b[r]]
-                    p, q = (p, q) if len(p) < len(q) else (q, p)
-                    common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                    good[r] = enough(common, len(p), len(q))
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+                    good[r] = test(held[a[r]], held[b[r]])
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(cell[good])], ["a", "b", "cell"])
 
-    return rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind").mapInArrow(work, "a long, b long")
+    return cut(rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind").mapInArrow(work, "a long, b long, cell long"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share enough: by fine points first, the rest by whole sets."""
+    near = compared(gathered(pairs), docs, sets, fine_point, may_share)
+    return compared(near, docs, sets, lambda g: g, do_share).select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -430,7 +472,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     cells = cells.join(sets.select("node", "point"), "node").select("key", "node", "size", "point").persist(StorageLevel.DISK_ONLY)
     found = cut(first_pairs(cells).groupBy("a", "b", "open").agg(F.min("cell").alias("cell")))
     tested = found.where("open IS NULL").select("a", "b", "cell")
-    links = cut(verified(tested, docs, sets))
+    links = verified(tested, docs, sets)
     roots = cut(components(links))
     # Cells with pairs left out: everything that is still apart in them.
     open_cells = small(cut(found.where("open IS NOT NULL").select(F.col("open").alias("key")).distinct()))
@@ -445,7 +487,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         if partners is not None:  # a few partners each; most pairs are then in one component and need no look
             order = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
             now = cut(rest.withColumn("n", F.row_number().over(order)).where(F.col("n") <= partners).select("a", "b", "cell"))
-        links = cut(verified(now, docs, sets))
+        links = verified(now, docs, sets)
         roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)))
         if partners is not None:
             left = rest.join(now, ["a", "b"], "left_anti")
