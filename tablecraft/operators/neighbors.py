@@ -216,10 +216,11 @@ def knn_join(
 
 
 class NearestNeighbors:
-    """Majority label (smallest on ties) or mean label of the k nearest training rows."""
+    """Majority label (smallest on ties) or mean label of the k nearest training rows, or with `approximate` of those that an index of random
+    projections finds; a row that it finds no neighbour for has no prediction."""
 
-    def __init__(self, k: int = 5, classify: bool = True, features: str = "features", label: str = "label"):
-        self.k, self.classify, self.features, self.label = k, classify, features, label
+    def __init__(self, k: int = 5, classify: bool = True, features: str = "features", label: str = "label", approximate: bool = False, probes: int | None = None):
+        self.k, self.classify, self.features, self.label, self.approximate, self.probes = k, classify, features, label, approximate, probes
 
     def fit(self, df: DataFrame) -> "NearestNeighborsModel":
         kept = df.select(
@@ -230,13 +231,22 @@ class NearestNeighbors:
 
 class NearestNeighborsModel:
     def __init__(self, spec: NearestNeighbors, points: DataFrame):
-        self.spec, self.points = spec, points
+        self.spec, self.points, self.index = spec, points, None
+
+    def nearest(self, queries: DataFrame) -> DataFrame:
+        points = self.points.select("id", "vector")
+        if not self.spec.approximate:
+            return knn_join(queries, points, self.spec.k)
+        from tablecraft.operators import vector_index
+
+        self.index = self.index or vector_index.build(points)
+        return self.index.search(queries, self.spec.k, self.spec.probes or vector_index.PROBES)
 
     def transform(self, df: DataFrame) -> DataFrame:
         # Row numbers must not change between the join and its result, so the queries are written out once.
         numbered = durable(df.withColumn("__row", F.monotonically_increasing_id()))
         queries = numbered.select(F.col("__row").alias("id"), as_array(numbered, self.spec.features).alias("vector"))
-        found = knn_join(queries, self.points.select("id", "vector"), self.spec.k)
+        found = self.nearest(queries)
         labels = self.points.select(F.col("id").alias("point"), "y")
         votes = found.join(labels, "point")
         if self.spec.classify:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablecraft.functions import sketches
 from tablecraft.functions.columns import col
 from tablecraft.functions.statistics import distinct_counts, quantiles, unpivoted
-from tablecraft.operators import encoding
+from tablecraft.operators import encoding, vector_index
 from tablecraft.operators.profiling import local_rows
 from tablecraft.plans.learning import hash_sql
 from tablecraft.plans.tables import rounded, scratch, sql_view, table, view
@@ -76,7 +76,24 @@ SELECT doc_id, {', '.join(f'''round((coalesce((SELECT sum(o.quality) FROM d o WH
 FROM d JOIN p USING (fold)"""
 
 
+NEIGHBOURS = 5
+
+
+def vector_index_recall(spark, sf):
+    """Neighbours that the index finds for every fiftieth vector among all of them, and whether nine of ten of the exact ones are there."""
+    points = table(spark, sf, "embeddings").select(col("vec_id").alias("id"), col("embedding").cast("array<double>").alias("vector"))
+    queries = points.where("id % 50 = 0")
+    index = vector_index.build(points)
+    got = vector_index.recall(index, points, queries, NEIGHBOURS)
+    found = index.search(queries, NEIGHBOURS)
+    return found.groupBy().agg(F.count_distinct("query").alias("queries"), F.max("rank").cast("bigint").alias("neighbours"), F.lit(bool(got >= 0.9)).alias("found"))
+
+
+RECALL_SQL = f"SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, {NEIGHBOURS}::BIGINT AS neighbours, true AS found FROM embeddings"
+
+
 QUERIES = {
+    "vector_index_recall": (vector_index_recall, RECALL_SQL),
     "sketch_quantiles": (sketch_quantiles, QUANTILE_SQL),
     "sketch_distinct": (sketch_distinct, DISTINCT_SQL),
     "target_encode_out_of_fold": (target_encode_out_of_fold, OUT_OF_FOLD_SQL),
