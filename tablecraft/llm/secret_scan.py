@@ -19,7 +19,7 @@ from tablecraft.llm import text as T
 #: naming word assigns with = or : (quoted ones up to the closing quote).
 SIGNS = np.zeros(256, bool)
 SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-.~"]] = True
-MIN_LENGTH, MIN_NAMED, MAX_NAMED, CONTEXT = 12, 4, 256, 48
+MIN_LENGTH, MIN_NAMED, CONTEXT = 12, 4, 48
 #: Starts of published key formats, and words that name a secret or something else that only looks like one.
 STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "rk_live_", "AIza", "eyJ", "npm_", "hf_")
 NAMING = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "credential", "auth", "bearer", "private", "passphrase")
@@ -27,8 +27,8 @@ OTHER = ("commit", "sha", "md5", "checksum", "hash", "uuid", "guid", "id", "vers
 #: Ordinary words for generated pass phrases and for values that are no secrets.
 PLAIN = tuple(b"required optional value always never default string number none true false option first second people water place through "
               b"garden window river simple letter change between something table summer morning winter market answer several example".split())
-#: Common words whose count shares say how word-like a candidate is, and findings used in training, at most; size of a task's word sums.
-DICTIONARY, SAMPLE, PLANTED = 20_000, 4_000, 2_000
+#: Common words whose count shares say how word-like a candidate is; rounds of generated findings, of four each; size of a task's word sums.
+DICTIONARY, PLANTED = 20_000, 2_000
 HELD_BYTES = 40_000_000
 FEATURES = ("length", "transition", "coverage", "entropy", "digit_share", "upper_share", "kind_changes", "known_start", "hex_only", "digits_only", "dots", "slashes",
             "dashes", "has_path", "has_at", "assigned", "quoted", "naming", "other", "distance", "signs", "blanks", "password")
@@ -125,25 +125,46 @@ def features(value: bytes, before: bytes, after: bytes, language: Language) -> l
 
 
 _NAMED = re.compile(rb"(?:" + "|".join(NAMING).encode() + rb")[a-z0-9_.-]{0,24}[\"'`\])]{0,2}[ \t]*$", re.I)
-_VALUE = re.compile(rb"(?:>|=)?[ \t]*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|`([^`\r\n]+)`|[\"'`]?((?:[^\s\"'`&]|&(?![\w.-]*=))+))")
+_LEAD = re.compile(rb"(?:>|=)?[ \t]*")
+_VALUE = re.compile(rb"(?:[^\s\"'`&]|&(?![\w.-]*=))+")
 _BEARER, _BARE = re.compile(rb"(?:earer|EARER)[ \t]+"), re.compile(rb"[^\s\"'`,;]+")
 _HEADER = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
 
 
 def named_values(raw: np.ndarray, at: np.ndarray):
-    """(first, past) of values that a naming word assigns, of key headers and of bearer tokens; none crosses a row."""
+    """(first, past) of values that a naming word assigns, of key headers and of bearer tokens; none crosses a row. A quoted value goes on to
+    its closing quote in the line, whatever its length; any other ends at a blank, a quote or the next parameter."""
     text = raw.tobytes()
     signs = np.flatnonzero((raw == 61) | (raw == 58))
     owner = np.searchsorted(at, signs, side="right") - 1
+    breaks = np.flatnonzero((raw == 10) | (raw == 13))
+    quotes = {q: np.flatnonzero(raw == q) for q in b"\"'`"}
+
+    def following(places: np.ndarray, i: int, high: int) -> int:
+        k = int(np.searchsorted(places, i))
+        return min(high, int(places[k])) if k < len(places) else high
+
+    reach = 0
     for i, low, high in zip(signs.tolist(), at[owner].tolist(), at[owner + 1].tolist()):
-        if _NAMED.search(text[max(low, i - CONTEXT) : i]):
-            m = _VALUE.match(text, i + 1, min(high, i + MAX_NAMED))
-            if m:
-                s, e = m.span(m.lastindex)
-                if m.lastindex == 4:  # not quoted: signs behind the value belong to the sentence
-                    e = s + len(text[s:e].rstrip(b",;)]}>."))
-                if e - s >= MIN_NAMED:
-                    yield s, e
+        if not _NAMED.search(text[max(low, i - CONTEXT) : i]):
+            continue
+        s = _LEAD.match(text, i + 1, high).end()
+        if s < high and text[s] in quotes:
+            line = following(breaks, s, high)
+            e = following(quotes[text[s]], s + 1, line)
+            if s + 1 < e < line:
+                if e - s - 1 >= MIN_NAMED:
+                    yield s + 1, e
+                continue
+            s += 1  # never closed
+        if s < reach:
+            continue  # inside a value without quotes, which ends where this one would
+        m = _VALUE.match(text, s, high)
+        if m:
+            reach = m.end()
+            e = s + len(m[0].rstrip(b",;)]}>."))  # signs behind the value belong to the sentence
+            if e - s >= MIN_NAMED:
+                yield s, e
     for pattern in (_BEARER, _HEADER):
         for m in pattern.finditer(text):
             high = int(at[np.searchsorted(at, m.start(), side="right")])

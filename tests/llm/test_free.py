@@ -417,3 +417,14 @@ def test_pairs_apart_are_all_that_the_bound_leaves(spark, monkeypatch, block):
                     want.add((a, b))
     got = [(r.a, r.b) for r in jaccard_join.pairs_apart(members).distinct().collect()]
     assert set(got) == want and len(want) > 100
+
+
+def test_secret_values_come_whole_whatever_their_length():
+    long, phrase = "Zz9!" * 100, " ".join(["correct horse battery staple"] * 12)
+    texts = [f'password = "{long}" end', f"passphrase = '{phrase}'\nnext", f"token={'k1' * 4000} x", f'secret="never closed {long}', f"key='a' and key: 'bcde'", "auth=" + "key=" * 30_000 + "v"]
+    got = {}
+    for row, first, past, value, _, _ in secret_scan.candidates_of(pa.array(texts)):
+        got.setdefault(row, []).append(value.decode())
+    assert long in got[0] and phrase in got[1] and "k1" * 4000 in got[2]
+    assert got[4] == ["bcde"] and len(got[5]) >= 1
+    assert all(t.encode()[f:p] == v for t, (r, f, p, v, _, _) in ((texts[c[0]], c) for c in secret_scan.candidates_of(pa.array(texts))))
