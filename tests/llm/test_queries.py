@@ -10,7 +10,7 @@ from tests.llm.test_native import hits
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_stages(spark, sf_dir, docs, tmp_path):
