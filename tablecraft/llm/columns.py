@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kind(df: DataFrame, name: str = "doc_id") -> str:
+    """The type of a column, to be named in a schema."""
+    return df.schema[name].dataType.simpleString()
+
+
+def beside(needed: tuple[str, ...], added: tuple[str, ...]) -> Callable:
+    """For operators f(docs, ...) that return the columns of `docs` and `added`: f sees all but the `needed` columns under names that no
+    operator uses, so columns of any name pass through unchanged. Given columns named like an added one, in any case, are replaced."""
+
+    def decorate(f):
+        @functools.wraps(f)
+        def wrapped(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            given = docs.columns
+            spots = {n: given.index(n) if n in given else [c.lower() for c in given].index(n) for n in needed}
+            inside = [f"given column {i}" for i in range(len(given))]
+            for n, i in spots.items():
+                inside[i] = n
+            replaced = {a.lower() for a in added}
+            kept = [i for i, c in enumerate(given) if c.lower() not in replaced or i in spots.values()]
+            aside = docs.toDF(*inside).select(*(f"`{inside[i]}`" for i in kept))
+            out = f(aside, *args, **kwargs)
+            return out.select(*(F.col(f"`{inside[i]}`").alias(given[i]) for i in kept), *added)
+
+        return wrapped
+
+    return decorate
+
+
 def whole(text: Column) -> Column:
     """The text, empty where it is missing."""
     return F.coalesce(text, F.lit(""))

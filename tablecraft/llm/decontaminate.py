@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.llm.columns import grams, hex_sha256, let, plain_words, wide_hash
+from tablecraft.llm.columns import beside, grams, hex_sha256, let, plain_words, wide_hash
 from tablecraft.llm.storage import cut
 
 WINDOW, GRAM = 13, 7
@@ -93,6 +93,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram:
     return spans.select("k1", "k2", swept.cast("long").alias("n_hit")).join(named, ["k1", "k2"])
 
 
+@beside(("doc_id", "text"), ("n_words", "n_hit", "items", "contaminated"))
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Adds n_words, n_hit, items and contaminated to the rows of `docs` (doc_id, text, ...).
 
@@ -101,12 +102,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     listed. Repeated rows get the same result each. Without items nothing is hit. Columns of `docs` keep their values; those named like an
     added one are replaced.
     """
-    added = ("n_words", "n_hit", "items", "contaminated")
     hits = small(cut(find_hits(docs, benchmark, window, gram)))
     keyed = docs.withColumns(dict(zip(("k1", "k2"), wide_hash(F.col("doc_id"), F.col("text"))))).withColumn("_n", F.size(plain_words(F.col("text"))).cast("long"))
     joined = keyed.join(hits, ["k1", "k2"], "left").withColumns({"_hit": F.coalesce("n_hit", F.lit(0)), "_items": F.coalesce("items", F.array().cast("array<string>"))})
     return joined.select(
-        *(c for c in docs.columns if c not in added), F.col("_n").alias("n_words"), F.col("_hit").cast("long").alias("n_hit"),
+        *(f"`{c}`" for c in docs.columns), F.col("_n").alias("n_words"), F.col("_hit").cast("long").alias("n_hit"),
         F.col("_items").alias("items"), ((F.col("_hit") > 0) & (F.lit(20) * F.col("_hit") >= F.col("_n"))).alias("contaminated"),
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.llm import text as T
+from tablecraft.llm.columns import beside, kind
 from tablecraft.llm.components import components
 from tablecraft.llm.storage import cut
 
@@ -171,7 +172,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 own = [batch.column(c).slice(i, j - i) for c in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(fingerprints(g, bounds), mask=size == 0), pa.array(size), binaries(points(g, bounds))], ["doc_id", "th", "node", "size", "point"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(work, "doc_id long, th long, node long, size long, point binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(work, f"doc_id {kind(docs)}, th long, node long, size long, point binary")
 
 
 def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
@@ -502,15 +503,22 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     return rows.join(named, "node", "left").select("doc_id", "th", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+@beside(("doc_id", "text"), ())
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near copies: of each group the document with the smallest doc_id, of equal rows one. Rows without
-    doc_id in a group without any stay."""
+    doc_id in a group without any stay. Columns of `docs` may have any names and types; maps are equal if they list the same entries in the same
+    order. An empty table gives an empty result."""
     groups = cut(jaccard_groups(docs).groupBy("doc_id", "th", "component_id").agg(F.count("*").alias("n")))
     first = groups.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k")).select("k.*")
     first = first.union(groups.where("component_id IS NULL").select("doc_id", "th"))
     first = small(cut(first.withColumnsRenamed({"doc_id": "_keep", "th": "_th"})))
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates() if groups.where("n > 1").limit(1).count() else kept
+    if not groups.where("n > 1").limit(1).count():
+        return kept
+    maps = [f.name for f in kept.schema if "map<" in f.dataType.simpleString()]  # cannot be compared as they are
+    listed = {f"entries of {c}": F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) for c in maps}
+    keys = [c for c in kept.columns if c not in maps]
+    return kept.withColumns(listed).dropDuplicates([*keys, *listed]).drop(*listed)
 
 
 def op8_jaccard_join(docs: DataFrame) -> DataFrame:

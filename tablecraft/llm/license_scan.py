@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablecraft.llm import text as T
+from tablecraft.llm.columns import beside
 
 #: Phrases whose every place counts, with their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -112,17 +114,20 @@ def blocks(h: np.ndarray, doc: np.ndarray, t: Template) -> tuple[np.ndarray, np.
     return touched[good], count[good]
 
 
+ADDED = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double",
+         "blocks": "array<struct<start:bigint,words:bigint,label:string,containment:double>>"}
+
+
+@beside(("text",), tuple(ADDED))
 def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and blocks (start word, words, label, containment).
 
     score is the largest containment of a template in a block of the text, 1 where a base phrase occurs, 0 where nothing reaches the
     threshold. Missing, empty and blank texts have no words, no labels ("") and score 0. A text is judged alone: repeated rows agree.
+    Other columns stay, but those named like an added one are replaced; an empty table gives an empty result.
     """
     arranged = ordered(template_frequencies(docs, templates), templates, containment)
     phrases = [(hashes_of(p.split()), label) for p, label in PHRASES]
-    added = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double",
-             "blocks": "array<struct<start:bigint,words:bigint,label:string,containment:double>>"}
-    rows = docs.select(*(c for c in docs.columns if c not in added))
     block_type = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
 
     def work(batches):
@@ -165,10 +170,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array(n_words), pa.array(n_base), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(names), pa.array(every),
                 pa.array(score), pa.array([found.get(r, []) for r in range(size)], block_type),
-            ], [*batch.schema.names, *added])
+            ], [*batch.schema.names, *ADDED])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(work, f"{fields}, " + ", ".join(f"{k} {v}" for k, v in added.items()))
+    added = StructType.fromDDL(", ".join(f"{k} {v}" for k, v in ADDED.items()))
+    return docs.mapInArrow(work, StructType([*docs.schema, *added]))
 
 
 def op6_license_scan(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.llm.columns import BLANK, hex_sha256, lower_az, whole, wide_hash
+from tablecraft.llm.columns import BLANK, beside, hex_sha256, lower_az, whole, wide_hash
 from tablecraft.llm.decontaminate import small
 from tablecraft.llm.storage import cut
 
@@ -16,6 +16,7 @@ def line_key(line):
     return F.btrim(lower_az(line), F.lit(BLANK))
 
 
+@beside(("doc_id", "text"), ("kept_text", "n_lines", "n_dropped"))
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Adds kept_text, n_lines and n_dropped to the rows of `docs` (doc_id, text, ...).
 
@@ -27,7 +28,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     dropped keys are written, then broadcast if they were counted to be few; otherwise their join can be split where a key is hot.
 
     A missing or empty text is one empty line. A document without doc_id keeps every line and counts as no document. Rows that repeat a
-    doc_id count once and, where the texts differ, are treated each by its own lines. If every line goes, the text is empty.
+    doc_id count once and, where the texts differ, are treated each by its own lines. If every line goes, the text is empty. Columns of
+    `docs` keep their values whatever their names; those named like an added one are replaced. An empty table gives an empty result.
     """
     lines = F.split(whole(F.col("text")), "\n")
     rows = docs.withColumn("_th", F.xxhash64("text"))
@@ -48,7 +50,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
     )
     return joined.select(
-        *docs.columns, kept.alias("kept_text"), n.cast("long").alias("n_lines"),
+        *(f"`{c}`" for c in docs.columns), kept.alias("kept_text"), n.cast("long").alias("n_lines"),
         F.coalesce(F.size(F.col("_gone")), F.lit(0)).cast("long").alias("n_dropped"),
     )
 

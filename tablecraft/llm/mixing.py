@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecraft.llm.columns import blank_words, whole
+from tablecraft.llm.columns import beside, blank_words, whole
 from tablecraft.llm.storage import cut
 
 WEIGHTS, BUDGET, REPEATS = (5, 2, 1), 1.5, 2
@@ -39,7 +39,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
-    """Adds size, source_size, target, taken and finish to the rows of `docs` (doc_id, source, text, ...).
+    """doc_id, source, size, source_size, target, taken, finish and a hash of the text for every row of `docs` (doc_id, source, text, ...).
 
     Weighted fair queueing: each source is a queue of its documents, shuffled by a hash of the id and repeated up to `repeats` times. A
     copy's virtual finish time is the source's words up to its end divided by the source's target. Served in order of finish time, all
@@ -51,8 +51,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int =
 
     A missing text has no words, is taken 0 times and stays in the output. Documents of equal shuffle key follow each other by size and
     text; equal rows then share their source's words in a fixed, otherwise arbitrary order. Nothing is random, so reruns agree.
+    Other columns of `docs` are not read. An empty table gives an empty result.
     """
-    sized = docs.withColumns({
+    sized = docs.select("doc_id", "source", "text").withColumns({
         "size": F.size(blank_words(F.col("text"))).cast("long"), "_key": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
         "_th": F.xxhash64(whole(F.col("text"))),
     })
@@ -80,11 +81,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeats: int =
     )
 
 
+@beside(("doc_id", "source", "text"), ("copy", "size", "words", "target", "position"))
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of `docs` with one row per copy taken, and copy, size, words (how many of its words the mix takes),
     target and position. position counts the mix's words before the copy in the order of finish times, so sorting by it gives the mix in
     the order in which the queues are served; it never passes the budget. A copy that the cut shortens gives its first words, joined by
-    one blank.
+    one blank. Columns of `docs` keep their values whatever their names; those named like an added one are replaced. Texts without words
+    are in no copy, and an empty table gives an empty mix.
 
     The global order is made on rows without texts: finish times are dealt to ranges, words are summed by range, and a running sum within
     a range is added to the sum of those before it.
@@ -105,13 +108,12 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     same = Window.partitionBy("doc_id", "_th", "copy").orderBy("source", "ahead", "_inside")
     placed = placed.withColumn("_n", F.row_number().over(same)).select(
         F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), F.col("source").alias("_s"), "_n", "copy", "size", "words", "target", (F.col("ahead") + F.col("_inside")).cast("long").alias("position"))
-    names = [c for c in docs.columns if c not in added]
     repeated = plan.groupBy("doc_id", "_th").count().where("count > 1").limit(1).count() > 0
-    rows = docs.select(*names).withColumn("_th", F.xxhash64(whole(F.col("text"))))
+    rows = docs.withColumn("_th", F.xxhash64(whole(F.col("text"))))
     rows = rows.withColumn("_m", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy("source")) if repeated else F.lit(1))
     joined = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")) & (F.col("_m") == F.col("_n")))
     cut_text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(blank_words(F.col("text")), 1, F.col("words").cast("int")), " ")).otherwise(F.col("text"))
-    return joined.select(*((cut_text if c == "text" else F.col(c)).alias(c) for c in names), *added)
+    return joined.select(*((cut_text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns), *added)
 
 
 def op3_mixing(docs: DataFrame) -> DataFrame:

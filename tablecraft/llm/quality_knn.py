@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tablecraft.llm import text as T
-from tablecraft.llm.columns import training_row
+from tablecraft.llm.columns import beside, kind, training_row
 
 #: Terms: hashed three-byte sequences, sequences of four character kinds, and a few shares of repetition.
 HASHED, KINDS = 3072, 6
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = P
                 kept = [zlib.compress(r.tobytes(), 1) for r in x]  # mostly zeros
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), quality.slice(i, j - i).cast(pa.int32()), pa.array(kept, pa.binary())], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(vectors, "doc_id long, quality int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample)
+    got = rows.mapInArrow(vectors, f"doc_id {kind(rows)}, quality int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample)
     kept = list(got.toLocalIterator())
     if not kept:
         return Voters(weight, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
@@ -162,12 +163,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = P
     return voters
 
 
+@beside(("text",), ("score", "predicted"))
 def score_quality(docs: DataFrame, voters: Voters, cut: float = CUT) -> DataFrame:
     """Adds score and predicted to the rows of `docs` (text, ...). Missing and empty texts get the score of the texts nearest to nothing;
-    each row is scored by its text alone, so repeated rows agree. Without labelled rows every score is 0.5."""
+    each row is scored by its text alone, so repeated rows agree. Without labelled rows every score is 0.5. Other
+    columns stay, but those named like an added one are replaced; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(voters)  # bounded: SAMPLE x RANK and TERMS x RANK numbers
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    rows = docs.select(*names)
 
     def score(batches):
         for batch in batches:
@@ -177,8 +178,7 @@ def score_quality(docs: DataFrame, voters: Voters, cut: float = CUT) -> DataFram
                 out[i:j] = shared.value.scores(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array((out >= cut).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(score, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(score, StructType([*docs.schema, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def op2_quality_knn(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.llm.columns import blank_words, grams, let, whole
+from tablecraft.llm.columns import beside, blank_words, grams, let, whole
 
 GRAM, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 #: Bounds of the sample that rules are learned from, and of a rule.
@@ -49,7 +49,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "_m": measures, "n_symbols": count("[#*$%&|<>]"), "n_dup_lines": dup.cast("long"), "_upper": count("[A-Z]+[!?.,;:]*"),
         "_marks": count("[!?;:]+"), "_digits": count("[0-9]+"), "_line_count": F.size(F.split(text, "\n")),
     })
-    out = out.select(*docs.columns, "_m.*", "n_symbols", "n_dup_lines", "_upper", "_marks", "_digits", "_line_count")
+    out = out.select(*(f"`{c}`" for c in docs.columns), "_m.*", "n_symbols", "n_dup_lines", "_upper", "_marks", "_digits", "_line_count")
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     return out.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")),
@@ -140,10 +140,15 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
     return learn(x, np.array([r["quality"] == 0 for r in got]))
 
 
+JUDGED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(s for s in STATISTICS if s != "n_words"), "rule", "kept")
+
+
+@beside(("text",), JUDGED)
 def judge(docs: DataFrame, rules: list[tuple[Condition, ...]]) -> DataFrame:
     """Adds the statistics, `rule` (number of the first rule that rejects, 0 for the base rule, else missing) and `kept`.
 
-    A missing or empty text has no words and fails the base rule. Each row is judged alone, so repeated rows agree; other columns stay.
+    A missing or empty text has no words and fails the base rule. Each row is judged alone, so repeated rows agree; other columns
+    stay, but those named like an added one are replaced. An empty table gives an empty result.
     """
     verdict = F.when(F.col("base_failed"), F.lit(0))
     for number, rule in enumerate(rules, 1):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.llm import text as T
+from tablecraft.llm.columns import kind
 
 #: Bytes of keys. Candidates are maximal runs of at least MIN_LENGTH of them with a digit, without letters or with a capital after a small
 #: letter; runs of any content and length behind a known start; key headers; and values of any signs, of at least MIN_NAMED bytes, that a
@@ -255,7 +256,7 @@ def feature_rows(docs: DataFrame, language: Language) -> DataFrame:
                 pa.array([features(*g[3:], shared.value) for g in got], pa.list_(pa.float64())),
             ], ["doc_id", "row", "start", "length", "features"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(work, "doc_id long, row long, start long, length long, features array<double>")
+    return docs.select("doc_id", "row", "text").mapInArrow(work, f"doc_id {kind(docs)}, row long, start long, length long, features array<double>")
 
 
 def train_forest(spark, language: Language, planted: int = PLANTED, seed: int = 3, trees: int = 40) -> RandomForestClassificationModel:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablecraft.llm import text as T
+from tablecraft.llm.columns import kind
 
 U = np.uint64
 WINDOW = 13
@@ -47,7 +48,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
                 new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(doc[new]))], ["anchor", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "anchor long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(work, f"anchor long, doc_id {kind(docs)}")
 
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
@@ -57,6 +58,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     def work(batches):
         tail = None  # the last row, not handed on yet, and whether its anchor is known to be repeated
         for batch in batches:
+            ids = batch.column(1).type
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(2)]
             value, doc = now if tail is None else [np.concatenate([a, b]) for a, b in zip(tail, now)]
             step = np.zeros(len(value) + 1, bool)  # whether row i and row i - 1 are one anchor in two documents
@@ -64,12 +66,12 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
             start = 0 if tail is None else 1
             stop = max(start, len(value) - 1)
             good = (step[:-1] | step[1:])[start:stop]
-            yield pa.RecordBatch.from_arrays([pa.array(value[start:stop][good]), pa.array(doc[start:stop][good])], ["anchor", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(value[start:stop][good]), pa.array(doc[start:stop][good], ids)], ["anchor", "doc_id"])
             tail = [value[-2:], doc[-2:]] if len(value) > 1 else [np.r_[value ^ np.int64(1), value], np.r_[doc, doc]]
         if tail is not None and len(tail[0]) > 1 and tail[0][0] == tail[0][1] and tail[1][0] != tail[1][1]:
-            yield pa.RecordBatch.from_arrays([pa.array(tail[0][1:]), pa.array(tail[1][1:])], ["anchor", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(tail[0][1:]), pa.array(tail[1][1:], ids)], ["anchor", "doc_id"])
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(work, "anchor long, doc_id long")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(work, f"anchor long, doc_id {kind(rows)}")
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def pack(docs: DataFrame) -> DataFrame:
             body = pa.array([squeeze.compress((t or "").encode()) for t in batch.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body], ["doc_id", "row", "body"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(work, "doc_id long, row long, body binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(work, f"doc_id {kind(docs)}, row long, body binary")
 
 
 def unpack(column: pa.Array) -> pa.Array:
@@ -132,7 +134,7 @@ def paths(packed: DataFrame, window: int) -> DataFrame:
                     [pa.array(hashes[0]), pa.array(hashes[1]), *(batch.column(c).slice(i, j - i).take(own) for c in (0, 1)), pa.array((s - w.at[w.doc[s]]).astype(np.int32)), pa.array(many.astype(np.int32))],
                     ["p1", "p2", "doc_id", "row", "start", "edges"])
 
-    return packed.select("doc_id", "row", "body", "anchors").mapInArrow(work, "p1 long, p2 long, doc_id long, row long, start int, edges int")
+    return packed.select("doc_id", "row", "body", "anchors").mapInArrow(work, f"p1 long, p2 long, doc_id {kind(packed)}, row long, start int, edges int")
 
 
 def spans(column: pa.Array, i: int, j: int, row: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +171,7 @@ def edges_of(opened: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(e1.view(np.int64)), pa.array(short(T.runs(h, window, "two")[at])), batch.column(0).slice(i, j - i).take(pa.array(w.doc[at]))], ["e1", "e2", "doc_id"])
 
-    return opened.select("doc_id", "row", "body", "paths").mapInArrow(work, "e1 long, e2 int, doc_id long")
+    return opened.select("doc_id", "row", "body", "paths").mapInArrow(work, f"e1 long, e2 int, doc_id {kind(opened)}")
 
 
 def finish(marked: DataFrame, window: int, texts_out: bool) -> DataFrame:
@@ -204,7 +206,7 @@ def finish(marked: DataFrame, window: int, texts_out: bool) -> DataFrame:
                     pa.array([r.decode() if texts_out else None for r in rows], pa.string())], ["doc_id", "row", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return marked.select("doc_id", "row", "body", "paths", "edges").mapInArrow(
-        work, "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        work, f"doc_id {kind(marked)}, row long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts_out: bool = True) -> DataFrame:
@@ -220,7 +222,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, texts_out: bool = Tr
     Texts are compressed and dealt by doc_id once; all three joins that need them read that exchange.
 
     Missing, empty and blank texts have no words. A row without doc_id keeps all its words and takes none from others. Rows that repeat a
-    doc_id do not take words from each other. Other columns of `docs` are not read.
+    doc_id do not take words from each other. Other columns of `docs` are not read. Ids may be
+    numbers or texts. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
