@@ -79,6 +79,7 @@ CATALOG: tuple[Model, ...] = (
     Model("NearestCentroid", "Nearest Centroid", "neighbors", "Medium", "classifier", "NearestCentroid"),
     Model("KNeighborsClassifier", "K-Nearest Neighbors Classifier", "neighbors", "Low", "classifier", "KNeighbors", {"k": 5}),
     Model("MLPClassifier", "MLP Classifier (Neural Network)", "neural", "High", "classifier", "MultilayerPerceptronClassifier", {"maxIter": 100}),
+    Model("FMClassifier", "Factorization Machine Classifier", "factorization", "High", "classifier", "FMClassifier", {}, _BINARY_ONLY),
     Model("LinearRegression", "Linear Regression", "linear", "Low", "regressor", "LinearRegression"),
     Model("Ridge", "Ridge Regression", "linear", "Low", "regressor", "LinearRegression", {"regParam": 0.1, "elasticNetParam": 0.0}),
     Model("Lasso", "Lasso Regression", "linear", "Low", "regressor", "LinearRegression", {"regParam": 1.0, "elasticNetParam": 1.0}),
@@ -92,6 +93,9 @@ CATALOG: tuple[Model, ...] = (
     Model("RANSACRegressor", "RANSAC Regressor", "robust", "Medium", "regressor", "RANSAC"),
     Model("TheilSenRegressor", "Theil Sen Regressor", "robust", "Medium", "regressor", "TheilSen"),
     Model("TweedieRegressor", "Tweedie Regressor", "glm", "Medium", "regressor", "GeneralizedLinearRegression", {"family": "gaussian"}),
+    Model("PoissonRegressor", "Poisson Regressor", "glm", "Medium", "regressor", "GeneralizedLinearRegression", {"family": "poisson", "link": "log"}, "labels from zero"),
+    Model("GammaRegressor", "Gamma Regressor", "glm", "Medium", "regressor", "GeneralizedLinearRegression", {"family": "gamma", "link": "log"}, "positive labels"),
+    Model("FMRegressor", "Factorization Machine Regressor", "factorization", "High", "regressor", "FMRegressor", {}, "pairs of features through latent factors"),
     Model("DecisionTreeRegressor", "Decision Tree Regressor", "tree", "Low", "regressor", "DecisionTreeRegressor"),
     Model("RandomForestRegressor", "Random Forest Regressor", "forest", "Medium", "regressor", "RandomForestRegressor", _TREES),
     Model("ExtraTreesRegressor", "Extra Trees Regressor", "forest", "Medium", "regressor", "RandomForestRegressor", _TREES, _FOREST_NOTE),

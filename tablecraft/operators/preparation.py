@@ -270,7 +270,7 @@ def class_cuts(hashed: DataFrame, parts: dict[str, float]) -> DataFrame:
     )
     order = Window.partitionBy("label", "part").orderBy("hash")
     edges = (
-        bucketed.join(F.broadcast(spots), ["label", "bucket"])
+        bucketed.join(spots, ["label", "bucket"])
         .withColumn("at", F.row_number().over(order))
         .where("at = place")
         .groupBy("label")

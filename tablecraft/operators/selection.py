@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablecraft.functions.columns import col, filled_number, numeric_cols
+from tablecraft.functions.durable import durable
 from tablecraft.functions.special import f_survival
 from tablecraft.functions.statistics import all_pairs, chunks, column_stats, correlations, scalars, union_all
 from tablecraft.operators import lookup
@@ -121,14 +122,16 @@ def mutual_information(df: DataFrame, features: list[str], target: str, task: st
     long = df.select(y.alias("__y"), *[binned(c).alias(c) for c in pool]).unpivot(
         ["__y"], [col(c) for c in pool], "feature", "x"
     )
-    cells = long.groupBy("feature", "x", "__y").agg(F.count(F.lit(1)).alias("n"))
+    cells = durable(long.groupBy("feature", "x", "__y").agg(F.count(F.lit(1)).alias("n")))
 
-    def total(*keys):
-        return F.sum("n").over(Window.partitionBy("feature", *keys))
+    def part(keys, sign):
+        """Sums of n log n over the counts of some keys; all aggregates combine, so no task holds the cells of a feature."""
+        counts = cells.groupBy("feature", *keys).agg(F.sum("n").alias("n"))
+        return counts.select("feature", (F.lit(sign) * F.col("n") * F.log("n")).alias("part"), F.when(F.lit(not keys), F.col("n")).alias("n"))
 
-    n, nx, ny, nxy = total(), total("x"), total("__y"), F.col("n")
-    weighed = cells.select("feature", (nxy / n * F.log(nxy * n / (nx * ny))).alias("part"))
-    return weighed.groupBy("feature").agg(F.sum("part").alias("mi"))
+    parts = part(["x", "__y"], 1).unionByName(part(["x"], -1)).unionByName(part(["__y"], -1)).unionByName(part([], 1))
+    sums = parts.groupBy("feature").agg(F.sum("part").alias("part"), F.max("n").alias("n"))
+    return sums.select("feature", F.greatest(F.lit(0.0), F.col("part") / F.col("n")).alias("mi"))
 
 
 def anova(df: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, OneVsRest, RandomForestClassificationModel
+from pyspark.ml.classification import FMClassifier, GBTClassificationModel, GBTClassifier, LinearSVC, OneVsRest, RandomForestClassificationModel
 from pyspark.ml.feature import Binarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml import PipelineModel
@@ -73,7 +73,7 @@ def _estimator(spec: catalog.Model, n_features: int, n_classes: int, epochs: int
     if spec.factory == "MultilayerPerceptronClassifier":
         params.setdefault("layers", [n_features, 100, max(n_classes, 2)])
     estimator = spec.create(**params)
-    if isinstance(estimator, (GBTClassifier, LinearSVC)) and n_classes > 2:
+    if isinstance(estimator, (FMClassifier, GBTClassifier, LinearSVC)) and n_classes > 2:
         return OneVsRest(classifier=estimator)
     return estimator
 
