@@ -42,6 +42,10 @@ class Model:
             from tablecraft.operators.partial_fit import PartialFit
 
             return PartialFit(**params)
+        if self.factory == "ExtraTrees":
+            from tablecraft.operators.extra_trees import ExtraTrees
+
+            return ExtraTrees(classify=self.task_type == "classifier", **params)
         if self.factory in OWN_LINEAR:
             from tablecraft.operators import linear_models
 
@@ -57,7 +61,7 @@ _EPOCHS_NOTE = "learned by epochs of mini-batches, with scores after each"
 _TREES = {"numTrees": 100}
 _BOOST = {"maxIter": 20}
 _BINARY_ONLY = "binary inside; several classes are trained one against the rest"
-_FOREST_NOTE = "trained as a random forest: split thresholds are searched, not drawn"
+_DRAWN_NOTE = "split thresholds are drawn between a node's smallest and largest value"
 _LINEAR_NOTE = "the same linear model; the penalty replaces the original search"
 
 # Class names, display names and complexities of the models.
@@ -69,7 +73,7 @@ CATALOG: tuple[Model, ...] = (
     Model("LinearSVC", "Linear SVC", "svm", "Medium", "classifier", "LinearSVC", {"regParam": 0.01}, _BINARY_ONLY),
     Model("DecisionTreeClassifier", "Decision Tree Classifier", "tree", "Low", "classifier", "DecisionTreeClassifier"),
     Model("RandomForestClassifier", "Random Forest Classifier", "forest", "Medium", "classifier", "RandomForestClassifier", _TREES),
-    Model("ExtraTreesClassifier", "Extra Trees Classifier", "forest", "Medium", "classifier", "RandomForestClassifier", _TREES, _FOREST_NOTE),
+    Model("ExtraTreesClassifier", "Extra Trees Classifier", "forest", "Medium", "classifier", "ExtraTrees", _TREES, _DRAWN_NOTE),
     Model("GradientBoostingClassifier", "Gradient Boosting Classifier", "boosting", "Medium-High", "classifier", "GBTClassifier", _BOOST, _BINARY_ONLY),
     Model("HistGradientBoostingClassifier", "Histogram Gradient Boosting Classifier", "boosting", "High", "classifier", "GBTClassifier", {**_BOOST, "maxBins": 256}, _BINARY_ONLY),
     Model("XGBClassifier", "XGBoost Classifier", "boosting", "High", "classifier", "GBTClassifier", {**_BOOST, "maxDepth": 6}, _BINARY_ONLY),
@@ -98,7 +102,7 @@ CATALOG: tuple[Model, ...] = (
     Model("FMRegressor", "Factorization Machine Regressor", "factorization", "High", "regressor", "FMRegressor", {}, "pairs of features through latent factors"),
     Model("DecisionTreeRegressor", "Decision Tree Regressor", "tree", "Low", "regressor", "DecisionTreeRegressor"),
     Model("RandomForestRegressor", "Random Forest Regressor", "forest", "Medium", "regressor", "RandomForestRegressor", _TREES),
-    Model("ExtraTreesRegressor", "Extra Trees Regressor", "forest", "Medium", "regressor", "RandomForestRegressor", _TREES, _FOREST_NOTE),
+    Model("ExtraTreesRegressor", "Extra Trees Regressor", "forest", "Medium", "regressor", "ExtraTrees", _TREES, _DRAWN_NOTE),
     Model("GradientBoostingRegressor", "Gradient Boosting Regressor", "boosting", "Medium-High", "regressor", "GBTRegressor", _BOOST),
     Model("HistGradientBoostingRegressor", "Histogram Gradient Boosting Regressor", "boosting", "High", "regressor", "GBTRegressor", {**_BOOST, "maxBins": 256}),
     Model("XGBRegressor", "XGBoost Regressor", "boosting", "High", "regressor", "GBTRegressor", {**_BOOST, "maxDepth": 6}),
@@ -125,7 +129,7 @@ def catalog_frame(df: DataFrame, task: str | None = None) -> DataFrame:
     offered = CATALOG if task is None else models_for(task)
     rows = []
     for m in offered:
-        source = "tablecraft" if m.factory in ("KNeighbors", "NearestCentroid", "PartialFit", *OWN_LINEAR) else "pyspark.ml"
+        source = "tablecraft" if m.factory in ("KNeighbors", "NearestCentroid", "PartialFit", "ExtraTrees", *OWN_LINEAR) else "pyspark.ml"
         about = f"{m.display_name}: {m.family} model for {'classes' if m.task_type == 'classifier' else 'numbers'}, {m.complexity.lower()} complexity"
         rows.append((m.class_name, m.display_name, m.family, m.complexity, m.task_type, source, m.factory, about, m.note))
     return local_rows(

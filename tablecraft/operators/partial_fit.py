@@ -180,11 +180,11 @@ class PartialFitModel:
         x = as_array(df, self.features)
         whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
         blank = F.array_repeat(F.lit(0.0), len(w) - 1)
-        out = df.withColumn("__m", outputs(F.when(whole, x).otherwise(blank))).withColumn("__m", F.when(whole, F.col("__m")))
+        out = df.withColumn("__m", outputs(F.when(whole, x).otherwise(blank)))
         if loss == SQUARED:
-            return out.withColumn("prediction", F.get("__m", F.lit(0))).drop("__m")
-        out = out.withColumn("prediction", (F.array_position("__m", F.array_max("__m")) - 1).cast("double"))
-        return (out.withColumn("probability", array_to_vector("__m")) if loss == LOG else out).drop("__m")
+            return out.withColumn("prediction", F.when(whole, F.get("__m", F.lit(0)))).drop("__m")
+        out = out.withColumn("prediction", F.when(whole, F.array_position("__m", F.array_max("__m")) - 1).cast("double"))
+        return (out.withColumn("probability", F.when(whole, array_to_vector("__m"))) if loss == LOG else out).drop("__m")
 
     def scores(self, df: DataFrame) -> dict[int, tuple[float | None, float | None]]:
         """(score, mean loss) of every epoch's weights on rows with label and features, all in one pass: accuracy, or r2 for squared loss."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.functions.columns import col
 from tablecraft.operators import lookup
+from tablecraft.operators.extra_trees import ExtraTreesModel, Tree
 from tablecraft.operators.neighbors import NearestCentroidModel, NearestNeighbors, NearestNeighborsModel
 from tablecraft.operators.preparation import Coercion, Prepared
 
@@ -84,3 +85,24 @@ def load_neighbors(spark: SparkSession, path: str) -> NearestCentroidModel | Nea
         held = sorted(rows.collect(), key=lambda r: r["label"])
         return NearestCentroidModel(facts["features"], [r["label"] for r in held], np.array([r["center"] for r in held]))
     return NearestNeighborsModel(NearestNeighbors(facts["k"], facts["classify"], facts["features"], facts["label"]), rows)
+
+
+def save_extra_trees(model: ExtraTreesModel, spark: SparkSession, path: str) -> None:
+    rows = [
+        (i, node, int(t.feature[node]), float(t.threshold[node]), int(t.left[node]), [float(v) for v in t.value[node]])
+        for i, t in enumerate(model.trees) for node in range(len(t.feature))
+    ]
+    spark.createDataFrame(rows, "tree int, node int, feature int, threshold double, left int, value array<double>").write.mode("overwrite").parquet(f"{path}/rows")
+    importance = [[float(v) for v in t.importance] for t in model.trees]
+    _write_facts(spark, {"classify": model.classify, "n_features": model.n_features, "features": model.features, "label": model.label, "importance": importance}, path)
+
+
+def load_extra_trees(spark: SparkSession, path: str) -> ExtraTreesModel:
+    facts, held = _read_facts(spark, path), {}
+    for r in sorted(spark.read.parquet(f"{path}/rows").collect(), key=lambda r: (r["tree"], r["node"])):  # the nodes of one fitted model
+        held.setdefault(r["tree"], []).append(r)
+    trees = [
+        Tree(*(np.array([r[c] for r in held[i]]) for c in ("feature", "threshold", "left", "value")), np.array(share))
+        for i, share in enumerate(facts["importance"])
+    ]
+    return ExtraTreesModel(trees, facts["classify"], facts["n_features"], facts["features"], facts["label"])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.operators import catalog, evaluation
+from tablecraft.operators.extra_trees import ExtraTreesModel
 from tablecraft.operators.neighbors import NearestNeighborsModel
 from tablecraft.operators.partial_fit import PartialFitModel
 from tablecraft.operators.preparation import Prepared
@@ -121,7 +122,7 @@ def _history(model, train: DataFrame, val: DataFrame, task: str) -> list[tuple]:
         return [(i, a.get(i, none)[0], b.get(i, none)[0], a.get(i, none)[1], b.get(i, none)[1]) for i in range(1, len(model.trees) + 1)]
     if isinstance(model, (RandomForestClassificationModel, RandomForestRegressionModel)):
         return forest_history(model, train, val, task)
-    if isinstance(model, PartialFitModel):
+    if isinstance(model, (PartialFitModel, ExtraTreesModel)):
         return model.history(train, val)
     val_out = model.transform(val)
     if isinstance(model, NearestNeighborsModel):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("cleaning", "insights", "features", "selection", "learning", "streams", "approximate", "regressions", "deviance")
+MODULES = ("cleaning", "insights", "features", "selection", "learning", "streams", "approximate", "regressions", "deviance", "forests")
 
 
 def all_queries() -> dict:

@@ -246,3 +246,10 @@ def test_too_few_rows(spark):
         assert model.fit(df).transform(df).first()["prediction"] == pytest.approx(3.0)
         with pytest.raises(ValueError):
             model.fit(df.where("id > 5"))
+
+
+def test_epoch_models_leave_rows_with_a_missing_feature_without_a_prediction(spark):
+    rows = spark.createDataFrame([([1.0], 1.0), ([-1.0], 0.0), ([None], 1.0), (None, 0.0), ([float("nan")], 0.0)], "features array<double>, label double")
+    for loss in ("log", "perceptron", "squared"):
+        out = P.PartialFit(loss, epochs=3).fit(rows).transform(rows)
+        assert [r.prediction is None for r in out.collect()] == [False, False, True, True, True]
