@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablecraft.llm import text as T
 from tablecraft.llm.columns import kind
+from tablecraft.llm.storage import cut, most_frequent
 
 #: Bytes of keys. Candidates are maximal runs of at least MIN_LENGTH of them with a digit, without letters or with a capital after a small
 #: letter; runs of any content and length behind a known start; key headers; and values of any signs, of at least MIN_NAMED bytes, that a
@@ -84,9 +85,9 @@ def learn_language(docs: DataFrame) -> Language:
         keys = [b"\x00" + str(i).encode() for i in range(len(pairs))]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(pairs)], ["w", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = cut(docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
     is_pair = F.substring("w", 1, 1) == F.lit(bytearray(b"\x00"))
-    got = counts.orderBy(F.desc(is_pair), F.desc("n"), "w").limit(N_CODES**2 + DICTIONARY).collect()  # both parts of fixed size
+    got = counts.where(is_pair).union(most_frequent(counts.where(~is_pair), DICTIONARY, "w", ordered=True)).collect()  # both parts of fixed size
     table, words = np.ones((N_CODES, N_CODES)), set()
     for r in got:
         w = bytes(r["w"])

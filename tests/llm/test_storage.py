@@ -27,3 +27,11 @@ def test_selection_does_not_follow_the_partitions(spark):
     counts = spark.range(5_000).select(F.col("id").alias("h"), (F.col("id") % 7 + 1).alias("n"))
     a, b = (sorted(r.h for r in most_frequent(counts.repartition(p), 1_000, "h").collect()) for p in (1, 13))
     assert a == b
+
+
+def test_ordered_ties_are_cut_by_count_and_key(spark):
+    rows = [(int(5 + i % 3 if i < 300 else 90_000 + i), f"w{i * 7919 % 1000:03}") for i in range(310)]
+    counts = spark.createDataFrame(rows, "n long, w string").repartition(9)
+    for limit in (0, 1, 4, 10, 57, 110, 309, 310, 900):
+        want = sorted(rows, key=lambda r: (-r[0], r[1]))[:limit]
+        assert sorted((r.n, r.w) for r in most_frequent(counts, limit, "w", ordered=True).collect()) == sorted(want)
