@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecraft.functions.columns import col, number, present
+from tablecraft.functions.columns import col, is_floating, number, present
 from tablecraft.settings import SETTINGS
 
 Metric = Callable[[Column], Column]
@@ -295,18 +295,49 @@ def value_summary(counts: DataFrame) -> DataFrame:
     )
 
 
+def value_hash(df: DataFrame, name: str, *seed: int) -> Column:
+    """64 bits of a present value of any type; zeros of both signs are one value."""
+    x = present(df, name)
+    x = x + F.lit(0.0) if is_floating(df.schema[name].dataType) else x
+    return F.when(x.isNotNull(), F.xxhash64(*[F.lit(s) for s in seed], x))
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, n_unique): exact counts over any types, grouped in parallel by value."""
-    parts = []
-    for chunk in chunks(cols, SETTINGS.columns_per_job):
-        row = df.select(*[present(df, c).alias(f"x{i}") for i, c in enumerate(chunk)]).agg(
-            *[F.count_distinct(f"x{i}").alias(f"d{i}") for i in range(len(chunk))]
-        )
-        structs = [
-            F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_unique")) for i, c in enumerate(chunk)
-        ]
-        parts.append(row.select(F.inline(F.array(*structs))))
-    return union_all(parts)
+    """(column, n_unique): exact counts over any types. Cells are grouped by 128 bits of their hash, so no value is shuffled or kept,
+    however long, and each task sends a different value once."""
+    hashes = [h for i, c in enumerate(cols) for h in (value_hash(df, c).alias(f"a{i}"), value_hash(df, c, 1).alias(f"b{i}"))]
+    cells = [e for i in range(len(cols)) for e in (F.lit(i), F.col(f"a{i}"), F.col(f"b{i}"))]
+    listed = df.sparkSession.createDataFrame(list(enumerate(cols)), "position int, column string")
+    if not cols:
+        return listed.select("column", F.lit(0).cast("bigint").alias("n_unique"))
+    long = df.select(*hashes).select(F.stack(F.lit(len(cols)), *cells).alias("position", "a", "b")).where("a IS NOT NULL")
+    counts = long.distinct().groupBy("position").agg(F.count("*").alias("n"))
+    return listed.join(counts, "position", "left").select("column", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_unique"))
+
+
+def distinct_floors(df: DataFrame, cols: Sequence[str], up_to: int) -> dict[str, int]:
+    """A number of distinct values that each column certainly reaches: how many of at least 2 * up_to buckets its hashes fall into.
+
+    A task sends some bits for a column, whatever the values, so columns of many values are told in one pass without a shuffle of them."""
+    words = min(64, -(-2 * up_to // 64))
+    bucket = F.pmod(F.col("x"), F.lit(64 * words))
+
+    def bits(w: int) -> Metric:
+        here = F.when(F.floor(bucket / 64) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bucket, F.lit(64)).cast("int")))
+        return lambda x: F.bit_or(here)
+
+    seen = scalars(df, cols, {f"w{w}": bits(w) for w in range(words)}, value_hash)
+    return {c: sum(((seen[c][f"w{w}"] or 0) & (2**64 - 1)).bit_count() for w in range(words)) for c in cols}
+
+
+def few_valued(df: DataFrame, cols: Sequence[str], threshold: int) -> dict[str, int]:
+    """The columns with fewer distinct values than the threshold, with that number; values of columns that surely have more aren't counted."""
+    floors = distinct_floors(df, cols, threshold)
+    open_cols = [c for c in cols if floors[c] < threshold]
+    if not open_cols:
+        return {}
+    seen = {r["column"]: r["n_unique"] for r in distinct_counts(df, open_cols).collect()}
+    return {c: seen[c] for c in open_cols if seen[c] < threshold}
 
 
 # --- correlation -------------------------------------------------------------------------------

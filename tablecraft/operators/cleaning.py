@@ -23,7 +23,7 @@ from tablecraft.functions.columns import (
     string_cols,
     strip,
 )
-from tablecraft.functions.statistics import column_stats, quantiles, scalars, value_counts, value_summary
+from tablecraft.functions.statistics import column_stats, few_valued, quantiles, scalars, value_counts, value_summary
 from tablecraft.settings import SETTINGS
 
 DATE_PARTS = ("year", "month", "day", "dayofweek", "hour")
@@ -183,8 +183,7 @@ def category_columns(df: DataFrame, threshold: int = SETTINGS.categorical_thresh
     text = string_cols(df)
     if not text:
         return {}
-    seen = {r["column"]: r["n_unique"] for r in value_summary(value_counts(df, text)).collect()}
-    return {c: seen.get(c, 0) for c in text if seen.get(c, 0) < threshold}
+    return few_valued(df, text, threshold)
 
 
 # --- everything together -----------------------------------------------------------------------
@@ -284,8 +283,7 @@ class Cleaner:
         text = [c for c in rest if c in text]
         clean = strip_whitespace(df.select(*[col(c) for c in rest])) if rest else df
         fills: dict[str, object] = median_fills(clean, [c for c in rest if c in numbers and gaps[c]])
-        counted = text if self.narrow else [c for c in text if gaps[c]]
-        seen = {}
+        counted, seen = [c for c in text if gaps[c]], {}
         if counted:
             seen = {r["column"]: r for r in value_summary(value_counts(clean, counted)).collect()}
         for c in text:
@@ -296,9 +294,9 @@ class Cleaner:
             {c: fills[c] for c in rest if c in fills}, threshold=self.null_threshold,
         )
         if self.narrow:
-            plan.categories = [
-                c for c in text if (seen[c]["n_unique"] if c in seen else 1) < SETTINGS.categorical_threshold
-            ]
+            few = few_valued(clean, [c for c in text if not gaps[c]], SETTINGS.categorical_threshold)
+            few |= {c: seen[c]["n_unique"] if c in seen else 1 for c in counted}  # without any value, the filling is the only one
+            plan.categories = [c for c in text if few.get(c, SETTINGS.categorical_threshold) < SETTINGS.categorical_threshold]
             plan.casts = self._casts(clean, plan, rest)
         return plan
 
