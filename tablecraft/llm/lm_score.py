@@ -20,8 +20,8 @@ PARTS, HELD = 7, 2
 HOT_WORDS = 200_000
 #: Passages of all training texts that the network's weights start from, at most, and their characters; steps, windows a step.
 SAMPLE, PASSAGE, STEPS, BATCH = 1_600, 2_000, 400, 48
-#: Then one of SHARE chunks of ROW windows of the whole corpus trains copies of the network, a copy for about GROUP chunks; rate of a step.
-SHARE, ROW, GROUP, RATE = 8, 10, 2_000, 0.01
+#: Then all chunks of ROW windows of the whole corpus train copies of the network, a copy for about GROUP chunks; rate of a step.
+ROW, GROUP, RATE = 10, 16_000, 0.01
 #: Frequent subwords that tell classes apart as neighbours, counted over all training texts; subwords of a block of rows that travel together.
 MARKS, BLOCK = 128, 1 << 10
 #: Context window; a later window repeats OVERLAP positions as context and scores the rest.
@@ -111,34 +111,52 @@ class Attention:
         return self
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-        p = self.p
-        x, q, k, v, a, o, h = self.forward(ids)
-        z = h @ p["out"] + p["bias"]
-        z -= z.max(2, keepdims=True)
-        soft = np.exp(z)
-        soft /= soft.sum(2, keepdims=True)
-        b, n = np.indices(target.shape)
-        scale = weight / max(weight.sum(), 1)
-        loss = float(-(np.log(soft[b, n, target] + 1e-12) * scale).sum())
-        dz = soft
-        dz[b, n, target] -= 1
-        dz *= scale[..., None].astype(np.float32)
+        """Loss and gradients of the network of `forward`, in fewer passes: the three projections are one product, exponentials are safe
+        within +-60, and what the softmax of the attention takes off is a product of its outputs."""
+        p, n, kind = self.p, ids.shape[1], self.p["q"].dtype
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        dh = dz @ p["out"].T
-        do = dh @ p["o"].T
-        da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        embed = np.zeros_like(p["embed"])
-        np.add.at(embed, ids, dx)
+        small = kind.type(WIDTH**-0.5)
+        joined = np.concatenate([p["q"] * small, p["k"], p["v"]], axis=1)
+        x = p["embed"].take(ids, axis=0)
+        x += p["place"][:n]
+        mixed = (flat(x) @ joined).reshape(*ids.shape, -1)
+        q, k, v = mixed[..., :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH :]
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -60, 60, out=a)
+        np.exp(a, out=a)
+        a *= np.tril(np.ones((n, n), kind))
+        share = 1 / (a @ np.ones((n, 1), kind))
+        o = a @ v
+        o *= share
+        h = flat(x) + flat(o) @ p["o"]
+        soft = h @ p["out"]
+        soft += p["bias"]
+        np.clip(soft, -60, 60, out=soft)
+        scale = (weight / max(weight.sum(), 1)).astype(kind).ravel()
+        at = np.arange(len(soft)), target.ravel()
+        picked = soft[at]
+        np.exp(soft, out=soft)
+        total = soft @ np.ones(CLASSES, kind)
+        loss = float(((np.log(total) - picked) * scale).sum())
+        soft *= (scale / total)[:, None]
+        soft[at] -= scale
+        dh = soft @ p["out"].T
+        do = (dh @ p["o"].T).reshape(x.shape)
+        do *= share
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bnw,bnw->bn", do, o)[..., None]
+        ds *= a
+        dmixed = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2)
+        dx = dh + flat(dmixed) @ joined.T
         place = np.zeros_like(p["place"])
-        place[: ids.shape[1]] = dx.sum(0)
-        xf = flat(x)
+        place[:n] = dx.reshape(x.shape).sum(0)
+        read, order = ids.ravel(), np.argsort(ids, axis=None, kind="stable")
+        first = np.flatnonzero(np.r_[True, read[order[1:]] != read[order[:-1]]])
+        embed = np.zeros_like(p["embed"])
+        embed[read[order[first]]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+        dq, dk, dv = np.split(flat(x).T @ flat(dmixed), 3, axis=1)
         return loss, {
-            "embed": embed, "place": place, "q": xf.T @ flat(dq), "k": xf.T @ flat(dk), "v": xf.T @ flat(dv), "o": flat(o).T @ flat(dh),
-            "out": flat(h).T @ flat(dz), "bias": flat(dz).sum(0),
+            "embed": embed, "place": place, "q": dq * small, "k": dk, "v": dv, "o": flat(o).T @ dh, "out": h.T @ soft, "bias": soft.sum(0),
         }
 
 
@@ -227,10 +245,11 @@ def windows_of(chunks: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarr
         steps = len(c) - 1
         rows = -(-steps // LENGTH)
         pad = rows * LENGTH - steps
-        ids.append(np.r_[c[:-1], np.full(pad, end)].reshape(rows, LENGTH))
-        following.append(np.r_[c[1:], np.full(pad, end)].reshape(rows, LENGTH))
-        weight.append(np.r_[np.ones(steps), np.zeros(pad)].reshape(rows, LENGTH))
-    return np.concatenate(ids).astype(np.int64), np.concatenate(following).astype(np.int64), np.concatenate(weight)
+        filled = np.full(pad, end, np.int32)
+        ids.append(np.concatenate([c[:-1], filled], dtype=np.int32).reshape(rows, LENGTH))
+        following.append(np.concatenate([c[1:], filled], dtype=np.int32).reshape(rows, LENGTH))
+        weight.append((np.arange(rows * LENGTH) < steps).astype(np.float32).reshape(rows, LENGTH))
+    return np.concatenate(ids), np.concatenate(following), np.concatenate(weight)
 
 
 def refined(model: Attention, chunks: list[np.ndarray], vocabulary: int, seed: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -250,9 +269,13 @@ def refined(model: Attention, chunks: list[np.ndarray], vocabulary: int, seed: i
         rate = RATE * min(1, step / 20) * (1 - 0.9 * step / steps)
         for name, d in g.items():
             on = rows if name == "embed" else slice(None)
-            first[name][on] += 0.1 * (d - first[name][on])
-            second[name][on] += 0.01 * (d * d - second[name][on])
-            p[name][on] -= (rate * (first[name][on] / (1 - 0.9**step)) / (np.sqrt(second[name][on] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+            mean, square = first[name][on] * np.float32(0.9), second[name][on] * np.float32(0.99)
+            mean += np.float32(0.1) * d
+            square += np.float32(0.01) * d * d
+            first[name][on], second[name][on] = mean, square
+            root = np.sqrt(square / np.float32(1 - 0.99**step))
+            root += np.float32(1e-7)
+            p[name][on] -= np.float32(rate / (1 - 0.9**step)) * mean / root
     return p, np.bincount(ids[weight > 0], minlength=vocabulary)
 
 
@@ -401,32 +424,31 @@ def corpus_classes(codes: DataFrame, count: np.ndarray) -> np.ndarray:
 
 
 def corpus_training(model: Attention, codes: DataFrame, vocabulary: int) -> Attention:
-    """Trains copies of the network on one of SHARE chunks of all training texts, and averages the copies in Spark.
+    """Trains copies of the network on all chunks of all training texts, and averages the copies in Spark.
 
-    Chunks go to groups by their hash, so neither the share nor the copies depend on how rows are partitioned; the groups, and with them
-    the copies, grow with the corpus. A subword's row is averaged by how often the copies read it, all other weights by the subwords read.
+    Chunks go to groups by their hash, so the copies do not depend on how rows are partitioned; the groups, and with them the copies,
+    grow with the corpus. A subword's row is averaged by how often the copies read it, all other weights by the subwords read.
     """
     size, end = ROW * LENGTH, vocabulary - 1
     n_chunks = codes.agg(F.sum(F.ceil((F.col("n") + 1) / size))).first()[0]
     if not n_chunks:
         return model
-    groups = max(1, -(-int(n_chunks) // (SHARE * GROUP)))
+    groups = max(1, -(-int(n_chunks) // GROUP))
     kind = np.uint16 if vocabulary <= 1 << 16 else np.int32
     shared = codes.sparkSession.sparkContext.broadcast(model)
     rest = [k for k in model.p if k != "embed"]
 
-    def chosen(batches):
+    def dealt(batches):
+        mark = np.array([end], kind)
         for batch in batches:
-            got = []
-            for key, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(b, kind)
-                h = T.mix(np.uint64(key % 2**64) + np.arange(-(-(len(ids) + 1) // size), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                for i in np.flatnonzero(h % np.uint64(SHARE) == 0).tolist():
-                    chunk = ids[max(0, i * size - 1) : (i + 1) * size]
-                    chunk = np.r_[[end] if i == 0 else [], chunk, [end] if (i + 1) * size > len(ids) else []].astype(kind)
-                    got.append((int(h[i] // np.uint64(SHARE) % np.uint64(groups)), int(h[i] >> np.uint64(1)), chunk.tobytes()))
-            columns = zip(*got) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["group", "h", "ids"])
+            for lo in range(0, batch.num_rows, 256):
+                part, got = batch.slice(lo, 256), []
+                for key, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    flow = np.concatenate([mark, np.frombuffer(b, kind), mark])
+                    h = T.mix(np.uint64(key % 2**64) + np.arange(-(-(len(flow) - 1) // size), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    got += [(int(x % np.uint64(groups)), int(x >> np.uint64(1)), flow[i * size : (i + 1) * size + 1].tobytes()) for i, x in enumerate(h)]
+                columns = zip(*got)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["group", "h", "ids"])
 
     def learn(key, table):
         table = table.sort_by([("h", "ascending"), ("ids", "ascending")])
@@ -455,7 +477,7 @@ def corpus_training(model: Attention, codes: DataFrame, vocabulary: int) -> Atte
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([(kept + first).tobytes()], pa.binary()), "change": pa.array([change.tobytes()], pa.binary())})
 
     model_sizes = [model.p[k].size for k in rest]
-    chunks = codes.select("key", "ids").mapInArrow(chosen, "group long, h long, ids binary")
+    chunks = codes.select("key", "ids").mapInArrow(dealt, "group long, h long, ids binary")
     changes = chunks.groupBy("group").applyInArrow(learn, "block long, group long, rows binary, read binary, change binary")
     got = changes.groupBy("block").applyInArrow(average, "block long, rows binary, change binary").collect()  # one network
     p = {k: v.copy() for k, v in model.p.items()}
@@ -504,9 +526,9 @@ def score_texts(docs: DataFrame, vocabulary_path: str | None = None, parts: int
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of `docs` (doc_id, text, ...).
 
     Word counts, subword frequencies and the classes of subwords come from all training rows. The network's weights start from at most
-    `sample` passages of them, those with the smallest hash, and are then trained on one of SHARE chunks of all training rows. A missing or
-    empty text is its end alone. Rows that repeat doc_id and text get equal results each; a row without doc_id trains. With no training
-    rows all counts are 0 and the network is untrained, but scores are finite. Other columns of `docs` are not read.
+    `sample` passages of them, those with the smallest hash, and are then trained on all training rows. A missing or empty text is its end
+    alone. Rows that repeat doc_id and text get equal results each; a row without doc_id trains. With no training rows all counts are 0
+    and the network is untrained, but scores are finite. Other columns of `docs` are not read.
     """
     path = vocabulary_path or default_vocabulary()
     encode, size = encoder(path)

@@ -351,6 +351,19 @@ def test_context_model_learns_from_all_training_texts(spark, frame):
     assert Counter(zip(ids[weight > 0], following[weight > 0])) == Counter([(i, i + 1) for i in range(99)] + [(0, 1), (1, 2)])
 
 
+def test_context_model_trains_on_every_chunk(frame):
+    # Each text has subwords of its own, at its start, in a later chunk and at its end: all of them must have moved.
+    encode, size = lm_score.encoder(lm_score.default_vocabulary())
+    many = lm_score.ROW * lm_score.LENGTH
+    rows = [(i, " ".join([f"{i}", *["sun"] * many, f"{i + 100}", *["sun"] * (many if i % 2 else 3), f"{i + 200}"])) for i in range(40)]
+    codes = lm_score.cut(lm_score.coded(frame(rows), lm_score.default_vocabulary(), size + 1))
+    start = lm_score.train([encode("sun sun sun sun")], size + 1, steps=2, class_of=np.arange(size + 1) % lm_score.CLASSES)
+    model = lm_score.corpus_training(start, codes, size + 1)
+    read = np.unique(np.concatenate([encode(t) for _, t in rows] + [[size]]))
+    assert len(read) > 100
+    assert (np.flatnonzero((model.p["embed"] != start.p["embed"]).any(axis=1)) == read).all()
+
+
 def test_secret_candidates_of_any_content():
     import pyarrow as pa
 
