@@ -70,6 +70,10 @@ def log_density(y: np.ndarray, mu: np.ndarray, dispersion: float, power: float)
     at = at[np.argsort(y[at])]  # rows with like numbers of terms together
     top = np.maximum(1.0, y[at] ** (2 - power) / (dispersion * (2 - power)))
     reach = (9 * np.sqrt(top / (1 + a)) + 12).astype(np.int64)
+    most, known = int(top.max() + reach.max()) if len(at) else 0, None
+    if most <= min(CELLS, (2 * reach + 1).sum()):  # fewer numbers than terms: what depends on the number alone is worked out once for each
+        number = np.arange(1.0, most + 1)
+        known = np.r_[0.0, log_gamma(number + 1) + log_gamma(a * number)]
     start = 0
     while start < len(at):
         size = max(1, min(len(at) - start, CELLS // int(2 * reach[start] + 1)))
@@ -79,7 +83,8 @@ def log_density(y: np.ndarray, mu: np.ndarray, dispersion: float, power: float)
         j = np.floor(top[start : start + size])[:, None] + np.arange(-r, r + 1)[None, :]
         kept = np.where(j >= 1, j, 1.0)
         base = a * np.log(y[rows]) - a * np.log(power - 1) - (1 + a) * np.log(dispersion) - np.log(2 - power)
-        terms = np.where(j >= 1, kept * base[:, None] - log_gamma(kept + 1) - log_gamma(a * kept), -np.inf)
+        fixed = log_gamma(kept + 1) + log_gamma(a * kept) if known is None else known[kept.astype(np.int64)]
+        terms = np.where(j >= 1, kept * base[:, None] - fixed, -np.inf)
         most = terms.max(1)
         total = most + np.log(np.exp(terms - most[:, None]).sum(1))
         out[rows] += total - np.log(y[rows]) + y[rows] * mu[rows] ** (1 - power) / ((1 - power) * dispersion)
@@ -114,7 +119,7 @@ def power_profile(rows: DataFrame, powers=POWERS) -> DataFrame:
     if not powers or min(powers) <= 1 or max(powers) >= 2:
         raise ValueError("powers must lie between 1 and 2")
     rows = rows.select("features", F.col("label").cast("double").alias("label")).where("label IS NOT NULL AND NOT isnan(label)")
-    rows = rows.persist()
+    rows = rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism).persist()  # few bytes, much work: a part for every core
     try:
         seen = rows.agg(F.min("label").alias("least"), F.max("label").alias("most")).first()
         if seen["least"] is None or seen["least"] < 0 or seen["most"] <= 0:

@@ -118,3 +118,14 @@ def test_new_models_are_trained_from_the_catalogue(spark, name):
     done = training.train(name, parts, task, ["a", "b"], history=False)
     seen = done.predictions.agg(F.count("prediction").alias("n"), F.corr("prediction", "label").alias("r")).first()
     assert seen["n"] > 50 and (classes or seen["r"] > 0.9)
+
+
+def test_density_works_out_what_depends_on_the_number_of_amounts_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    y, mu = np.where(rng.random(5000) < 0.2, 0.0, rng.gamma(2, 4, 5000)), rng.uniform(1, 9, 5000)
+    seen, plain = [], deviance.log_gamma
+    monkeypatch.setattr(deviance, "log_gamma", lambda x: seen.append(x.size) or plain(x))
+    fast = deviance.log_density(y, mu, 1.3, 1.4)
+    assert sum(seen) < 5000  # not once for each of some 25 terms or more of each row
+    monkeypatch.setattr(deviance, "CELLS", 60)  # the table does not fit: each term by itself
+    assert np.allclose(deviance.log_density(y[:300], mu[:300], 1.3, 1.4), fast[:300], rtol=1e-12, atol=1e-12)
