@@ -185,3 +185,21 @@ def test_undo_and_reset_wind_the_lineage_count_back(spark):
     assert session.undo() and session._since_cut == 2
     session.reset()
     assert session._since_cut == 0 and session.current is session.original
+
+
+@pytest.mark.parametrize("scale, shift", [(1, 0), (1, 1e6), (1e-20, 0), (1e20, 0), (1e100, 0), (0, 3)])
+@pytest.mark.parametrize("copies", [1, 200])
+def test_neighbours_screened_in_single_precision_are_exact(scale, shift, copies):
+    """Near ties that single precision cannot tell apart, sizes that it cannot hold, and many equal rows."""
+    rng = np.random.default_rng(5)
+    b = np.repeat(rng.normal(size=(4, 8)), 60, axis=0) + rng.normal(size=(240, 8)) * 1e-6
+    b[-copies:] = b[-1]
+    a, b = np.r_[b[:40], rng.normal(size=(20, 8))] * scale + shift, b * scale + shift
+    pair = neighbors.single_distances(a, b)
+    assert (pair is None) == (scale != 1)
+    if pair is not None:
+        assert np.abs(pair[0] - ((a[:, None] - b[None]) ** 2).sum(-1)).max() <= pair[1]
+    want = np.round(((a[:, None] - b[None]) ** 2).sum(-1), 10)
+    i, j, _ = neighbors.nearest_exact(a, b, 7)
+    assert j.reshape(len(a), 7).tolist() == np.argsort(want, axis=1, kind="stable")[:, :7].tolist()
+    assert i.tolist() == np.repeat(np.arange(len(a)), 7).tolist()
