@@ -19,6 +19,9 @@ U = np.uint64
 SHINGLE, PERCENT = 5, 80
 #: Groups of shingles whose counts make a point, in trees and (about one for two shingles, at most) for single pairs.
 GROUPS, FINE_GROUPS = 128, 16_384
+#: Fewest and most bits beside a set's counts, in between the next power of two to its size; each tells whether an odd number of its shingles
+#: falls on it.
+PARITIES = 256, 16_384
 #: Leading bits of a shingle's hash that make the buckets which tell frequent shingles from others.
 BUCKET_BITS = 18
 #: Members of a cell that one tree holds; entries of a leaf, and members of a cell up to which it is one leaf; partners that a member of a
@@ -68,6 +71,48 @@ def points(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=rows * GROUPS), FULL).astype(np.uint8).reshape(rows, GROUPS)
 
 
+def parities(g: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each row and bit whether an odd number of the row's shingles falls on it."""
+    size = np.diff(bounds)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), *PARITIES)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(size)), size)
+    odd = np.bincount(at[row] + ((g >> U(20)).astype(np.int64) & (bits[row] - 1)), minlength=at[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[s:e] for s, e in zip((at[:-1] // 8).tolist(), (at[1:] // 8).tolist())]
+
+
+class Parities:
+    """Parities of points (counts, then parities), those of one width together; a point of counts alone has none, which bounds nothing."""
+
+    def __init__(self, point):
+        self.width = np.array([(len(p) - GROUPS) // 8 for p in point], np.int64)
+        self.place, self.words = np.zeros(len(self.width), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self.place[rows] = np.arange(len(rows))
+            self.words[w] = np.frombuffer(b"".join([point[r][GROUPS:] for r in rows]), U).reshape(len(rows), w)
+
+    def of(self, rows, width: int, folded: int) -> np.ndarray:
+        """Rows of one width, folded to a smaller one."""
+        words = self.words[width][self.place[rows]]
+        while words.shape[-1] > folded:
+            half = words.shape[-1] // 2
+            words = words[..., :half] ^ words[..., half:]
+        return words
+
+    def differing(self, rows: np.ndarray, other: Parities, others) -> np.ndarray:
+        """In how many bits rows differ from rows (or one row) of another: each has at least one shingle that only one of two sets has."""
+        out = np.zeros(len(rows), np.int64)
+        a, b = self.width[rows], np.broadcast_to(other.width[others], len(rows))
+        for v, w in {*zip(a.tolist(), b.tolist())}:
+            some = np.flatnonzero((a == v) & (b == w))
+            theirs = others[some] if np.ndim(others) else others
+            low = min(v, w)
+            out[some] = np.bitwise_count(self.of(rows[some], v, low) ^ other.of(theirs, w, low)).sum(-1, dtype=np.int64)
+        return out
+
+
 def fine_point(g: np.ndarray) -> np.ndarray:
     """Counts of one set by as many groups, a power of two, as keep unrelated sets of its size apart."""
     groups = min(FINE_GROUPS, max(GROUPS, 1 << int(len(g) // 2).bit_length()))
@@ -96,8 +141,9 @@ def do_share(x: bytes, y: bytes) -> bool:
     return bool(enough(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()), len(p), len(q)))
 
 
-def binaries(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+def stacked(point) -> np.ndarray:
+    """The counts of points."""
+    return np.frombuffer(b"".join([p[:GROUPS] for p in point]), np.uint8).reshape(len(point), GROUPS)
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,12 +157,17 @@ def enough(common, size_a, size_b, percent: int = PERCENT):
     return (100 + percent) * common >= percent * (size_a + size_b)
 
 
+def few_apart(differing, size_a, size_b):
+    """Whether sets whose parities differ in so many bits may share enough."""
+    return enough((size_a + size_b - differing) // 2, size_a, size_b)
+
+
 class Tree:
     """An R-tree over the points of one cell, packed in the order of size: a leaf keeps the largest coordinates and the sizes it spans,
-    and a branch those of its leaves."""
+    and a branch those of its leaves. Parities, which have no order, bound the pairs that are left."""
 
-    def __init__(self, point: np.ndarray, size: np.ndarray):
-        self.point, self.size = point, size
+    def __init__(self, point: np.ndarray, size: np.ndarray, odd: Parities | None = None):
+        self.point, self.size, self.odd = point, size, odd
         self.levels = []
         top, low = point, size
         while len(top) > LEAF:
@@ -126,10 +177,11 @@ class Tree:
 
     def partners(self, i: int) -> np.ndarray:
         """Members that can share enough with member i, itself included."""
-        return self.partners_of(self.point[i], self.size[i])
+        return self.partners_of(self.point[i], self.size[i], self.odd, i)
 
-    def partners_of(self, me: np.ndarray, mine: int) -> np.ndarray:
-        """Members that can share enough with a set. Whole branches fall when the sum of smaller coordinates is too small."""
+    def partners_of(self, me: np.ndarray, mine: int, odd: Parities | None = None, row: int = 0) -> np.ndarray:
+        """Members that can share enough with a set, whose parities are a row of `odd`. Whole branches fall when the sum of smaller
+        coordinates is too small."""
         found = None
         for top, low in reversed(self.levels):
             at = np.arange(len(top)) if found is None else (found[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -138,7 +190,10 @@ class Tree:
         at = np.arange(len(self.point)) if found is None else (found[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = at[at < len(self.point)]
         at = at[100 * np.minimum(self.size[at], mine) >= PERCENT * np.maximum(self.size[at], mine)]
-        return at[enough(overlap_bound(self.point[at], me), self.size[at], mine)]
+        at = at[enough(overlap_bound(self.point[at], me), self.size[at], mine)]
+        if odd is None or self.odd is None or not len(at):
+            return at
+        return at[few_apart(self.odd.differing(at, odd, row), self.size[at], mine)]
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
@@ -170,7 +225,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             for i, j, g, bounds in shingle_sets(batch.column(1)):
                 size = np.diff(bounds)
                 own = [batch.column(c).slice(i, j - i) for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(fingerprints(g, bounds), mask=size == 0), pa.array(size), binaries(points(g, bounds))], ["doc_id", "th", "node", "size", "point"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(fingerprints(g, bounds), mask=size == 0), pa.array(size), pa.array([c.tobytes() + o for c, o in zip(points(g, bounds), parities(g, bounds))], pa.binary())], ["doc_id", "th", "node", "size", "point"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(work, f"doc_id {kind(docs)}, th long, node long, size long, point binary")
 
@@ -235,7 +290,8 @@ def sorted_cells(batches, columns: int) -> Iterator[tuple[list[np.ndarray], bool
 
 def shared_cells(keyed: DataFrame) -> DataFrame:
     """Rows of keys that at least two different sets have, but for members with no other of near size. Sorted by Spark and read in order:
-    no key is collected."""
+    no key is collected. A cell of less than BLOCK members is named by them, so cells of the same members, as a common passage makes many,
+    are one; their rows come more than once."""
 
     def work(batches):
         tail = None
@@ -259,7 +315,14 @@ def shared_cells(keyed: DataFrame) -> DataFrame:
             if key[0] == key[1] and node[0] != node[1] and 100 * int(size[0]) >= PERCENT * int(size[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(c[1:]) for c in (key, node, size)], ["key", "node", "size"])
 
-    return keyed.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(work, "key long, node long, size int")
+    def named(batches):
+        for (key, node, size), whole in sorted_cells(work(batches), 3):
+            if whole is not False:
+                edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+                key = np.repeat(fingerprints(node.view(U), edges), np.diff(edges))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, node, size)], ["key", "node", "size"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(named, "key long, node long, size int")
 
 
 def first_pairs(cells: DataFrame) -> DataFrame:
@@ -271,17 +334,19 @@ def first_pairs(cells: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(key), pa.nulls(len(x), pa.int64())], ["a", "b", "cell", "open"])
 
     def leaves(key, node, size, point):
+        counts, odd = stacked(point), Parities(point)
         for step in range(1, LEAF):
             at = np.flatnonzero(key[step:] == key[:-step])
             if not len(at):
                 return
             at = at[100 * size[at] >= PERCENT * size[at + step]]  # sizes ascend within a cell
-            at = at[enough(overlap_bound(point[at], point[at + step]), size[at], size[at + step])]
+            at = at[enough(overlap_bound(counts[at], counts[at + step]), size[at], size[at + step])]
+            at = at[few_apart(odd.differing(at, odd, at + step), size[at], size[at + step])]
             if len(at):
                 yield pairs(node[at], node[at + step], key[at])
 
     def grown(key, node, size, point, whole):
-        tree, a, b, more = Tree(point, size), [], [], not whole
+        tree, a, b, more = Tree(stacked(point), size, Parities(point)), [], [], not whole
         for i in range(len(node)):
             others = tree.partners(i)
             others = others[others != i]
@@ -296,12 +361,9 @@ def first_pairs(cells: DataFrame) -> DataFrame:
         if more:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(key[:1]), pa.array(key[:1])], ["a", "b", "cell", "open"])
 
-    def stacked(point):
-        return np.frombuffer(b"".join(point), np.uint8).reshape(len(point), GROUPS)
-
     def work(batches):
         for (key, node, size, point), whole in sorted_cells(batches, 4):
-            size, point = size.astype(np.int64), stacked(point)
+            size = size.astype(np.int64)
             yield from leaves(key, node, size, point) if whole is None else grown(key, node, size, point, whole)
 
     return cells.select("key", "node", "size", "point").repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(work, "a long, b long, cell long, open long")
@@ -334,8 +396,9 @@ def pairs_apart(members: DataFrame) -> DataFrame:
                 return
             nodes, roots = held[0], held[3]
             a, b, n = [], [], 0
+            counts, odd = stacked(point), Parities(point)
             for i in range(len(node)):
-                found = tree.partners_of(point[i], size[i])
+                found = tree.partners_of(counts[i], size[i], odd, i)
                 found = found[roots[found] != root[i]]
                 a.append(np.full(len(found), node[i]))
                 b.append(nodes[found])
@@ -350,7 +413,7 @@ def pairs_apart(members: DataFrame) -> DataFrame:
             """The members of a piece are complete: its tree, and what its own members ask."""
             nonlocal tree, held
             held = [np.concatenate(c) for c in zip(*held)]
-            tree = Tree(held[2], held[1])
+            tree = Tree(stacked(held[2]), held[1], Parities(held[2]))
             asks = held[4]
             yield from answers(*(c[asks] for c in held[:4]))
 
@@ -358,7 +421,7 @@ def pairs_apart(members: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             key, piece, guest, node, size, root, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 3, 4, 6, 7))
-            point = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(key), GROUPS)
+            point = batch.column(5).to_numpy(zero_copy_only=False)
             size = size.astype(np.int64)
             edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (piece[1:] != piece[:-1]) | (guest[1:] != guest[:-1]), True])
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -469,7 +532,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     sets = per_row.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("component"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("size").cast("int").alias("size"), F.first("point").alias("point"))
     sets = cut(sets.select("node", "component", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "size", "point"))
-    cells = shared_cells(prefixes(docs, level))
+    cells = shared_cells(prefixes(docs, level)).repartition("node").dropDuplicates(["key", "node"])
     cells = cells.join(sets.select("node", "point"), "node").select("key", "node", "size", "point").persist(StorageLevel.DISK_ONLY)
     found = cut(first_pairs(cells).groupBy("a", "b", "open").agg(F.min("cell").alias("cell")))
     tested = found.where("open IS NULL").select("a", "b", "cell")

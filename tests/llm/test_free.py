@@ -134,6 +134,40 @@ def test_tree_finds_all_partners():
         assert tree.partners(i).tolist() == want.tolist()
 
 
+def test_parities_bound_what_sets_differ_in():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 9_000).astype(np.uint64)
+    sets = [np.unique(np.r_[base[lo : lo + n], rng.integers(0, 1 << 63, own).astype(np.uint64)]) for lo, n, own in ((0, 500, 9), (0, 520, 0), (300, 900, 150), (0, 1100, 0), (0, 8990, 30), (2, 8998, 0), (0, 1, 0))]
+    sets.append(np.zeros(0, np.uint64))
+    g, bounds = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    point = [bytes(jaccard_join.GROUPS) + p for p in jaccard_join.parities(g, bounds)]
+    odd, rows = jaccard_join.Parities(point), np.arange(len(sets))
+    for i, a in enumerate(sets):
+        apart = odd.differing(rows, odd, i)
+        assert apart.tolist() == odd.differing(np.full(len(sets), i), odd, rows).tolist()
+        assert all(n <= len(np.setxor1d(a, b)) for n, b in zip(apart.tolist(), sets)) and apart[i] == 0
+    assert odd.differing(rows, jaccard_join.Parities([bytes(jaccard_join.GROUPS)]), 0).tolist() == [0] * len(sets)  # a point of counts alone
+
+
+def test_unrelated_long_texts_make_no_pairs(spark, frame):
+    """In texts of thousands of shingles the counts of 128 groups look alike."""
+    rng = np.random.default_rng(6)
+    docs = frame([(i, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 4_000))) for i in range(30)])
+    cell = jaccard_join.profiles(docs).selectExpr("1L AS key", "node", "CAST(size AS int) AS size", "point")
+    assert jaccard_join.first_pairs(cell).where("a IS NOT NULL").count() == 0
+
+
+def test_a_common_passage_makes_one_cell(spark, frame):
+    rng = np.random.default_rng(7)
+    passage = [f"p{i}" for i in range(40)]
+    docs = frame([(i, " ".join([*(f"w{x}" for x in rng.integers(0, 1 << 40, 6)), *passage])) for i in range(3)])
+    cells = jaccard_join.shared_cells(jaccard_join.prefixes(docs, np.zeros(1 << jaccard_join.BUCKET_BITS, np.uint8))).collect()
+    members = {}
+    for r in cells:
+        members.setdefault(r.key, set()).add(r.node)
+    assert members and len({frozenset(m) for m in members.values()}) == len(members)
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (300, 300), (-5, 100)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
