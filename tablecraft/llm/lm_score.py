@@ -69,6 +69,7 @@ class Attention:
     class_of: np.ndarray
     log_share: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of a subword's share of its class
     joined: np.ndarray | None = None
+    joined_place: np.ndarray | None = None
     seen: np.ndarray | None = None
 
     def forward(self, ids: np.ndarray):
@@ -84,43 +85,57 @@ class Attention:
         o = s @ v
         return x, q, k, v, s, o, x + o @ p["o"]
 
-    def log10_class(self, ids: np.ndarray, position: tuple, target: np.ndarray) -> np.ndarray:
-        """log10 probability of the class `target` after each chosen (window, place). The same network as `forward` in fewer passes: scores
-        are kept within +-60, where exponentials are safe, and sums divide the outputs instead of the weights."""
+    def log10_class(self, ids: np.ndarray, position: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log10 probability of the class `target` after each chosen (window, place). The same network as `forward` in fewer passes: projections
+        are looked up by subword and place, places before the first chosen one ask nothing, exponentials are safe within +-60, and sums
+        divide the outputs instead of the weights."""
         p, n = self.p, ids.shape[1]
-        x = p["embed"][ids]
-        x += p["place"][:n]
-        mixed = x @ self.joined
-        q, k, v = mixed[..., :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH :]
+        first = int(np.argmax(position.any(0)))
+        mixed = self.joined.take(ids, axis=0)
+        mixed += self.joined_place[:n]
+        q, k, v = mixed[:, first:, :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH :]
         s = q @ k.transpose(0, 2, 1)
         np.clip(s, -60, 60, out=s)
         np.exp(s, out=s)
-        s *= self.seen[:n, :n]
-        o = (s @ v)[position] / s.sum(2)[position][:, None]
-        z = (x[position] + o @ p["o"]) @ p["out"]
+        s *= self.seen[first:n, :n]
+        o = s @ v
+        o /= s @ np.ones((n, 1), s.dtype)
+        x = p["embed"].take(ids[:, first:], axis=0)
+        x += p["place"][first:n]
+        chosen = position[:, first:]
+        if not chosen.all():
+            o, x = o[chosen], x[chosen]
+        h = o.reshape(-1, WIDTH) @ p["o"]
+        h += x.reshape(-1, WIDTH)
+        z = h @ p["out"]
         z += p["bias"]
         np.clip(z, -60, 60, out=z)
         picked = z[np.arange(len(z)), target].astype(np.float64)
         np.exp(z, out=z)
-        return (picked - np.log(z.sum(1, dtype=np.float64))) / np.log(10)
+        return (picked - np.log((z @ np.ones(CLASSES, z.dtype)).astype(np.float64))) / np.log(10)
 
     def ready(self) -> "Attention":
-        """Prepares scoring: the three projections side by side, the first scaled, and the mask of what a place may see."""
-        self.joined = np.concatenate([self.p["q"] * np.float32(WIDTH**-0.5), self.p["k"], self.p["v"]], axis=1)
-        self.seen = np.tril(np.ones((LENGTH, LENGTH), np.float32))
+        """Prepares scoring, once: the three projections of every subword and place side by side, the first scaled, and the mask of what a
+        place may see."""
+        if self.joined is None:
+            joined = np.concatenate([self.p["q"] * np.float32(WIDTH**-0.5), self.p["k"], self.p["v"]], axis=1)
+            self.joined, self.joined_place = self.p["embed"] @ joined, self.p["place"] @ joined
+            self.seen = np.tril(np.ones((LENGTH, LENGTH), np.float32))
         return self
 
-    def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, runs: tuple | None = None) -> tuple[float, dict]:
         """Loss and gradients of the network of `forward`, in fewer passes: the three projections are one product, exponentials are safe
-        within +-60, and what the softmax of the attention takes off is a product of its outputs."""
+        within +-60, what the softmax of the attention takes off is a product of its outputs, which is one more column of a product, as are biases. `runs` are the places of `ids` in the order of their subwords and where each subword begins there, if known."""
         p, n, kind = self.p, ids.shape[1], self.p["q"].dtype
         flat = lambda m: m.reshape(-1, m.shape[-1])
         small = kind.type(WIDTH**-0.5)
         joined = np.concatenate([p["q"] * small, p["k"], p["v"]], axis=1)
         x = p["embed"].take(ids, axis=0)
         x += p["place"][:n]
-        mixed = (flat(x) @ joined).reshape(*ids.shape, -1)
-        q, k, v = mixed[..., :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH :]
+        mixed = np.empty((*ids.shape, 3 * WIDTH + 1), kind)
+        mixed[..., -1] = 1
+        np.matmul(flat(x), joined, out=flat(mixed)[:, :-1])
+        q, k, v = mixed[..., :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH : -1]
         a = q @ k.transpose(0, 2, 1)
         np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
@@ -128,9 +143,11 @@ class Attention:
         share = 1 / (a @ np.ones((n, 1), kind))
         o = a @ v
         o *= share
-        h = flat(x) + flat(o) @ p["o"]
-        soft = h @ p["out"]
-        soft += p["bias"]
+        h = np.empty((ids.size, WIDTH + 1), kind)
+        h[:, -1] = 1
+        np.matmul(flat(o), p["o"], out=h[:, :-1])
+        h[:, :-1] += flat(x)
+        soft = h @ np.concatenate([p["out"], p["bias"][None]])
         np.clip(soft, -60, 60, out=soft)
         scale = (weight / max(weight.sum(), 1)).astype(kind).ravel()
         at = np.arange(len(soft)), target.ravel()
@@ -141,38 +158,53 @@ class Attention:
         soft *= (scale / total)[:, None]
         soft[at] -= scale
         dh = soft @ p["out"].T
-        do = (dh @ p["o"].T).reshape(x.shape)
-        do *= share
-        ds = do @ v.transpose(0, 2, 1)
-        ds -= np.einsum("bnw,bnw->bn", do, o)[..., None]
+        do = np.empty((*ids.shape, WIDTH + 1), kind)
+        np.multiply((dh @ p["o"].T).reshape(x.shape), share, out=do[..., :-1])
+        np.einsum("bnw,bnw->bn", do[..., :-1], o, out=do[..., -1])
+        np.negative(do[..., -1], out=do[..., -1])
+        ds = do @ mixed[..., 2 * WIDTH :].transpose(0, 2, 1)
         ds *= a
-        dmixed = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2)
-        dx = dh + flat(dmixed) @ joined.T
+        dmixed = np.empty((*ids.shape, 3 * WIDTH), kind)
+        np.matmul(ds, k, out=dmixed[..., :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dmixed[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), do[..., :-1], out=dmixed[..., 2 * WIDTH :])
+        dx = flat(dmixed) @ joined.T
+        dx += dh
         place = np.zeros_like(p["place"])
         place[:n] = dx.reshape(x.shape).sum(0)
-        read, order = ids.ravel(), np.argsort(ids, axis=None, kind="stable")
-        first = np.flatnonzero(np.r_[True, read[order[1:]] != read[order[:-1]]])
+        order, first = runs or runs_of(ids.ravel())
         embed = np.zeros_like(p["embed"])
-        embed[read[order[first]]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+        embed[ids.ravel()[order[first]]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
         dq, dk, dv = np.split(flat(x).T @ flat(dmixed), 3, axis=1)
+        last = h.T @ soft
         return loss, {
-            "embed": embed, "place": place, "q": dq * small, "k": dk, "v": dv, "o": flat(o).T @ dh, "out": h.T @ soft, "bias": soft.sum(0),
+            "embed": embed, "place": place, "q": dq * small, "k": dk, "v": dv, "o": flat(o).T @ dh, "out": last[:-1], "bias": last[-1],
         }
 
 
+def runs_of(read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of `read` in the order of its values, equal ones as they come, and where in that order each value begins."""
+    order = np.argsort(read, kind="stable")
+    ranked = read[order]
+    return order, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+
+
 def beside(texts: list[np.ndarray], marks: np.ndarray, vocabulary: int, table: np.ndarray | None = None) -> np.ndarray:
     """Adds to a vocabulary x 2 (MARKS + 1) table how often each mark, or another subword, stands before and after each subword."""
     table = np.zeros((vocabulary, 2 * (MARKS + 1)), np.int32) if table is None else table
-    mark_of = np.full(vocabulary, MARKS)
+    width = table.shape[1]
+    kind = np.int32 if vocabulary * width < 1 << 31 else np.int64
+    mark_of = np.full(vocabulary, MARKS, kind)
     mark_of[marks] = np.arange(len(marks))
-    flow = np.concatenate(texts).astype(np.int64) if texts else np.zeros(0, np.int64)
+    flow = np.concatenate(texts).astype(kind) if texts else np.zeros(0, kind)
     within = np.ones(max(0, len(flow) - 1), bool)
     edges = np.cumsum([len(t) for t in texts])[:-1] if texts else np.zeros(0, np.int64)
     within[edges[(edges > 0) & (edges < len(flow))] - 1] = False
-    left, right = flow[:-1][within], flow[1:][within]
-    width = table.shape[1]
-    np.add.at(table.reshape(-1), right * width + mark_of[left], 1)
-    np.add.at(table.reshape(-1), left * width + MARKS + 1 + mark_of[right], 1)
+    mark, row = mark_of[flow], flow * kind(width)
+    cells = np.concatenate([(row[1:] + mark[:-1])[within], (row[:-1] + mark[1:] + kind(MARKS + 1))[within]])
+    cells.sort()  # the table is larger than the caches
+    first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]][: len(cells)])
+    table.reshape(-1)[cells[first]] += np.diff(first, append=len(cells)).astype(np.int32)
     return table
 
 
@@ -212,6 +244,7 @@ def classes(texts: list[np.ndarray], vocabulary: int, rng) -> np.ndarray:
 def train(texts: list[np.ndarray], vocabulary: int, steps: int = STEPS, batch: int = BATCH, seed: int = 5, class_of: np.ndarray | None = None) -> Attention:
     """Adam over random windows of the given subword sequences, each between end marks (id vocabulary - 1). Without `class_of` the classes
     come from the same sequences."""
+    keep_heap()
     rng = np.random.default_rng(seed)
     normal = lambda *shape, by=0.1: (rng.standard_normal(shape) * by).astype(np.float32)
     end = vocabulary - 1
@@ -238,50 +271,75 @@ def train(texts: list[np.ndarray], vocabulary: int, steps: int = STEPS, batch: i
     return model
 
 
+def keep_heap() -> None:
+    """Lets the C library keep what arrays of up to 31 MB leave: it does so up to the largest array that was freed, and otherwise every step
+    takes its arrays' pages from the system anew. Changes no result."""
+    np.empty(31 << 20, np.uint8)
+
+
 def windows_of(chunks: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, next ids, weights) of windows of LENGTH that hold every step of the given chunks once; weight 0 where a chunk is over."""
+    kind = np.uint16 if end < 1 << 16 else np.int32  # short numbers sort faster
     ids, following, weight = [], [], []
     for c in chunks:
         steps = len(c) - 1
         rows = -(-steps // LENGTH)
         pad = rows * LENGTH - steps
-        filled = np.full(pad, end, np.int32)
-        ids.append(np.concatenate([c[:-1], filled], dtype=np.int32).reshape(rows, LENGTH))
-        following.append(np.concatenate([c[1:], filled], dtype=np.int32).reshape(rows, LENGTH))
+        filled = np.full(pad, end, kind)
+        ids.append(np.concatenate([c[:-1], filled], dtype=kind, casting="unsafe").reshape(rows, LENGTH))
+        following.append(np.concatenate([c[1:], filled], dtype=kind, casting="unsafe").reshape(rows, LENGTH))
         weight.append((np.arange(rows * LENGTH) < steps).astype(np.float32).reshape(rows, LENGTH))
     return np.concatenate(ids), np.concatenate(following), np.concatenate(weight)
 
 
 def refined(model: Attention, chunks: list[np.ndarray], vocabulary: int, seed: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Weights after one pass of Adam over all the chunks, and how often each subword was read. Only rows of subwords in a step move."""
+    keep_heap()
     rng = np.random.default_rng(seed)
     ids, following, weight = windows_of(chunks, vocabulary - 1)
-    p = {k: v.copy() for k, v in model.p.items()}
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
+    rest = [k for k in model.p if k != "embed"]
+    flat = np.concatenate([model.p[k].ravel() for k in rest])
+    state = flat, np.zeros_like(flat), np.zeros_like(flat)  # weights, mean gradients, mean squares
+    ends = np.cumsum([model.p[k].size for k in rest])
+    small = Attention({k: part.reshape(model.p[k].shape) for k, part in zip(rest, np.split(flat, ends[:-1]))}, model.class_of)  # views
+    embed = np.concatenate([model.p["embed"], np.zeros((vocabulary, 2 * WIDTH), np.float32)], axis=1)  # the same three of a subword side by side
     order = rng.permutation(len(ids))
     steps = -(-len(order) // BATCH)
+
+    def moved(w, mean, square, d, step, rate):
+        mean *= np.float32(0.9)
+        mean += np.float32(0.1) * d
+        square *= np.float32(0.99)
+        d = d * d
+        d *= np.float32(0.01)
+        square += d
+        root = np.sqrt(square / np.float32(1 - 0.99**step))
+        root += np.float32(1e-7)
+        np.divide(mean, root, out=root)
+        root *= np.float32(rate / (1 - 0.9**step))
+        w -= root
+
     for step in range(1, steps + 1):
         at = order[(step - 1) * BATCH : step * BATCH]
-        rows, inner = np.unique(ids[at], return_inverse=True)
-        small = Attention(p | {"embed": p["embed"][rows]}, model.class_of)
-        _, g = small.gradients(inner.reshape(len(at), LENGTH), model.class_of[following[at]], weight[at])
+        read = ids[at].ravel()
+        places, first = runs_of(read)
+        rows = read[places[first]]
+        inner = np.empty(len(read), np.intp)
+        inner[places] = np.repeat(np.arange(len(rows)), np.diff(first, append=len(read)))
+        mine = embed.take(rows, axis=0)
+        small.p["embed"] = np.ascontiguousarray(mine[:, :WIDTH])
+        _, g = small.gradients(inner.reshape(len(at), LENGTH), model.class_of[following[at]], weight[at], (places, first))
         rate = RATE * min(1, step / 20) * (1 - 0.9 * step / steps)
-        for name, d in g.items():
-            on = rows if name == "embed" else slice(None)
-            mean, square = first[name][on] * np.float32(0.9), second[name][on] * np.float32(0.99)
-            mean += np.float32(0.1) * d
-            square += np.float32(0.01) * d * d
-            first[name][on], second[name][on] = mean, square
-            root = np.sqrt(square / np.float32(1 - 0.99**step))
-            root += np.float32(1e-7)
-            p[name][on] -= np.float32(rate / (1 - 0.9**step)) * mean / root
-    return p, np.bincount(ids[weight > 0], minlength=vocabulary)
+        moved(*state, np.concatenate([g[k].ravel() for k in rest]), step, rate)
+        moved(*np.split(mine, 3, axis=1), g["embed"], step, rate)
+        embed[rows] = mine
+    return small.p | {"embed": embed[:, :WIDTH].copy()}, np.bincount(ids[weight > 0], minlength=vocabulary)
 
 
 def window_scores(model: Attention, sequences: list[np.ndarray], vocabulary: int, block: int = 96) -> np.ndarray:
     """log10 probability of each sequence and its end. Windows overlap; a position is scored in the first window that reaches it."""
     end, stride = vocabulary - 1, LENGTH - OVERLAP
+    keep_heap()
     model.ready()
     totals = np.zeros(len(sequences))
     sizes = np.array([len(s) + 1 for s in sequences], np.int64)
@@ -296,7 +354,7 @@ def window_scores(model: Attention, sequences: list[np.ndarray], vocabulary: int
     many = 1 + np.maximum(0, -(-(sizes - LENGTH) // stride))
     owner = np.repeat(np.arange(len(sizes)), many)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    order = np.argsort(np.minimum(sizes[owner] - number * stride, LENGTH), kind="stable")  # windows of like length together
+    order = np.lexsort((np.minimum(sizes[owner] - number * stride, LENGTH), number > 0))  # windows of like length together, later ones apart
     points = model.log_share[wanted].astype(np.float64)
     wanted_class = model.class_of[wanted]
     for lo in range(0, len(order), block):
@@ -343,19 +401,41 @@ def word_counts(train_docs: DataFrame) -> DataFrame:
     return train_docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def coded(train_docs: DataFrame, vocabulary_path: str, vocabulary: int) -> DataFrame:
-    """(key, ids, n) of every training text: its subwords as numbers of the narrowest kind, and how many."""
-    kind = np.uint16 if vocabulary <= 1 << 16 else np.int32
+def coded(docs: DataFrame, vocabulary_path: str, vocabulary: int, hot=None) -> DataFrame:
+    """(key, ids, n) of every text: its subwords as numbers of the narrowest kind, and how many.
+
+    With `hot`, a broadcast of the hashes of frequent words in order and their counts, the same reading of the texts also gives doc_id,
+    held_out, n_tokens, the number of frequent words (hot_known), the sum of their logarithms (hot_sum) and the hashes of all others (tail)."""
+    number = np.uint16 if vocabulary <= 1 << 16 else np.int32
+
+    def base(w, size):
+        hot_h, hot_n = hot.value
+        h = np.concatenate([w.hashes(), np.full(size, END_WORD)])
+        doc = np.concatenate([w.doc, np.arange(size)])
+        at = np.minimum(np.searchsorted(hot_h, h), max(0, len(hot_h) - 1))
+        found = hot_h[at] == h if len(hot_h) else np.zeros(len(h), bool)
+        sums = np.bincount(doc[found], np.log10(hot_n[at[found]] + 1.0) if found.any() else None, minlength=size).astype(np.float64)
+        tail_doc, tail = doc[~found], h[~found]
+        order = np.argsort(tail_doc, kind="stable")
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(tail_doc[order], np.arange(size + 1)), pa.int32()), pa.array(tail[order].view(np.int64)))
+        return [pa.array(np.bincount(doc, minlength=size)), pa.array(np.bincount(doc[found], minlength=size)), pa.array(sums), lists]
 
     def code(batches):
         encode, _ = encoder(vocabulary_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [encode(t or "").astype(kind) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["key", "ids", "n"])
+            for i, j, w in T.word_slices(batch.column(1), T.BLANK_WORDS, True):
+                part = batch.slice(i, j - i)
+                ids = [encode(t or "").astype(number) for t in part.column(1).to_pylist()]
+                columns = [part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+                if hot is not None:
+                    columns += [part.column(2), part.column(3), *base(w, j - i)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return train_docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(code, "key long, ids binary, n long")
+    names, schema, more = ["key", "ids", "n"], "key long, ids binary, n long", []
+    if hot is not None:
+        names, more = [*names, "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "tail"], ["doc_id", "held_out"]
+        schema += f", doc_id {kind(docs)}, held_out boolean, n_tokens long, hot_known long, hot_sum double, tail array<long>"
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", *more).mapInArrow(code, schema)
 
 
 def sequences_of(column: pa.Array, vocabulary: int, limit: int = 1 << 19):
@@ -542,46 +622,34 @@ def score_texts(docs: DataFrame, vocabulary_path: str | None = None, parts: int
     hot_h = hot["h"].to_numpy().view(np.uint64)
     order = np.argsort(hot_h)
     hot_h, hot_n = hot_h[order], hot["n"].to_numpy()[order]
-    codes = cut(coded(learning, path, vocabulary))
+    every = coded(rows, path, vocabulary, docs.sparkSession.sparkContext.broadcast((hot_h, hot_n)))
+    every = cut(every.withColumn("row", F.monotonically_increasing_id()))  # written once, so a row keeps its number
+    codes = every.where(~F.col("held_out")).select("key", "ids", "n")
     frequency = subword_counts(codes, vocabulary)
     model = train([encode(t) for t in sample_passages(learning, sample)], vocabulary, steps, class_of=corpus_classes(codes, frequency))
     model = corpus_training(model, codes, vocabulary)
     smooth = frequency + 0.5
     model.log_share = np.log10(smooth / np.bincount(model.class_of, smooth, minlength=CLASSES)[model.class_of])
-    shared = docs.sparkSession.sparkContext.broadcast((model, hot_h, hot_n))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        model, hot_h, hot_n = shared.value
-        encode, _ = encoder(path)
+        model = shared.value
         for batch in batches:
-            texts = batch.column(2)
-            n, known, base, points = (np.zeros(batch.num_rows, d) for d in (np.int64, np.int64, np.float64, np.float64))
-            for i, j, w in T.word_slices(texts, T.BLANK_WORDS, True):
-                h = np.concatenate([w.hashes(), np.full(j - i, END_WORD)])
-                doc = np.concatenate([w.doc, np.arange(j - i)])
-                at = np.minimum(np.searchsorted(hot_h, h), max(0, len(hot_h) - 1))
-                found = hot_h[at] == h if len(hot_h) else np.zeros(len(h), bool)
-                n[i:j] = np.bincount(doc, minlength=j - i)
-                known[i:j] = np.bincount(doc[found], minlength=j - i)
-                base[i:j] = np.bincount(doc[found], np.log10(hot_n[at[found]] + 1.0) if found.any() else None, minlength=j - i)
-                tail_doc, tail = doc[~found], h[~found]
-                order = np.argsort(tail_doc, kind="stable")
-                edges = np.searchsorted(tail_doc[order], np.arange(j - i + 1))
-                points[i:j] = window_scores(model, [encode(t) for t in texts.slice(i, j - i).to_pylist()], vocabulary)
-                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(tail[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, j - i) for c in (0, 1)), pa.array(n[i:j]), pa.array(known[i:j]), pa.array(base[i:j]), pa.array(points[i:j]), lists],
-                    ["doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "score", "tail"])
-
-    scored = rows.select("doc_id", "held_out", "text").mapInArrow(
-        score, f"doc_id {kind(rows)}, held_out boolean, n_tokens long, hot_known long, hot_sum double, score double, tail array<long>")
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))  # written once, so a row keeps its number
-    tails = scored.select("row", F.explode("tail").alias("h"))
+            done = 0
+            for texts in sequences_of(batch.column(0), vocabulary):
+                part = batch.slice(done, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(window_scores(model, texts, vocabulary))], [*kept, "score"])
+                done += len(texts)
+
+    kept = ["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum"]
+    scored = cut(every.select("ids", *kept).mapInArrow(
+        score, f"row long, doc_id {kind(rows)}, held_out boolean, n_tokens long, hot_known long, hot_sum double, score double"))
+    tails = every.select("row", F.explode("tail").alias("h"))
     tails = tails.join(words.select("h", "n"), "h").groupBy("row").agg(
         F.sum(F.log10(F.col("n") + 1)).alias("tail_sum"), F.count("n").alias("tail_known"))
     total = float(np.log10(totals["n"] + totals["v"] + 1))
     base = F.col("hot_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(total)
-    return scored.drop("tail").join(tails, "row", "left").select(
+    return scored.join(tails, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(totals["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
     )
