@@ -14,6 +14,7 @@ from tablecraft.functions.durable import durable
 from tablecraft.functions.special import f_survival
 from tablecraft.functions.statistics import all_pairs, chunks, column_stats, correlations, scalars, union_all
 from tablecraft.operators import lookup
+from tablecraft.operators.binned_forest import BinnedForest
 from tablecraft.operators.encoding import label_mapping
 from tablecraft.operators.fitted import Fitted, keep_selected
 from tablecraft.operators.profiling import local_rows
@@ -21,6 +22,7 @@ from tablecraft.operators.transforms import bin_index, quantile_edges
 from tablecraft.settings import SETTINGS
 
 INFORMATION_BINS = 10
+DEPTH = 5
 
 
 def is_classification(task: str) -> bool:
@@ -230,8 +232,8 @@ def by_f_test(df: DataFrame, features: list[str], target: str, task: str, k: int
 # --- wrappers and embedded methods -------------------------------------------------------------
 
 
-def learning_frame(df: DataFrame, pool: list[str], target: str, task: str, standardise: bool = False) -> DataFrame:
-    """(features vector, label) with missing numbers as 0 and text classes as 0-based labels."""
+def learning_columns(df: DataFrame, pool: list[str], target: str, task: str, standardise: bool = False) -> DataFrame:
+    """(label, x0, x1, ...) with missing numbers as 0 and text classes as 0-based labels."""
     frame = df
     if is_classification(task) and isinstance(df.schema[target].dataType, T.StringType):
         key = F.coalesce(col(target), F.lit("nan"))
@@ -245,12 +247,17 @@ def learning_frame(df: DataFrame, pool: list[str], target: str, task: str, stand
     if standardise:
         s = scalars(df, pool, {"m": F.avg, "s": F.stddev_pop}, filled_number)
         xs = {c: (x - F.lit(s[c]["m"] or 0.0)) / F.lit(s[c]["s"] or 1.0) for c, x in xs.items()}
+    return frame.select(y.alias("label"), *[xs[c].alias(f"x{i}") for i, c in enumerate(pool)])
+
+
+def learning_frame(df: DataFrame, pool: list[str], target: str, task: str, standardise: bool = False) -> DataFrame:
+    """(features vector, label) of `learning_columns`."""
     names = [f"x{i}" for i in range(len(pool))]
-    flat = frame.select(y.alias("label"), *[xs[c].alias(n) for c, n in zip(pool, names)])
+    flat = learning_columns(df, pool, target, task, standardise)
     return VectorAssembler(inputCols=names, outputCol="features").transform(flat).select("features", "label")
 
 
-def _forest(task: str, trees: int, depth: int = 5):
+def _forest(task: str, trees: int, depth: int = DEPTH):
     kind = RandomForestClassifier if is_classification(task) else RandomForestRegressor
     return kind(numTrees=trees, maxDepth=depth, seed=SETTINGS.random_state)
 
@@ -263,23 +270,32 @@ def forest_importances(df: DataFrame, pool: list[str], target: str, task: str, t
 def by_elimination(
     df: DataFrame, features: list[str], target: str, task: str, n_features: int = 10, step: int = 1, trees: int = 50
 ) -> Fitted:
-    """Refits a forest and drops the least important feature(s) until n_features are left; rank 1 = kept."""
+    """Refits a forest and drops the least important feature(s) until n_features are left; rank 1 = kept.
+
+    Up to SETTINGS.forest_rows rows the forests are Spark ML's. It holds a count for every row and tree and visits each row for each tree in
+    boxed maps, so larger tables are binned once and grow the same kind of forest (bags, bins, drawn features, depth) on the bins."""
     pool = _pool(df, features)
     if not pool:
         return _unchanged("RFE", features, "None of the features can be used.")
     n_features = min(n_features, len(pool))
-    data = learning_frame(df, pool, target, task).persist()
+    left, gone = list(range(len(pool))), []
+    large = len(pool) > n_features and df.count() > SETTINGS.forest_rows
+    data = (learning_columns if large else learning_frame)(df, pool, target, task)
+    data = BinnedForest(data, [f"x{i}" for i in left], is_classification(task)) if large else data.persist()
     try:
-        left, gone = list(range(len(pool))), []
         while len(left) > n_features:
-            sliced = VectorSlicer(inputCol="features", outputCol="kept", indices=left).transform(data)
-            weights = _forest(task, trees).setFeaturesCol("kept").fit(sliced).featureImportances
+            if large:
+                weights = data.importances(left, trees, DEPTH, SETTINGS.random_state)
+            else:
+                sliced = VectorSlicer(inputCol="features", outputCol="kept", indices=left).transform(data)
+                weights = _forest(task, trees).setFeaturesCol("kept").fit(sliced).featureImportances
             order = sorted(range(len(left)), key=lambda i: (float(weights[i]), -i))
             worst = [left[i] for i in order[: min(step, len(left) - n_features)]]
             left = [i for i in left if i not in worst]
             gone.append(worst)
     finally:
-        data.unpersist()
+        if not large:
+            data.unpersist()
     ranking = {pool[i]: 1 for i in left}
     ranking |= {pool[i]: 2 + level for level, batch in enumerate(reversed(gone)) for i in batch}
     return _selected(

@@ -33,6 +33,7 @@ class Settings:
     broadcast_rows: int = 100_000
     broadcast_bytes: int = 32 * 1024 * 1024
     hot_keys: int = 1_000
+    forest_rows: int = 1_000_000
     spread: int = 4_096
     grid_classes: int = 1_000
     columns_per_job: int = 40
