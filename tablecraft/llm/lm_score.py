@@ -125,17 +125,15 @@ class Attention:
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, runs: tuple | None = None) -> tuple[float, dict]:
         """Loss and gradients of the network of `forward`, in fewer passes: the three projections are one product, exponentials are safe
-        within +-60, what the softmax of the attention takes off is a product of its outputs, which is one more column of a product, as are biases. `runs` are the places of `ids` in the order of their subwords and where each subword begins there, if known."""
+        within +-60, what the softmax of the attention takes off is a product of its outputs. `runs` are the places of `ids` in the order of their subwords and where each subword begins there, if known."""
         p, n, kind = self.p, ids.shape[1], self.p["q"].dtype
         flat = lambda m: m.reshape(-1, m.shape[-1])
         small = kind.type(WIDTH**-0.5)
         joined = np.concatenate([p["q"] * small, p["k"], p["v"]], axis=1)
         x = p["embed"].take(ids, axis=0)
         x += p["place"][:n]
-        mixed = np.empty((*ids.shape, 3 * WIDTH + 1), kind)
-        mixed[..., -1] = 1
-        np.matmul(flat(x), joined, out=flat(mixed)[:, :-1])
-        q, k, v = mixed[..., :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH : -1]
+        mixed = (flat(x) @ joined).reshape(*ids.shape, -1)
+        q, k, v = mixed[..., :WIDTH], mixed[..., WIDTH : 2 * WIDTH], mixed[..., 2 * WIDTH :]
         a = q @ k.transpose(0, 2, 1)
         np.clip(a, -60, 60, out=a)
         np.exp(a, out=a)
@@ -143,11 +141,9 @@ class Attention:
         share = 1 / (a @ np.ones((n, 1), kind))
         o = a @ v
         o *= share
-        h = np.empty((ids.size, WIDTH + 1), kind)
-        h[:, -1] = 1
-        np.matmul(flat(o), p["o"], out=h[:, :-1])
-        h[:, :-1] += flat(x)
-        soft = h @ np.concatenate([p["out"], p["bias"][None]])
+        h = flat(x) + flat(o) @ p["o"]
+        soft = h @ p["out"]
+        soft += p["bias"]
         np.clip(soft, -60, 60, out=soft)
         scale = (weight / max(weight.sum(), 1)).astype(kind).ravel()
         at = np.arange(len(soft)), target.ravel()
@@ -158,16 +154,15 @@ class Attention:
         soft *= (scale / total)[:, None]
         soft[at] -= scale
         dh = soft @ p["out"].T
-        do = np.empty((*ids.shape, WIDTH + 1), kind)
-        np.multiply((dh @ p["o"].T).reshape(x.shape), share, out=do[..., :-1])
-        np.einsum("bnw,bnw->bn", do[..., :-1], o, out=do[..., -1])
-        np.negative(do[..., -1], out=do[..., -1])
-        ds = do @ mixed[..., 2 * WIDTH :].transpose(0, 2, 1)
+        do = (dh @ p["o"].T).reshape(x.shape)
+        do *= share
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bnw,bnw->bn", do, o)[..., None]
         ds *= a
         dmixed = np.empty((*ids.shape, 3 * WIDTH), kind)
         np.matmul(ds, k, out=dmixed[..., :WIDTH])
         np.matmul(ds.transpose(0, 2, 1), q, out=dmixed[..., WIDTH : 2 * WIDTH])
-        np.matmul(a.transpose(0, 2, 1), do[..., :-1], out=dmixed[..., 2 * WIDTH :])
+        np.matmul(a.transpose(0, 2, 1), do, out=dmixed[..., 2 * WIDTH :])
         dx = flat(dmixed) @ joined.T
         dx += dh
         place = np.zeros_like(p["place"])
@@ -176,9 +171,8 @@ class Attention:
         embed = np.zeros_like(p["embed"])
         embed[ids.ravel()[order[first]]] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
         dq, dk, dv = np.split(flat(x).T @ flat(dmixed), 3, axis=1)
-        last = h.T @ soft
         return loss, {
-            "embed": embed, "place": place, "q": dq * small, "k": dk, "v": dv, "o": flat(o).T @ dh, "out": last[:-1], "bias": last[-1],
+            "embed": embed, "place": place, "q": dq * small, "k": dk, "v": dv, "o": flat(o).T @ dh, "out": h.T @ soft, "bias": soft.sum(0),
         }
 
 
@@ -310,14 +304,14 @@ def refined(model: Attention, chunks: list[np.ndarray], vocabulary: int, seed: i
         mean *= np.float32(0.9)
         mean += np.float32(0.1) * d
         square *= np.float32(0.99)
-        d = d * d
-        d *= np.float32(0.01)
-        square += d
+        part = np.float32(0.01) * d
+        part *= d
+        square += part
         root = np.sqrt(square / np.float32(1 - 0.99**step))
         root += np.float32(1e-7)
-        np.divide(mean, root, out=root)
-        root *= np.float32(rate / (1 - 0.9**step))
-        w -= root
+        np.multiply(mean, np.float32(rate / (1 - 0.9**step)), out=part)
+        part /= root
+        w -= part
 
     for step in range(1, steps + 1):
         at = order[(step - 1) * BATCH : step * BATCH]
